@@ -74,12 +74,17 @@ def mask_secret(value: Column) -> Column:
     )
 
 
+def fixed2(x: Column) -> Column:
+    """Two decimals, ties to the even digit of the exact binary value, no thousands marks."""
+    return F.replace(F.format_number(x, 2), F.lit(","), F.lit(""))
+
+
 def human_size(n: Column, units: Sequence[str] = ("B", "KB", "MB", "GB")) -> Column:
     """Bytes with two decimals in the largest unit that keeps the number at 1 or above."""
     x = n.cast("double")
-    shown = F.format_string(f"%.2f {units[-1]}", x / F.lit(float(1024 ** (len(units) - 1))))
+    shown = F.concat(fixed2(x / F.lit(float(1024 ** (len(units) - 1)))), F.lit(f" {units[-1]}"))
     for power in range(len(units) - 2, -1, -1):
-        below = F.format_string(f"%.2f {units[power]}", x / F.lit(float(1024**power)))
+        below = F.concat(fixed2(x / F.lit(float(1024**power))), F.lit(f" {units[power]}"))
         shown = F.when(x < F.lit(float(1024 ** (power + 1))), below).otherwise(shown)
     return shown
 

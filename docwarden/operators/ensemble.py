@@ -31,7 +31,9 @@ def rules_prob(columns: set[str]) -> Column:
 def blend(dl: Column, lgbm: Column, tree: Column, rules: Column) -> Column:
     """Weighted mean of the four signals."""
     w = fixed.BLEND_WEIGHTS
-    return (dl * w["dl"] + lgbm * w["lgbm"] + tree * w["tree"] + rules * w["rules"]) / F.lit(sum(w.values()))
+    # plain left-to-right addition: the built-in sum compensates, and its last bit would differ
+    total = w["dl"] + w["lgbm"] + w["tree"] + w["rules"]
+    return (dl * w["dl"] + lgbm * w["lgbm"] + tree * w["tree"] + rules * w["rules"]) / F.lit(total)
 
 
 def tree_prob(forest: Column, extra: Column) -> Column:
@@ -223,11 +225,11 @@ def humanize(findings: Column, fields: set[str]) -> Column:
 
 def narrative(verdict: Column, risk: Column, scores: dict[str, Column], threat_list: Column) -> Column:
     """One paragraph: verdict, signals, reasons."""
-    head = F.format_string("The file was classified as **%s** with a risk score of %.2f.", verdict, risk)
+    head = F.format_string("The file was classified as **%s** with a risk score of %s.", verdict, text.fixed2(risk))
     names = {"dl": "DL", "lgbm": "LGBM", "tree": "Tree", "rules": "Rules"}
     signals = F.concat(
         F.lit("Model signals: "),
-        F.concat_ws(", ", *[F.format_string(names[k] + "=%.2f", c) for k, c in scores.items()]),
+        F.concat_ws(", ", *[F.concat(F.lit(names[k] + "="), text.fixed2(c)) for k, c in scores.items()]),
         F.lit("."),
     )
     why = F.array_join(F.transform(threat_list, lambda f: F.concat(f["threat_type"], F.lit(" ("), f["indicator"], F.lit(")"))), "; ")
