@@ -334,3 +334,13 @@ def byte_histogram(df: DataFrame) -> DataFrame:
 
     binned = df.select("content").mapInArrow(run, "byte int, occurrences bigint")
     return binned.groupBy("byte").agg(F.sum("occurrences").alias("occurrences"))
+
+
+def check_uploads(df: DataFrame, max_bytes: int) -> DataFrame:
+    """(file_id, content) -> size and, for empty and oversized files, the reason of the refusal."""
+    size = F.octet_length("content")
+    return df.select(
+        "file_id",
+        size.alias("size_bytes"),
+        F.when(size == 0, "empty file").when(size > max_bytes, "file too large").alias("rejected"),
+    )

@@ -100,7 +100,11 @@ def pick(options: list[Column], number: Column) -> Column:
 
 def text_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """(file_id, ext, text, content): each document wrapped in one plant, typed by its number."""
-    d = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    return planted(spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id"))
+
+
+def planted(d: DataFrame) -> DataFrame:
+    """(doc_id, text), at rest or arriving -> (file_id, ext, text, content)."""
     n = F.col("doc_id")
     text = F.concat(
         pick([F.lit(a) for a, _ in PLANTS], n), F.col("text"), pick([F.lit(b) for _, b in PLANTS], n)

@@ -85,3 +85,19 @@ def notifications(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("event_id") % 4 == 0).alias("is_read"),
         F.col("ts").alias("created_at"),
     )
+
+
+def webhooks(spark: SparkSession, folder: str) -> DataFrame:
+    """Billing events per customer."""
+    e = table(spark, folder, "events").filter(F.col("event_type") != "view")
+    kind = (
+        F.when(F.col("event_type") == "signup", "created")
+        .when(F.col("event_type") == "error", "deleted")
+        .when(F.col("event_type") == "purchase", "completed")
+        .otherwise("updated")
+    )
+    plan = F.when(F.get_json_object("props", "$.k").cast("int") % 2 == 0, "PRO").otherwise("ENTERPRISE")
+    return e.select(
+        "event_id", F.col("ts").alias("created_at"), F.concat(F.lit("cus_"), F.col("user_id").cast("string")).alias("customer_id"),
+        kind.alias("kind"), plan.alias("plan"),
+    )
