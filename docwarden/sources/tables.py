@@ -28,7 +28,11 @@ def append_ledger(df: DataFrame, path: str, day_of: str = "created_at") -> None:
 
 def scans(spark: SparkSession, folder: str) -> DataFrame:
     """Scan ledger: one row per event, spread over three months."""
-    e = table(spark, folder, "events")
+    return as_scans(table(spark, folder, "events"))
+
+
+def as_scans(e: DataFrame) -> DataFrame:
+    """Events, at rest or arriving, as scan rows."""
     raw_verdict = (
         F.when(F.col("event_type") == "error", "error")
         .when(F.col("event_type") == "view", "benign")
@@ -76,8 +80,11 @@ def subscriptions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def notifications(spark: SparkSession, folder: str) -> DataFrame:
-    """Notification rows from the event stream."""
-    e = table(spark, folder, "events")
+    """Notification rows from the event table."""
+    return as_notifications(table(spark, folder, "events"))
+
+
+def as_notifications(e: DataFrame) -> DataFrame:
     return e.select(
         F.col("event_id").alias("notification_id"),
         "user_id",
@@ -89,7 +96,11 @@ def notifications(spark: SparkSession, folder: str) -> DataFrame:
 
 def webhooks(spark: SparkSession, folder: str) -> DataFrame:
     """Billing events per customer."""
-    e = table(spark, folder, "events").filter(F.col("event_type") != "view")
+    return as_webhooks(table(spark, folder, "events"))
+
+
+def as_webhooks(e: DataFrame) -> DataFrame:
+    e = e.filter(F.col("event_type") != "view")
     kind = (
         F.when(F.col("event_type") == "signup", "created")
         .when(F.col("event_type") == "error", "deleted")
