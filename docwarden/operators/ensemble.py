@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docwarden.functions import fixed, text
+from docwarden.session import once
 
 
 def _n(name: str) -> Column:
@@ -140,9 +141,10 @@ def feature_hints(columns: set[str]) -> Column:
 
 def top_features(df: DataFrame, columns: list[str], k: int = 6) -> DataFrame:
     """The k features of each file with the largest magnitude. Ranked inside the row, so nothing is exchanged."""
+    df = once(df.select("file_id", *columns), {c: F.col(c).cast("double") for c in columns})
     entries = F.array(
         *[
-            F.struct((-F.abs(F.col(c).cast("double"))).alias("by"), F.lit(c).alias("name"), F.col(c).cast("double").alias("value"))
+            F.struct((-F.abs(F.col(c))).alias("by"), F.lit(c).alias("name"), F.col(c).alias("value"))
             for c in columns
         ]
     )

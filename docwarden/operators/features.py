@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docwarden.functions import fixed, text
 from docwarden.functions.bytes import byte_entropy, chunk_entropy_p95
+from docwarden.session import once
 from docwarden.sources import archives
 
 
@@ -235,20 +236,21 @@ def runtime_meta(df: DataFrame, with_archives: bool = True) -> DataFrame:
         F.when(is_pdf, text.has_any(raw, fixed.PDF_MARKER_TOKENS)).otherwise(F.lit(False)).cast("double").alias("pdf_has_javascript"),
         F.when(is_pdf, text.token_total(raw, fixed.PDF_PAGE_TOKENS)).otherwise(F.lit(0)).cast("double").alias("page_count"),
         F.when(is_rtf, text.has_any(raw, ("\\objdata", "\\object"))).otherwise(F.lit(False)).cast("double").alias("has_embedded_objects"),
+        *([archives.member_names(F.when(is_office, F.col("content"))).alias("names")] if with_archives else []),
     )
     if not with_archives:
         return rows.withColumns({"has_vba_project": F.lit(0.0), "embedded_ole_count": F.lit(0.0)})
-    facts = archive_facts(df.filter(ext.isin(*fixed.OFFICE_RULE_EXTS)))
-    return rows.join(facts, "file_id", "left").na.fill(0.0, ["has_vba_project", "embedded_ole_count"])
+    return rows.withColumns(archive_facts(F.col("names"))).drop("names")
 
 
-def archive_facts(df: DataFrame) -> DataFrame:
-    """(file_id, has_vba_project, embedded_ole_count) from member names; nothing is inflated."""
-    name = F.col("member")
-    return archives.explode_members(df, names_only=True).groupBy("file_id").agg(
-        F.max(F.contains(name, F.lit("vbaProject.bin")).cast("double")).alias("has_vba_project"),
-        F.sum((F.contains(name, F.lit("/embeddings/")) | F.contains(name, F.lit("oleObject"))).cast("double")).alias("embedded_ole_count"),
-    )
+def archive_facts(names: Column) -> dict[str, Column]:
+    """Macro flag and embedded-object count from member names; 0 for what is no archive."""
+    macro = F.exists(names, lambda n: F.contains(n, F.lit("vbaProject.bin")))
+    ole = F.filter(names, lambda n: F.contains(n, F.lit("/embeddings/")) | F.contains(n, F.lit("oleObject")))
+    return {
+        "has_vba_project": F.coalesce(macro, F.lit(False)).cast("double"),
+        "embedded_ole_count": F.when(names.isNull(), F.lit(0.0)).otherwise(F.size(ole).cast("double")),
+    }
 
 
 def snippets(df: DataFrame) -> DataFrame:
@@ -296,23 +298,18 @@ def sniff_ext(df: DataFrame) -> DataFrame:
         .when(head.rlike(r"^[ \t\n\r\x0b\f]*\{\\rtf"), ".rtf")
         .when(is_ole(content), ".xls")
     )
-    packed = df.filter(F.startswith(content, F.lit(b"PK").cast("binary")))
-    name = F.col("member")
-    folders = archives.explode_members(packed, names_only=True).groupBy("file_id").agg(
-        F.max(name == "[Content_Types].xml").alias("typed"),
-        F.max(F.startswith(name, F.lit("word/"))).alias("word"),
-        F.max(F.startswith(name, F.lit("xl/"))).alias("xl"),
-        F.max(F.startswith(name, F.lit("ppt/"))).alias("ppt"),
-    )
+    # other contents are not shipped to Python; the directory is the only part of an archive that is read
+    names = archives.member_names(F.when(kind.isNull() & F.startswith(content, F.lit(b"PK").cast("binary")), content))
+    seen = once(df.select("file_id", "content"), {"kind": kind, "names": names})
+
+    def folder(name: str) -> Column:
+        return F.exists("names", lambda n: F.startswith(n, F.lit(name)))
+
     zipped = F.when(
-        F.col("typed"),
-        F.when(F.col("word"), ".docx").when(F.col("xl"), ".xlsx").when(F.col("ppt"), ".pptx").otherwise(".docx"),
-    )
-    return (
-        df.select("file_id", kind.alias("kind"))
-        .join(folders, "file_id", "left")
-        .select("file_id", F.coalesce("kind", zipped).alias("sniffed_ext"))
+        F.array_contains("names", "[Content_Types].xml"),
+        F.when(folder("word/"), ".docx").when(folder("xl/"), ".xlsx").when(folder("ppt/"), ".pptx").otherwise(".docx"),
     )
+    return seen.select("file_id", F.coalesce("kind", zipped).alias("sniffed_ext"))
 
 
 def byte_histogram(df: DataFrame) -> DataFrame:

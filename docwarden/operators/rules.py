@@ -1,7 +1,7 @@
 """Deterministic rules, points, verdicts.
 
 All rules of a file are evaluated inside its row: the findings array is built by expressions, so the scan of a
-corpus needs no shuffle. Only archive facts come from a (small) join on the file id.
+corpus reads it once and needs no shuffle.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from docwarden.functions import fixed, text
 from docwarden.functions.bytes import byte_entropy
 from docwarden.operators import features
+from docwarden.session import once
+from docwarden.sources import archives
 from docwarden.sources.pdf_objects import pdf_facts
 
 FINDING = "struct<id:string,severity:string,message:string>"
@@ -44,13 +46,8 @@ def findings(df: DataFrame, entropy_limit: float = fixed.HIGH_ENTROPY_BITS, obje
     have = set(df.columns)
     raw, ext, hits, facts = F.col("raw"), F.col("ext"), F.col("hits"), F.col("pdf")
     extra = {c: F.lit(0.0) for c in ("has_vba_project", "embedded_ole_count", "entropy_bits") if c not in have}
-    base = features.with_text(df).withColumns(
-        {
-            **extra,
-            "hits": suspicious_hits(F.lower(raw)),
-            "pdf": F.when(ext == ".pdf", pdf_facts(raw, object_cap)),
-        }
-    )
+    viewed = once(df.withColumns(extra), {"raw": text.latin1(F.col("content"))})
+    base = once(viewed, {"hits": suspicious_hits(F.lower(raw)), "pdf": F.when(ext == ".pdf", pdf_facts(raw, object_cap))})
     readable = F.coalesce(facts["readable"], F.lit(False))
     subtype = facts["open_subtype"]
     is_office = ext.isin(*fixed.OFFICE_RULE_EXTS)
@@ -82,8 +79,9 @@ def findings(df: DataFrame, entropy_limit: float = fixed.HIGH_ENTROPY_BITS, obje
             _finding("high_entropy", F.format_string(fixed.RULE_MESSAGES["high_entropy"], F.format_number(bits, 2))),
         ),
     ]
-    scored = base.withColumn("findings", F.array_compact(F.array(*in_order))).withColumn("points", points_of(F.col("findings")))
-    return scored.withColumn("rule_score", F.least(F.col("points") / F.lit(100.0), F.lit(1.0))).drop("raw", "hits", "pdf")
+    scored = once(base, {"findings": F.array_compact(F.array(*in_order))}).drop("raw", "hits", "pdf")
+    scored = scored.withColumn("points", points_of(F.col("findings")))
+    return scored.withColumn("rule_score", F.least(F.col("points") / F.lit(100.0), F.lit(1.0)))
 
 
 def verdict_columns(findings_col: Column, rule_score: Column, model_prob: Column) -> dict[str, Column]:
@@ -135,8 +133,9 @@ def scan(df: DataFrame, model: DataFrame | None = None, with_archives: bool = Fa
     office archives; without it their rules stay silent.
     """
     if with_archives:
-        facts = features.archive_facts(df.filter(F.col("ext").isin(*fixed.OFFICE_RULE_EXTS)))
-        df = df.join(facts, "file_id", "left").na.fill(0.0, ["has_vba_project", "embedded_ole_count"])
+        office = F.when(F.col("ext").isin(*fixed.OFFICE_RULE_EXTS), F.col("content"))
+        df = once(df, {"_names": archives.member_names(office)})
+        df = df.withColumns(features.archive_facts(F.col("_names"))).drop("_names")
     if with_entropy:
         df = df.withColumn("entropy_bits", byte_entropy(F.col("content")))
     found = findings(df)

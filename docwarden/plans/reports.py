@@ -11,6 +11,7 @@ from docwarden.operators import ensemble, features, rules, sanitize
 from docwarden.plans import sql
 from docwarden.plans.files import _IS_RTF, OOXML
 from docwarden.plans.registry import query
+from docwarden.session import spread
 from docwarden.sources import archives, corpus
 from docwarden.sources.tables import scans, table
 
@@ -210,7 +211,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY abs(value) DESC
 SELECT file_id, CAST(rank AS INTEGER) AS rank, name, CAST(value AS DOUBLE) AS value, CAST(value AS DOUBLE) AS est_contribution FROM r WHERE rank <= 6""",
 )
 def top_features(spark: SparkSession, folder: str) -> DataFrame:
-    d = table(spark, folder, "documents")
+    d = spread(table(spark, folder, "documents").select("doc_id", "text", "n_chars"), "doc_id")
 
     def kept(pattern: str):
         return F.length(F.regexp_replace("text", pattern, ""))
@@ -437,9 +438,10 @@ _DROP_FULL = (
     f"""WITH {OOXML} SELECT file_id, pos, member, {_DROP_LIGHT} AS dropped_light, {_DROP_FULL} AS dropped_full FROM members""",
 )
 def ooxml_drop(spark: SparkSession, folder: str) -> DataFrame:
-    m = archives.explode_members(corpus.ooxml_corpus(spark, folder), names_only=True)
+    c = corpus.ooxml_corpus(spark, folder)
+    m = c.select("file_id", F.posexplode(archives.member_names(F.col("content"))).alias("at", "member"))
     name = F.col("member")
-    return m.select("file_id", "pos", "member", sanitize.drops_light(name).alias("dropped_light"), sanitize.drops_full(name).alias("dropped_full"))
+    return m.withColumn("pos", F.col("at") + 1).select("file_id", "pos", "member", sanitize.drops_light(name).alias("dropped_light"), sanitize.drops_full(name).alias("dropped_full"))
 
 
 @query(

@@ -9,7 +9,7 @@ from docwarden.functions import fixed, text
 from docwarden.operators import cleaning, features, learning
 from docwarden.plans import sql
 from docwarden.plans.registry import query
-from docwarden.session import settle
+from docwarden.session import settle, spread
 from docwarden.sources import corpus, json_features
 from docwarden.sources.tables import table
 
@@ -80,7 +80,7 @@ def manifest_norm(spark: SparkSession, folder: str) -> DataFrame:
 
 def _documents_json(spark: SparkSession, folder: str) -> DataFrame:
     """JSON feature documents made from the events: nested or not, with numbers, texts, booleans and broken ones."""
-    e = table(spark, folder, "events")
+    e = spread(table(spark, folder, "events"), "event_id")
     n = F.col("event_id")
     inner = F.concat(
         F.regexp_replace("props", r"\}$", ""), F.lit(', "trojan": '), F.format_string("%.2f", F.col("value")),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,6 +19,8 @@ def build_session(app: str = "docwarden", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # plans of many expressions are built faster without a stack trace per expression
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         # archive and entropy tasks ship whole files through Arrow: few rows per batch bound the memory
         "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
         **conf,
@@ -58,3 +60,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= 4 * cores:
         return df
     return df.repartition(cores, *[F.col(k) for k in keys])
+
+
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are evaluated once per row.
+
+    A plain column is repeated inside every later filter that mentions it, and with it all it is made of. Columns
+    that come out of a generator are not: filters on them stay above it.
+    """
+    made = F.array(F.struct(*[value.alias(name) for name, value in columns.items()]))
+    return df.select(*[c for c in df.columns if c not in columns], F.inline(made))

@@ -34,11 +34,29 @@ def _members(content: bytes) -> list[tuple[str, bytes | None]]:
         return []
 
 
-def explode_members(df: DataFrame, names_only: bool = False) -> DataFrame:
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _names(content: pd.Series) -> pd.Series:
+    def one(data: bytes | None) -> list[str] | None:
+        if not data:
+            return None
+        try:
+            with zipfile.ZipFile(io.BytesIO(data)) as archive:
+                return archive.namelist()
+        except Exception:
+            return None
+
+    return content.map(one)
+
+
+def member_names(content: Column) -> Column:
+    """Names of an archive's members in their order, null for what is no archive. Only the directory is read."""
+    return _names(content)
+
+
+def explode_members(df: DataFrame) -> DataFrame:
     """(file_id, content) -> one row per member, in archive order.
 
-    One output batch per archive: memory holds one inflated file at a time. With ``names_only`` no member is
-    inflated and ``body`` is null.
+    One output batch per archive: memory holds one inflated file at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,13 +65,7 @@ def explode_members(df: DataFrame, names_only: bool = False) -> DataFrame:
                 data = content.as_py()
                 if not data:
                     continue
-                if names_only:
-                    try:
-                        members = [(n, None) for n in zipfile.ZipFile(io.BytesIO(data)).namelist()]
-                    except Exception:
-                        members = []
-                else:
-                    members = _members(data)
+                members = _members(data)
                 if members:
                     yield pa.RecordBatch.from_arrays(
                         [

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docwarden.session import once
+
 
 def read_documents(spark: SparkSession, root: str) -> DataFrame:
     """(path, json) of every JSON file below ``root``."""
@@ -18,10 +20,10 @@ def parse_features(df: DataFrame) -> DataFrame:
     An outer ``features`` object is unwrapped. Numbers and booleans are kept, texts when they are a number; all
     else, and every unreadable document, is left out.
     """
-    doc = F.try_parse_json("json")
-    inner = F.try_variant_get(doc, "$.features", "variant")
-    body = F.when(F.startswith(F.schema_of_variant(inner), F.lit("OBJECT")), inner).otherwise(doc)
-    rows = df.select("file_id", body.alias("v")).filter(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")))
+    parsed = once(df.select("file_id", "json"), {"doc": F.try_parse_json("json")})
+    nested = once(parsed.select("file_id", "doc"), {"inner": F.try_variant_get("doc", "$.features", "variant")})
+    body = F.when(F.startswith(F.schema_of_variant("inner"), F.lit("OBJECT")), F.col("inner")).otherwise(F.col("doc"))
+    rows = once(nested, {"v": body}).select("file_id", "v").filter(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")))
     cells = rows.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("v").outer())).select(
         "file_id", F.col("key").alias("name"), F.col("value").alias("cell"), F.schema_of_variant("value").alias("kind")
     )
