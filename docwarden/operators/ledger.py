@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docwarden.functions import fixed, text
-from docwarden.functions.ordered import running_number
+from docwarden.functions.ordered import quantile_slices, running_number
 from docwarden.operators.ensemble import normalise_verdict
 
 
@@ -63,14 +63,20 @@ def quota_summary(users: DataFrame, scans: DataFrame, as_of: str) -> DataFrame:
     )
 
 
-def quota_decisions(scans: DataFrame, users: DataFrame) -> DataFrame:
-    """Each scan with its number in the user's month, whether the quota allows it and which notice it causes."""
+def quota_decisions(scans: DataFrame, users: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """Each scan with its number in the user's month, whether the quota allows it and which notice it causes.
+
+    ``seen``: (user_id, month, seen) scans that were counted before these.
+    """
     month = F.date_trunc("MONTH", F.col("created_at")).cast("timestamp_ntz")
     rows = scans.select("scan_id", "user_id", "created_at", month.alias("month"))
-    hour = F.date_trunc("HOUR", F.col("created_at"))
-    joined = running_number(
-        rows, ["user_id", "month"], ["created_at", "scan_id"], hour, "scan_no", carry=users.select("user_id", "plan")
-    )
+    sliced = quantile_slices(rows, F.unix_micros(F.col("created_at").cast("timestamp")), "slice")
+    carry = users.select("user_id", "plan")
+    if seen is not None:
+        carry = rows.select("user_id", "month").distinct().join(carry, "user_id").join(seen, ["user_id", "month"], "left")
+    joined = running_number(sliced, ["user_id", "month"], ["created_at", "scan_id"], F.col("slice"), "scan_no", carry)
+    if seen is not None:
+        joined = joined.withColumn("scan_no", F.col("scan_no") + F.coalesce("seen", F.lit(0)))
     limit = limit_of(F.col("plan"))
     allowed = (limit == -1) | (F.col("scan_no") <= limit)
     percent = F.col("scan_no") / limit * 100

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docwarden.functions.ordered import next_greater
 from docwarden.session import settle
 
 KEYS = ["user_id", "type"]
@@ -36,26 +37,18 @@ def mark_read(notices: DataFrame, at: str, users: DataFrame | None = None, ids:
 
 
 def _sessions(points: DataFrame, gap: int) -> DataFrame:
-    """(user, type, slice) -> session, its size, first and following instants. A slice is one gap long.
+    """(user, type, slice) -> session, its size and its first instant. A slice is one gap long.
 
-    More than a gap between neighbours starts a session, and such a break can only lie between slices.
+    More than a gap between neighbours starts a session, and such a break can only lie between slices. The rows
+    are reduced to slices before anything is ordered per key.
     """
     slices = points.groupBy(*KEYS, "slice").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("*").alias("n"))
     w = Window.partitionBy(*KEYS).orderBy("slice")
     fresh = F.coalesce(F.col("lo") - F.lag("hi").over(w) > gap, F.lit(True)).cast("int")
     numbered = slices.withColumn("fresh", fresh).withColumn("session", F.sum("fresh").over(w))
-    after = Window.partitionBy(*KEYS, "session").orderBy("slice")
     whole = Window.partitionBy(*KEYS, "session")
-    near = F.lead("slice").over(after) == F.col("slice") + 1
     return numbered.select(
-        *KEYS,
-        "slice",
-        "session",
-        F.sum("n").over(whole).alias("rows"),
-        (F.col("fresh") == 1).alias("opens"),
-        "lo",
-        # first instant behind the next slice: it is more than a gap away from every point of this one
-        F.when(near, F.lead("lo", 2).over(after)).otherwise(F.lead("lo").over(after)).alias("beyond"),
+        *KEYS, "slice", "session", F.sum("n").over(whole).alias("rows"), F.min("lo").over(whole).alias("first")
     )
 
 
@@ -80,13 +73,8 @@ def _chase(points: DataFrame, gap: int) -> DataFrame:
     Every join is on (user, type, instant), which is unique, so a large session is spread over all tasks. The
     number of rounds is the logarithm of the session's length in gaps.
     """
-    probes = points.select(*KEYS, (F.col("slice") + 1).alias("slice"), (F.col("t") + gap).alias("at"), F.lit(None).cast("bigint").alias("found"), F.col("t"))
-    data = points.select(*KEYS, "slice", F.col("t").alias("at"), F.col("t").alias("found"), F.lit(None).cast("bigint").alias("t"))
-    later = Window.partitionBy(*KEYS, "slice").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, -1)
-    inside = probes.unionByName(data).withColumn("hit", F.min("found").over(later)).filter(F.col("t").isNotNull())
-    jump = points.select(*KEYS, "t", "beyond").join(inside.select(*KEYS, "t", "hit"), [*KEYS, "t"])
-    jump = settle(jump.select(*KEYS, "t", F.coalesce("hit", "beyond").alias("next")).filter(F.col("next").isNotNull()))
-    kept = settle(points.filter(F.col("opens") & (F.col("t") == F.col("lo"))).select(*KEYS, "t"))
+    jump = settle(next_greater(points, [*KEYS, "session"], "t", gap, "next").filter(F.col("next").isNotNull()).drop("session"))
+    kept = settle(points.filter(F.col("t") == F.col("first")).select(*KEYS, "t"))
     while True:
         reached = kept.join(jump, [*KEYS, "t"]).select(*KEYS, F.col("next").alias("t"))
         if reached.isEmpty():
@@ -96,7 +84,7 @@ def _chase(points: DataFrame, gap: int) -> DataFrame:
         jump = settle(jump.join(onward, [*KEYS, "next"]).select(*KEYS, "t", F.col("far").alias("next")))
 
 
-def dedup(notices: DataFrame, seconds: int = 3600, fold_rows: int = 100_000) -> DataFrame:
+def dedup(notices: DataFrame, seconds: int = 3600, fold_rows: int = 10_000) -> DataFrame:
     """Accepted notices under the one-hour rule. Sessions above ``fold_rows`` take the doubling way."""
     gap = seconds * 1_000_000
     micros = F.unix_micros(F.col("created_at").cast("timestamp"))

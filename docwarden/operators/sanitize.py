@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from docwarden.functions import fixed, text
 from docwarden.functions.vocabulary import prefix_pattern, scrub_terms
 from docwarden.operators import rules
+from docwarden.session import once
 from docwarden.sources import archives
 from docwarden.sources.pdf_objects import DICT
 
@@ -26,9 +27,14 @@ def scrub(value: Column, terms: tuple[str, ...]) -> Column:
 
 def scrub_hits(df: DataFrame, terms: tuple[str, ...]) -> DataFrame:
     """(file_id, text) -> (term, hits, files): which terms the scrub deletes, counted in lower case."""
-    found = F.regexp_extract_all(F.col("text"), F.lit(prefix_pattern(terms)), 0)
-    per_file = df.select("file_id", F.explode(found).alias("term")).groupBy("file_id", F.lower("term").alias("term"))
-    return per_file.agg(F.count("*").alias("n")).groupBy("term").agg(F.sum("n").alias("hits"), F.count("*").alias("files"))
+    found = F.transform(F.regexp_extract_all(F.col("text"), F.lit(prefix_pattern(terms)), 0), F.lower)
+    rows = once(df.select("text"), {"found": found}).select("found")
+    # counted inside the row: one row per file and term goes into the only exchange
+    counted = F.transform(
+        F.array_distinct("found"),
+        lambda t: F.struct(t.alias("term"), F.size(F.filter("found", lambda x: x == t)).alias("n")),
+    )
+    return rows.select(F.inline(counted)).groupBy("term").agg(F.sum("n").alias("hits"), F.count("*").alias("files"))
 
 
 # ---- RTF ---------------------------------------------------------------------------------------------------

@@ -80,7 +80,7 @@ def stream_otp(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("stream_notif_dedup", _dedup_sql(1))
 def stream_notif_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return append_all(jobs.dedup_exactly(tables.as_notifications(read_stream(spark, folder, "events"))))
+    return jobs.dedup_exactly(tables.as_notifications(read_stream(spark, folder, "events")))
 
 
 @query("stream_dedup")
@@ -93,8 +93,7 @@ def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("stream_quota_alerts", f"WITH {_DECIDED} SELECT scan_id, user_id, scan_no, notice FROM dec WHERE notice <> 'NONE'")
 def stream_quota_alerts(spark: SparkSession, folder: str) -> DataFrame:
     scans = tables.as_scans(read_stream(spark, folder, "events")).select("scan_id", "user_id", "created_at")
-    owned = scans.join(tables.users(spark, folder).select("user_id", "plan"), "user_id")
-    return append_all(jobs.quota_alerts(owned))
+    return jobs.quota_alerts(scans, tables.users(spark, folder))
 
 
 @query(

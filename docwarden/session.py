@@ -19,10 +19,10 @@ def build_session(app: str = "docwarden", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        # plans of many expressions are built faster without a stack trace per expression
-        "spark.python.sql.dataFrameDebugging.enabled": "false",
-        # archive and entropy tasks ship whole files through Arrow: few rows per batch bound the memory
-        "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+        # plans of many expressions are built faster without a call site per expression
+        "spark.sql.dataFrameQueryContext.enabled": "false",
+        # archive and entropy tasks ship whole files through Arrow: a byte limit per batch bounds the memory
+        "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
         **conf,
     }
     for key, value in settings.items():

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docwarden.functions import fixed
-from docwarden.operators import rules
-from docwarden.operators.ledger import limit_of
+from docwarden.operators import ledger, notices, rules
+from docwarden.streaming.sink import fold_batches
 
 
 def timed(events: DataFrame, column: str = "ts", late: str = "1 hour") -> DataFrame:
@@ -111,62 +107,45 @@ def audit_rows(calls: DataFrame) -> DataFrame:
     )
 
 
-def dedup_roughly(notices: DataFrame, gap: str = "1 hour") -> DataFrame:
+def dedup_roughly(arriving: DataFrame, gap: str = "1 hour") -> DataFrame:
     """Built-in duplicate removal within the watermark: bounded state, may hold a notice back longer than ``gap``."""
-    return timed(notices, "created_at", gap).dropDuplicatesWithinWatermark(["user_id", "type"])
+    return timed(arriving, "created_at", gap).dropDuplicatesWithinWatermark(["user_id", "type"])
 
 
-def dedup_exactly(notices: DataFrame, seconds: int = 3600) -> DataFrame:
-    """The one-hour rule with keyed state: the last accepted instant of each user and type.
+def dedup_exactly(notices_stream: DataFrame, seconds: int = 3600, path: str | None = None) -> DataFrame:
+    """The one-hour rule over a stream, run to its end. The state is the last accepted instant per user and type.
 
-    A batch holds a bounded number of files; the rows that one key has in it are ordered before they are judged.
+    What lies within the hour behind that instant is dropped; the rest of the batch then starts afresh, so the
+    batch rule applies to it as it is.
     """
+    gap = seconds * 1_000_000
 
-    def judge(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(chunks).sort_values(["t", "notification_id"])
-        last = state.get[0] if state.exists else None
-        kept = []
-        for t, notice in zip(rows["t"], rows["notification_id"]):
-            if last is None or t - last > seconds * 1_000_000:
-                last = int(t)
-                kept.append((key[0], key[1], int(notice), last))
-        if last is not None:
-            state.update((last,))
-        if kept:
-            yield pd.DataFrame(kept, columns=["user_id", "type", "notification_id", "t"])
-
-    keyed = notices.select("user_id", "type", "notification_id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("t"))
-    out = keyed.groupBy("user_id", "type").applyInPandasWithState(
-        judge, "user_id bigint, type string, notification_id bigint, t bigint", "last bigint", "append", GroupStateTimeout.NoTimeout
-    )
-    return out.select("user_id", "type", "notification_id", F.timestamp_micros("t").cast("timestamp_ntz").alias("created_at"))
+    def step(batch: DataFrame, state: DataFrame):
+        at = F.unix_micros(F.col("created_at").cast("timestamp"))
+        fresh = batch.join(state, notices.KEYS, "left").filter(F.col("last").isNull() | (at - F.col("last") > gap)).drop("last")
+
+        def after(written: DataFrame) -> DataFrame:
+            both = written.select(*notices.KEYS, at.alias("last")).unionByName(state)
+            return both.groupBy(*notices.KEYS).agg(F.max("last").alias("last"))
+
+        return notices.dedup(fresh, seconds), after
+
+    return fold_batches(notices_stream, step, "user_id bigint, type string, last bigint", path)
 
 
-def quota_alerts(scans: DataFrame) -> DataFrame:
-    """Warning and exceeded notices at the very scan that causes them: a counter per user and month.
+def quota_alerts(scans: DataFrame, users: DataFrame, path: str | None = None) -> DataFrame:
+    """Warning and exceeded notices at the very scan that causes them, over a stream that is run to its end.
 
-    ``scans``: (scan_id, user_id, plan, created_at). Scans above the limit are refused and do not count.
+    The state is the number of scans per user and month; each batch goes on counting from there.
     """
+    month = F.date_trunc("MONTH", F.col("created_at")).cast("timestamp_ntz")
 
-    def count(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(chunks).sort_values(["t", "scan_id"])
-        seen = state.get[0] if state.exists else 0
-        told = []
-        for scan, limit in zip(rows["scan_id"], rows["scans_limit"]):
-            seen += 1
-            if 0 < limit and seen <= limit and seen / limit * 100 >= 80:
-                told.append((int(scan), key[0], seen, "QUOTA_EXCEEDED" if seen >= limit else "QUOTA_WARNING"))
-        state.update((seen,))
-        if told:
-            yield pd.DataFrame(told, columns=["scan_id", "user_id", "scan_no", "notice"])
-
-    keyed = scans.select(
-        "scan_id",
-        "user_id",
-        F.date_format("created_at", "yyyy-MM").alias("month"),
-        F.unix_micros(F.col("created_at").cast("timestamp")).alias("t"),
-        limit_of(F.col("plan")).alias("scans_limit"),
-    )
-    return keyed.groupBy("user_id", "month").applyInPandasWithState(
-        count, "scan_id bigint, user_id bigint, scan_no bigint, notice string", "seen bigint", "append", GroupStateTimeout.NoTimeout
-    )
+    def step(batch: DataFrame, state: DataFrame):
+        def after(written: DataFrame) -> DataFrame:
+            counted = batch.groupBy("user_id", month.alias("month")).agg(F.count("*").alias("seen"))
+            return counted.unionByName(state).groupBy("user_id", "month").agg(F.sum("seen").alias("seen"))
+
+        decided = ledger.quota_decisions(batch, users, state)
+        return decided.filter(F.col("notice") != "NONE").select("scan_id", "user_id", "scan_no", "notice"), after
+
+    return fold_batches(scans, step, "user_id bigint, month timestamp_ntz, seen bigint", path)

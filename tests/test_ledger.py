@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from docwarden.functions.ordered import group_share, running_number
+from docwarden.functions.ordered import group_share, next_greater, quantile_slices, running_number
 from docwarden.functions.skew import attach_by_key
 from docwarden.operators import accounts, cleaning, ensemble, learning, ledger, notices
 from docwarden.operators.learning import metrics, roc_auc
@@ -50,6 +50,23 @@ def test_running_number_has_no_task_per_key(spark):
     assert "row_number()" in plan and "_slice" in plan.split("row_number()")[1][:400]
 
 
+@pytest.mark.parametrize("slices", [2, 16, 512])
+def test_quantile_slices_keep_the_order(spark, slices):
+    rnd = random.Random(slices)
+    df = spark.createDataFrame([(i, 0.001 * rnd.random() ** 4) for i in range(2000)], "id bigint, p double")
+    cut = quantile_slices(df, F.col("p"), "s", slices).orderBy("p").collect()
+    assert [r["s"] for r in cut] == sorted(r["s"] for r in cut)
+    assert max(Counter(r["s"] for r in cut).values()) <= 2 * 2000 / slices + 10
+
+
+def test_next_greater(spark):
+    rnd = random.Random(11)
+    rows = sorted({(rnd.randrange(3) if rnd.random() < 0.5 else 0, rnd.randrange(4000)) for _ in range(1200)})
+    df = spark.createDataFrame(rows, "k bigint, t bigint")
+    got = {(r["k"], r["t"]): r["n"] for r in next_greater(df, ["k"], "t", 100, "n").collect()}
+    assert got == {(k, t): min((u for j, u in rows if j == k and u > t + 100), default=None) for k, t in rows}
+
+
 def test_group_share(spark):
     df = spark.createDataFrame([(i, i % 7 == 0) for i in range(500)], "id bigint, label boolean")
     rows = group_share(df, ["label"], "id", "share").collect()

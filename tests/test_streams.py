@@ -65,7 +65,7 @@ def test_plan_state_in_batches(spark, parts):
 
 def test_exact_dedup_in_batches(spark, parts):
     e, stream = parts
-    got = append_all(jobs.dedup_exactly(tables.as_notifications(stream()), seconds=86_400))
+    got = jobs.dedup_exactly(tables.as_notifications(stream()), seconds=86_400)
     expected = notices.dedup(tables.as_notifications(e), seconds=86_400)
     assert rows(got) == rows(expected.select(*got.columns))
 
@@ -83,7 +83,7 @@ def test_quota_alerts_in_batches(spark, parts, folder):
     e, stream = parts
     users = tables.users(spark, folder).select("user_id", "plan")
     plain = lambda df: df.select(F.col("event_id").alias("scan_id"), "user_id", F.col("ts").alias("created_at"))
-    got = append_all(jobs.quota_alerts(plain(stream()).join(users, "user_id")))
+    got = jobs.quota_alerts(plain(stream()), users)
     from docwarden.operators import ledger
 
     expected = ledger.quota_decisions(plain(e), users).filter("notice <> 'NONE'")
