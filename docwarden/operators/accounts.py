@@ -201,3 +201,27 @@ def paid_users(users: DataFrame) -> DataFrame:
 def artifacts(uploads: DataFrame, cleans: DataFrame, reports: DataFrame) -> DataFrame:
     """Upload, clean file and report of each file in one row; all three are hashed on the id."""
     return uploads.join(cleans, "file_id", "left").join(reports, "file_id", "left")
+
+
+def month_later(at: Column) -> Column:
+    """One calendar month on; days that the next month lacks run over into the month after it."""
+    start = F.date_trunc("MONTH", at).cast("timestamp_ntz")
+    return start + F.make_ym_interval(F.lit(0), F.lit(1)) + (at - start)
+
+
+def iso_of_epoch(seconds: Column) -> Column:
+    """Epoch seconds as an ISO-8601 text with milliseconds, null for null."""
+    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def billing_periods(subs: DataFrame) -> DataFrame:
+    """(id, started) -> start and end of the first period, as instants and as texts."""
+    end = month_later(F.col("started"))
+    seconds = lambda c: F.unix_micros(c.cast("timestamp")).cast("bigint") / 1_000_000
+    return subs.select(
+        "id",
+        F.col("started").alias("period_start"),
+        end.alias("period_end"),
+        iso_of_epoch(F.floor(seconds(F.col("started")))).alias("start_text"),
+        iso_of_epoch(F.floor(seconds(end))).alias("end_text"),
+    )

@@ -21,6 +21,7 @@ def with_text(df: DataFrame) -> DataFrame:
 
 
 def ext_flags(ext: Column) -> dict[str, Column]:
+    """One 0/1 column per supported type. An unknown type has none of them set."""
     return {f"ext_is_{e[1:]}": (ext == e).cast("int") for e in fixed.SUPPORTED_EXTS}
 
 
@@ -253,19 +254,23 @@ def archive_facts(names: Column) -> dict[str, Column]:
     }
 
 
-def snippets(df: DataFrame) -> DataFrame:
-    """(file_id, text) -> one row per keyword found: its first hit with 40 characters before and 80 after."""
-    low = F.lower("text")
+def snippet_array(value: Column) -> Column:
+    """(keyword, snippet) of each keyword found in a text: its first hit with 40 characters before and 80 after."""
+    low = F.lower(value)
 
     def cut(keyword: str) -> Column:
         at = F.instr(low, F.lit(keyword))
         start = F.greatest(at - 40, F.lit(1))
-        stop = F.least(F.length("text"), at + len(keyword) + 79)
-        piece = F.trim(F.replace(F.substring("text", start, stop - start + 1), F.lit("\n"), F.lit(" ")), F.lit(" \t\n\r\x0b\f"))
-        return F.when(at > 0, F.struct(F.lit(keyword).alias("keyword"), piece.alias("snippet")))
+        stop = F.least(F.length(value), at + len(keyword) + 79)
+        line = F.replace(F.substring(value, start, stop - start + 1), F.lit("\n"), F.lit(" "))
+        return F.when(at > 0, F.struct(F.lit(keyword).alias("keyword"), F.trim(line, F.lit(" \t\n\r\x0b\f")).alias("snippet")))
+
+    return F.array_compact(F.array(*[cut(k) for k in fixed.SNIPPET_KEYWORDS]))
 
-    found = F.array_compact(F.array(*[cut(k) for k in fixed.SNIPPET_KEYWORDS]))
-    return df.select("file_id", F.explode(found).alias("s")).select("file_id", "s.keyword", "s.snippet")
+
+def snippets(df: DataFrame) -> DataFrame:
+    """(file_id, text) -> one row per keyword found."""
+    return df.select("file_id", F.inline(snippet_array(F.col("text"))))
 
 
 def rtf_plain_text(value: Column) -> Column:

@@ -542,3 +542,13 @@ def report_fetch(spark: SparkSession, folder: str) -> DataFrame:
     s = tables.scans(spark, folder).select("scan_id", "user_id", "risk_score")
     last = s.agg(F.max(F.struct("scan_id", "user_id")).alias("m")).select("m.scan_id", "m.user_id").first()
     return fetch_owned(s, last["scan_id"], last["user_id"], "scan_id")
+
+
+@query(
+    "billing_periods",
+    """WITH o AS (SELECT o_orderkey AS id, o_orderdate AS s, date_trunc('month', o_orderdate) + INTERVAL 1 MONTH + (o_orderdate - date_trunc('month', o_orderdate)) AS e FROM orders)
+SELECT id, s AS period_start, CAST(e AS TIMESTAMP) AS period_end, strftime(s, '%Y-%m-%dT%H:%M:%S.000Z') AS start_text, strftime(e, '%Y-%m-%dT%H:%M:%S.000Z') AS end_text FROM o""",
+)
+def billing_periods(spark: SparkSession, folder: str) -> DataFrame:
+    o = tables.table(spark, folder, "orders")
+    return accounts.billing_periods(o.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("started")))

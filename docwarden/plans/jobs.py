@@ -59,3 +59,58 @@ def feature_table(files: DataFrame, json_features: DataFrame | None = None) -> D
 def training_columns(df: DataFrame) -> list[str]:
     """Feature columns of a training table: all but label, type, id and split."""
     return [c for c in df.columns if c not in ("label", "ext", "file_id", "split")]
+
+
+def ensemble_reports(files: DataFrame, scores: DataFrame, feature_columns: list[str]) -> DataFrame:
+    """(file_id, name, ext, text, content) and (file_id, signals, meta, features) -> (file_id, verdict, report).
+
+    The report of the four-model scan: scores and their shares, strongest features, snippets, threats, paragraph,
+    confidence. Both sides have one row per file and are hashed on its id.
+    """
+    scored = ensemble.ensemble(scores)
+    top = F.array_sort(
+        F.array(*[F.struct((-F.abs(F.col(c).cast("double"))).alias("by"), F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in feature_columns])
+    )
+    signals = {k: F.col(f"s_{k}") for k in ("dl", "lgbm", "tree", "rules")}
+    threat_list = ensemble.threats(set(scores.columns))
+    told = scored.select(
+        "file_id",
+        "verdict",
+        "risk",
+        F.struct(*[v.alias(f"p_{k}") for k, v in signals.items()]).alias("model_scores"),
+        F.struct(*[F.col(f"contrib_{k}").alias(k) for k in signals]).alias("model_contributions"),
+        F.transform(F.slice(top, 1, 6), lambda f: F.struct(f["name"].alias("name"), f["value"].alias("value"), F.bround(f["value"], 4).alias("est_contribution"))).alias("top_features"),
+        threat_list.alias("findings"),
+        ensemble.narrative(F.col("verdict"), F.col("risk"), signals, threat_list).alias("explain_text"),
+        F.struct(*[v.alias(k) for k, v in ensemble.confidence(list(signals.values())).items()]).alias("confidence"),
+    )
+    facts = files.select(
+        "file_id",
+        F.struct(
+            F.col("name").alias("file"),
+            F.octet_length("content").alias("size_bytes"),
+            text.human_size(F.octet_length("content")).alias("size_human"),
+            F.sha2("content", 256).alias("sha256"),
+            text.mime_of(F.col("ext")).alias("mime_type"),
+        ).alias("meta"),
+        features.snippet_array(F.col("text")).alias("suspicious_snippets"),
+    )
+    document = F.struct(
+        "meta",
+        "verdict",
+        F.bround("risk", 3).alias("risk_score"),
+        ensemble.report_severity(F.col("risk")).alias("severity"),
+        "model_scores",
+        "model_contributions",
+        "top_features",
+        "suspicious_snippets",
+        "findings",
+        "explain_text",
+        "confidence",
+    )
+    return told.join(facts, "file_id").select("file_id", "verdict", F.to_json(document).alias("report"))
+
+
+def write_reports(reports_df: DataFrame, path: str) -> None:
+    """One JSON document per line, the documents as they are."""
+    reports_df.select("report").write.mode("append").text(path)

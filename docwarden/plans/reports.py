@@ -326,6 +326,15 @@ def report_json(spark: SparkSession, folder: str) -> DataFrame:
     return reports(corpus.text_corpus(spark, folder).drop("text"))
 
 
+@query("ensemble_report_json")
+def ensemble_report_json(spark: SparkSession, folder: str) -> DataFrame:
+    """The four-model report of each file as one JSON document."""
+    from docwarden.plans.jobs import ensemble_reports
+
+    files = corpus.text_corpus(spark, folder).withColumn("name", F.concat(F.col("file_id").cast("string"), F.col("ext")))
+    return ensemble_reports(files, signals(spark, folder), ["size", "embedded_files_count", "pdf_openaction", "p_dl"])
+
+
 # ---- scrubbing ---------------------------------------------------------------------------------------------
 
 _TERMS = sql.lit(prefix_pattern(scrub_terms(".pdf")))

@@ -55,14 +55,16 @@ def write_splits(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("split", "source", "label").parquet(path)
 
 
-def store_by_hash(new: DataFrame, path: str, name: str = "filename") -> None:
+def store_by_hash(new: DataFrame, path: str, name: str = "filename", clean: bool = False) -> None:
     """Add the contents that the store at ``path`` lacks; equal contents are stored once.
 
+    Contents are named by hash and file name, cleaned ones with a mark in between.
+
     The keeper of each hash is chosen from ids alone, so contents are not shuffled to find duplicates.
     """
     spark = new.sparkSession
     keyed = new.withColumn("sha256", F.sha2("content", 256)).withColumn(
-        "stored_as", F.concat_ws("_", F.col("sha256"), F.col(name))
+        "stored_as", F.concat_ws("_clean_" if clean else "_", F.col("sha256"), F.col(name))
     )
     keepers = keyed.groupBy("sha256").agg(F.min("file_id").alias("file_id"))
     try:

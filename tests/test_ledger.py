@@ -287,3 +287,29 @@ def test_weak_fields_of_findings(spark):
     row = df.select(ensemble.humanize(F.col("f"), {"id", "threat_type", "indicator", "level"}).alias("h")).first()["h"][0]
     assert (row["title"], row["message"], row["severity"]) == ("RTF field", "x", "low")
     assert row["explain"].startswith("RTF object/field")
+
+
+def test_ensemble_report(spark, folder):
+    import json
+
+    from docwarden.plans import all_queries
+
+    rows = all_queries()[0]["ensemble_report_json"](spark, folder).collect()
+    assert len(rows) == tables.table(spark, folder, "documents").count()
+    for r in rows:
+        doc = json.loads(r["report"])
+        assert doc["verdict"] == r["verdict"] == ("malicious" if doc["risk_score"] >= 0.5 else "benign")
+        values = [abs(f["value"]) for f in doc["top_features"]]
+        assert values == sorted(values, reverse=True)
+        assert doc["explain_text"].startswith(f"The file was classified as **{r['verdict']}** with a risk score of ")
+        assert doc["findings"] and doc["confidence"]["level"] in ("low", "medium", "high")
+        assert doc["model_contributions"]["dl"] == pytest.approx(0.35 * doc["model_scores"]["p_dl"], abs=1e-4)
+
+
+def test_month_later_runs_over(spark):
+    import datetime
+
+    df = spark.createDataFrame([(1, datetime.datetime(2024, 1, 31, 5)), (2, datetime.datetime(2023, 12, 15))], "id bigint, started timestamp_ntz")
+    got = {r["id"]: r for r in accounts.billing_periods(df).collect()}
+    assert got[1]["period_end"] == datetime.datetime(2024, 3, 2, 5)
+    assert got[2]["end_text"] == "2024-01-15T00:00:00.000Z"
