@@ -49,8 +49,17 @@ def general(df: DataFrame) -> DataFrame:
     )
 
 
-def _pdf_columns(raw: Column, content: Column, with_launch: bool = True) -> dict[str, Column]:
-    is_pdf = F.startswith(raw, F.lit("%PDF"))
+def _starts_pdf(raw: Column) -> Column:
+    return F.startswith(raw, F.lit("%PDF"))
+
+
+def _starts_rtf(raw: Column) -> Column:
+    # leading white space as bytes.strip sees it
+    return raw.rlike(r"^[ \t\n\r\x0b\f]*\{\\rtf")
+
+
+def _pdf_columns(raw: Column, p95: Column, with_launch: bool = True) -> dict[str, Column]:
+    is_pdf = _starts_pdf(raw)
 
     def only(value: Column, kind: str = "int") -> Column:
         return F.when(is_pdf, value.cast(kind)).otherwise(F.lit(0).cast(kind))
@@ -64,8 +73,7 @@ def _pdf_columns(raw: Column, content: Column, with_launch: bool = True) -> dict
         "pdf_object_count": only(text.token_count(raw, " obj")),
         "pdf_stream_count": only(text.token_count(raw, "stream")),
         "pdf_xref_count": only(text.token_count(raw, "xref")),
-        # files of other kinds are not shipped to Python: an empty content has entropy 0
-        "pdf_entropy_p95": chunk_entropy_p95(F.when(is_pdf, content)),
+        "pdf_entropy_p95": only(p95, "double"),
     }
     if not with_launch:
         del columns["pdf_has_launch"]
@@ -74,17 +82,18 @@ def _pdf_columns(raw: Column, content: Column, with_launch: bool = True) -> dict
 
 def pdf(df: DataFrame, with_launch: bool = True) -> DataFrame:
     """PDF features, all zero unless the content starts with the PDF marker."""
-    cols = _pdf_columns(F.col("raw"), F.col("content"), with_launch)
+    # files of other kinds are not shipped to Python
+    p95 = chunk_entropy_p95(F.when(_starts_pdf(F.col("raw")), F.col("content")))
+    cols = _pdf_columns(F.col("raw"), p95, with_launch)
     return with_text(df).select("file_id", *[c.alias(k) for k, c in cols.items()])
 
 
-def _rtf_columns(raw: Column, content: Column) -> dict[str, Column]:
-    # leading white space as bytes.strip sees it
-    is_rtf = raw.rlike(r"^[ \t\n\r\x0b\f]*\{\\rtf")
+def _rtf_columns(raw: Column, p95: Column) -> dict[str, Column]:
+    is_rtf = _starts_rtf(raw)
     low = F.lower(raw)
 
-    def only(value: Column) -> Column:
-        return F.when(is_rtf, value.cast("int")).otherwise(F.lit(0))
+    def only(value: Column, kind: str = "int") -> Column:
+        return F.when(is_rtf, value.cast(kind)).otherwise(F.lit(0).cast(kind))
 
     packager = F.contains(raw, F.lit("\\objdata")) & (
         F.contains(raw, F.lit("Package")) | F.contains(low, F.lit("d0cf"))
@@ -98,14 +107,15 @@ def _rtf_columns(raw: Column, content: Column) -> dict[str, Column]:
         "rtf_url_count": only(text.url_count(raw)),
         "rtf_js_like": only(F.contains(low, F.lit("javascript"))),
         "rtf_shell_like": only(text.has_any(low, ("shell", "cmd.exe"))),
-        "rtf_entropy_p95": chunk_entropy_p95(F.when(is_rtf, content)),
+        "rtf_entropy_p95": only(p95, "double"),
         "rtf_has_ole_packager_hint": only(packager),
     }
 
 
 def rtf(df: DataFrame) -> DataFrame:
     """RTF features, all zero unless the content starts with the RTF group."""
-    cols = _rtf_columns(F.col("raw"), F.col("content"))
+    p95 = chunk_entropy_p95(F.when(_starts_rtf(F.col("raw")), F.col("content")))
+    cols = _rtf_columns(F.col("raw"), p95)
     return with_text(df).select("file_id", *[c.alias(k) for k, c in cols.items()])
 
 
@@ -201,24 +211,25 @@ def dispatch(df: DataFrame) -> DataFrame:
 
     One scan gives the general, PDF, RTF and spreadsheet groups. Only archives go through the member rows.
     """
-    raw, content, ext = F.col("raw"), F.col("content"), F.col("ext")
-    groups = [
-        (".pdf", _pdf_columns(raw, F.when(ext == ".pdf", content))),
-        (".rtf", _rtf_columns(raw, F.when(ext == ".rtf", content))),
-        (".xls", _xls_columns(raw, content)),
-    ]
-    base = with_text(df).select(
+    raw, content, ext, p95 = F.col("raw"), F.col("content"), F.col("ext"), F.col("entropy_p95")
+    groups = [(".pdf", _pdf_columns(raw, p95)), (".rtf", _rtf_columns(raw, p95)), (".xls", _xls_columns(raw, content))]
+    # one entropy per file serves the general, the PDF and the RTF group
+    base = with_text(df.withColumn("entropy_p95", chunk_entropy_p95(content))).select(
         "file_id",
         "ext",
         F.octet_length("content").alias("file_size"),
-        chunk_entropy_p95(content).alias("entropy_p95"),
+        "entropy_p95",
         text.token_total(raw, fixed.OFFICE_TOKENS).alias("suspicious_token_count"),
         text.url_count(text.utf8_ignore(content)).alias("url_count_general"),
         *[c.alias(k) for k, c in ext_flags(ext).items()],
         *[F.when(ext == e, c).alias(k) for e, cols in groups for k, c in cols.items()],
     )
-    packed = df.filter(ext.isin(*fixed.OOXML_EXTS))
-    return base.join(ooxml(packed), "file_id", "left")
+    packed = archives.explode_members(df.filter(ext.isin(*fixed.OOXML_EXTS)))
+    joined = base.join(ooxml_from_members(packed), "file_id", "left")
+    # an archive type without readable members has zeros, other types have no such columns
+    return joined.withColumns(
+        {c: F.when(ext.isin(*fixed.OOXML_EXTS), F.coalesce(F.col(c), F.lit(0))) for c in OOXML_COLUMNS}
+    )
 
 
 def runtime_meta(df: DataFrame, with_archives: bool = True) -> DataFrame:

@@ -36,13 +36,13 @@ def mark_read(notices: DataFrame, at: str, users: DataFrame | None = None, ids:
     ).drop("_u", "_i")
 
 
-def _sessions(points: DataFrame, gap: int) -> DataFrame:
+def _sessions(rows: DataFrame, gap: int) -> DataFrame:
     """(user, type, slice) -> session, its size and its first instant. A slice is one gap long.
 
     More than a gap between neighbours starts a session, and such a break can only lie between slices. The rows
     are reduced to slices before anything is ordered per key.
     """
-    slices = points.groupBy(*KEYS, "slice").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("*").alias("n"))
+    slices = rows.groupBy(*KEYS, "slice").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("*").alias("n"))
     w = Window.partitionBy(*KEYS).orderBy("slice")
     fresh = F.coalesce(F.col("lo") - F.lag("hi").over(w) > gap, F.lit(True)).cast("int")
     numbered = slices.withColumn("fresh", fresh).withColumn("session", F.sum("fresh").over(w))
@@ -52,33 +52,36 @@ def _sessions(points: DataFrame, gap: int) -> DataFrame:
     )
 
 
-def _fold(points: DataFrame, gap: int) -> DataFrame:
-    """Accepted instants of sessions of bounded size: one pass over a sorted array."""
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-    grouped = points.groupBy(*KEYS, "session").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+def _fold(placed: DataFrame, gap: int) -> DataFrame:
+    """Accepted rows of sessions of bounded size: one pass over a sorted array."""
+    row = "struct<t:bigint,notification_id:bigint>"
+    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast(f"array<{row}>").alias("kept"))
+    grouped = placed.groupBy(*KEYS, "session").agg(F.array_sort(F.collect_list(F.struct("t", "notification_id"))).alias("rows"))
     taken = F.aggregate(
-        "ts",
+        "rows",
         start,
-        lambda acc, t: F.when(
-            acc["last"].isNull() | (t - acc["last"] > gap),
-            F.struct(t.alias("last"), F.concat(acc["kept"], F.array(t)).alias("kept")),
+        lambda acc, r: F.when(
+            acc["last"].isNull() | (r["t"] - acc["last"] > gap),
+            F.struct(r["t"].alias("last"), F.concat(acc["kept"], F.array(r)).alias("kept")),
         ).otherwise(acc),
     )["kept"]
-    return grouped.select(*KEYS, F.explode(taken).alias("t"))
+    return grouped.select(*KEYS, F.inline(taken)).select(*KEYS, "t", "notification_id")
 
 
-def _chase(points: DataFrame, gap: int) -> DataFrame:
-    """Accepted instants of sessions of any size, by doubling the step along "next instant more than a gap later".
+def _chase(placed: DataFrame, gap: int) -> DataFrame:
+    """Accepted rows of sessions of any size, by doubling the step along "next instant more than a gap later".
 
-    Every join is on (user, type, instant), which is unique, so a large session is spread over all tasks. The
-    number of rounds is the logarithm of the session's length in gaps.
+    Of the rows at one instant only the first can be accepted. Every join is on (user, type, instant), which is
+    unique then, so a large session is spread over all tasks. The number of rounds is the logarithm of the
+    session's length in gaps.
     """
+    points = settle(placed.groupBy(*KEYS, "session", "first", "t").agg(F.min("notification_id").alias("notification_id")))
     jump = settle(next_greater(points, [*KEYS, "session"], "t", gap, "next").filter(F.col("next").isNotNull()).drop("session"))
     kept = settle(points.filter(F.col("t") == F.col("first")).select(*KEYS, "t"))
     while True:
         reached = kept.join(jump, [*KEYS, "t"]).select(*KEYS, F.col("next").alias("t"))
         if reached.isEmpty():
-            return kept
+            return points.join(kept, [*KEYS, "t"]).select(*KEYS, "t", "notification_id")
         kept = settle(kept.unionByName(reached))
         onward = jump.select(*KEYS, F.col("next").alias("far"), F.col("t").alias("next"))
         jump = settle(jump.join(onward, [*KEYS, "next"]).select(*KEYS, "t", F.col("far").alias("next")))
@@ -87,16 +90,11 @@ def _chase(points: DataFrame, gap: int) -> DataFrame:
 def dedup(notices: DataFrame, seconds: int = 3600, fold_rows: int = 10_000) -> DataFrame:
     """Accepted notices under the one-hour rule. Sessions above ``fold_rows`` take the doubling way."""
     gap = seconds * 1_000_000
-    micros = F.unix_micros(F.col("created_at").cast("timestamp"))
-    # of notices at one instant only the first can be accepted
-    points = notices.groupBy(*KEYS, micros.alias("t")).agg(F.min("notification_id").alias("notification_id"))
-    points = points.withColumn("slice", F.floor(F.col("t") / gap))
-    sessions = _sessions(points, gap)
-    placed = points.join(sessions, [*KEYS, "slice"])
+    rows = notices.select(*KEYS, "notification_id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("t"))
+    rows = rows.withColumn("slice", F.floor(F.col("t") / gap))
+    sessions = settle(_sessions(rows, gap))
+    placed = rows.join(sessions, [*KEYS, "slice"])
     accepted = _fold(placed.filter(F.col("rows") <= fold_rows), gap)
-    large = sessions.filter(F.col("rows") > fold_rows)
-    if not large.isEmpty():
-        accepted = accepted.unionByName(_chase(settle(placed.filter(F.col("rows") > fold_rows)), gap))
-    return points.join(accepted, [*KEYS, "t"]).select(
-        *KEYS, "notification_id", F.timestamp_micros("t").cast("timestamp_ntz").alias("created_at")
-    )
+    if not sessions.filter(F.col("rows") > fold_rows).isEmpty():
+        accepted = accepted.unionByName(_chase(placed.filter(F.col("rows") > fold_rows), gap))
+    return accepted.select(*KEYS, "notification_id", F.timestamp_micros("t").cast("timestamp_ntz").alias("created_at"))
