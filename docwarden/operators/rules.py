@@ -14,7 +14,7 @@ from docwarden.functions.bytes import byte_entropy
 from docwarden.operators import features
 from docwarden.session import once
 from docwarden.sources import archives
-from docwarden.sources.pdf_objects import pdf_facts
+from docwarden.sources.pdf_objects import with_pdf_facts
 
 FINDING = "struct<id:string,severity:string,message:string>"
 
@@ -47,7 +47,7 @@ def findings(df: DataFrame, entropy_limit: float = fixed.HIGH_ENTROPY_BITS, obje
     raw, ext, hits, facts = F.col("raw"), F.col("ext"), F.col("hits"), F.col("pdf")
     extra = {c: F.lit(0.0) for c in ("has_vba_project", "embedded_ole_count", "entropy_bits") if c not in have}
     viewed = once(df.withColumns(extra), {"raw": text.latin1(F.col("content"))})
-    base = once(viewed, {"hits": suspicious_hits(F.lower(raw)), "pdf": F.when(ext == ".pdf", pdf_facts(raw, object_cap))})
+    base = with_pdf_facts(once(viewed, {"hits": suspicious_hits(F.lower(raw))}), ext == ".pdf", cap=object_cap)
     readable = F.coalesce(facts["readable"], F.lit(False))
     subtype = facts["open_subtype"]
     is_office = ext.isin(*fixed.OFFICE_RULE_EXTS)

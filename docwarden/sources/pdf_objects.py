@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docwarden.session import once
+
 OBJECT = r"(?s)(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj"
 # a dictionary with up to one level inside; possessive, so a missing end costs one pass
 DICT = r"<<(?:[^<>]++|<<[^<>]*+>>|<[^<>]*+>)*+>>"
@@ -42,35 +44,42 @@ def _deep_threat(body: Column) -> Column:
     return is_dict & (top.rlike(r"/S\s*/Launch\b") | keys.rlike(r"/(JS|JavaScript)\b"))
 
 
-def pdf_facts(text: Column, cap: int | None = None) -> Column:
-    """Struct of what the structure rules need, computed inside the row: no explode, no shuffle.
+def with_pdf_facts(df: DataFrame, is_pdf: Column, source: str = "raw", out: str = "pdf", cap: int | None = None) -> DataFrame:
+    """Add a struct of what the structure rules need, computed inside the row: no explode, no shuffle.
 
     readable: a catalog object was found; open_subtype: action type of its OpenAction, given in place or by
-    reference; has_aa; names_js; deep: some object holds a script or launch action; has_objstm.
+    reference; has_aa; names_js; deep: some object holds a script or launch action; has_objstm. Null where
+    ``is_pdf`` does not hold.
     """
-    nums = F.regexp_extract_all(text, F.lit(OBJECT), 1)
-    bodies = F.regexp_extract_all(text, F.lit(OBJECT), 3)
-    catalog = F.coalesce(F.try_element_at(F.filter(bodies, lambda b: b.rlike(r"/Type\s*/Catalog\b")), F.lit(1)), F.lit(""))
+    raw, nums, bodies, catalog = F.col(source), F.col("_nums"), F.col("_bodies"), F.col("_catalog")
+    found = once(
+        df,
+        {
+            "_nums": F.when(is_pdf, F.regexp_extract_all(raw, F.lit(OBJECT), 1)),
+            "_bodies": F.when(is_pdf, F.regexp_extract_all(raw, F.lit(OBJECT), 3)),
+        },
+    )
+    is_catalog = lambda b: b.rlike(r"/Type\s*/Catalog\b")
+    rooted = once(found, {"_catalog": F.coalesce(F.try_element_at(F.filter(bodies, is_catalog), F.lit(1)), F.lit(""))})
 
-    def referenced(key: str) -> Column:
+    def value_of(key: str) -> Column:
+        """Dictionary of a catalog key, in place or behind a reference."""
+        inline = F.regexp_extract(catalog, key + r"\s*(" + DICT + ")", 1)
         number = F.regexp_extract(catalog, key + r"\s+(\d+)\s+\d+\s+R\b", 1)
-        hit = F.try_element_at(bodies, F.array_position(nums, number).cast("int"))
-        return F.when(number == "", F.lit("")).otherwise(F.coalesce(hit, F.lit("")))
+        target = F.try_element_at(bodies, F.nullif(F.array_position(nums, number), F.lit(0)).cast("int"))
+        return F.coalesce(F.nullif(inline, F.lit("")), target, F.lit(""))
 
-    inline_open = F.regexp_extract(catalog, r"/OpenAction\s*(" + DICT + ")", 1)
-    inline_names = F.regexp_extract(catalog, r"/Names\s*(" + DICT + ")", 1)
-    action = F.when(inline_open != "", inline_open).otherwise(referenced("/OpenAction"))
-    names = F.when(inline_names != "", inline_names).otherwise(referenced("/Names"))
     searched = bodies if cap is None else F.slice(bodies, 1, cap)
-    return F.struct(
+    facts = F.struct(
         (catalog != "").alias("readable"),
-        F.regexp_extract(action, r"/S\s*(/[A-Za-z]+)", 1).alias("open_subtype"),
+        F.regexp_extract(value_of("/OpenAction"), r"/S\s*(/[A-Za-z]+)", 1).alias("open_subtype"),
         catalog.rlike(r"/AA\b").alias("has_aa"),
-        names.rlike(r"/JavaScript\b").alias("names_js"),
+        value_of("/Names").rlike(r"/JavaScript\b").alias("names_js"),
         F.exists(searched, _deep_threat).alias("deep"),
-        F.contains(text, F.lit("/ObjStm")).alias("has_objstm"),
+        F.contains(raw, F.lit("/ObjStm")).alias("has_objstm"),
         F.size(bodies).alias("n_objects"),
     )
+    return once(rooted, {out: F.when(is_pdf, facts)}).drop("_nums", "_bodies", "_catalog")
 
 
 def references(objects: DataFrame) -> DataFrame:

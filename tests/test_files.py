@@ -141,13 +141,14 @@ def test_training_table(spark):
 
 
 def test_pdf_facts(spark):
-    df = fx.frame(spark).withColumn("f", pdf_objects.pdf_facts(text.latin1(F.col("content"))))
+    df = pdf_objects.with_pdf_facts(features.with_text(fx.frame(spark)), F.col("ext") == ".pdf", out="f")
     got = {k: r["f"] for k, r in by_id(df).items()}
     assert got[8]["readable"] and got[8]["open_subtype"] == "" and not got[8]["deep"]
     assert got[9]["open_subtype"] == "/JavaScript" and got[9]["deep"]
     assert got[10]["open_subtype"] == "/Launch" and not got[10]["deep"]
     assert got[11]["names_js"] and got[11]["deep"]
     assert not got[12]["readable"] and got[13]["has_objstm"]
+    assert got[1] is None and not got[14]["readable"]
 
 
 def test_object_cap_is_an_option(spark):
