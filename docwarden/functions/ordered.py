@@ -62,6 +62,18 @@ def running_number(
     )
 
 
+def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int, out: str) -> DataFrame:
+    """The first k rows of each key with their rank.
+
+    Spark limits each input split to k rows per key, but a key that is in every split would still send all of
+    those to one task. They are limited once more per group of splits on the way.
+    """
+    grouped = df.withColumn("_group", F.spark_partition_id() % SLICES)
+    near = Window.partitionBy(*keys, "_group").orderBy(*order)
+    kept = grouped.withColumn("_near", F.row_number().over(near)).filter(F.col("_near") <= k).drop("_near", "_group")
+    return kept.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(out) <= k)
+
+
 def group_share(df: DataFrame, keys: Sequence[str], id_column: str, out: str) -> DataFrame:
     """Position of each row among the rows of its key, by the hash of its id, as a share in (0, 1]."""
     hashed = df.withColumn("_hash", F.sha2(F.col(id_column).cast("string"), 256))

@@ -249,6 +249,21 @@ def display_signals(verdict: Column, rule_score: Column, model_prob: Column, ris
     return {"rules": rules, "lgbm": model_prob, "tree": tree, "dl": risk, "composite": risk}
 
 
+def signal_aliases(signals: Column) -> Column:
+    """Signal map with the short names beside the long ones; a short name that is there already is overwritten."""
+    names = {"P_LGBM": "lgbm", "P_TREE": "tree", "P_DL": "dl", "P_RULES": "rules"}
+    pairs = F.array_compact(
+        F.array(
+            *[
+                F.when(F.map_contains_key(signals, long), F.struct(F.lit(short).alias("key"), F.element_at(signals, long).alias("value")))
+                for long, short in names.items()
+            ]
+        )
+    )
+    extra = F.map_from_entries(pairs)
+    return F.map_concat(F.map_filter(signals, lambda k, _: ~F.map_contains_key(extra, k)), extra)
+
+
 def normalise_verdict(verdict: Column, risk: Column, upper: bool = True) -> Column:
     """A missing verdict, or one that tells of a scan error, is decided by the score."""
     by_score = F.when(F.coalesce(risk, F.lit(0.0)) >= 0.5, "malicious").otherwise("benign")

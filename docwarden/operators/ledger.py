@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docwarden.functions import fixed, text
-from docwarden.functions.ordered import quantile_slices, running_number
+from docwarden.functions.ordered import quantile_slices, running_number, top_per_key
 from docwarden.operators.ensemble import normalise_verdict
 
 
@@ -144,8 +144,7 @@ def usage_last_months(usage: DataFrame, months: int = 12) -> DataFrame:
 
 def latest_per_user(scans: DataFrame, k: int, id_column: str = "scan_id") -> DataFrame:
     """The k newest rows of each user with their rank. At most k rows of a user leave a task, however many it holds."""
-    w = Window.partitionBy("user_id").orderBy(F.desc("created_at"), id_column)
-    return scans.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return top_per_key(scans, ["user_id"], [F.desc("created_at"), id_column], k, "rank")
 
 
 def history(scans: DataFrame, k: int = 50) -> DataFrame:

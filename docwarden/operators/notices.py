@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docwarden.functions.ordered import next_greater
+from docwarden.functions.ordered import next_greater, top_per_key
 from docwarden.session import settle
 
 KEYS = ["user_id", "type"]
@@ -17,8 +17,7 @@ KEYS = ["user_id", "type"]
 
 def inbox(notices: DataFrame, k: int = 50) -> DataFrame:
     """Unread first, newest first, k per user, with the number of unread ones among them."""
-    w = Window.partitionBy("user_id").orderBy("is_read", F.desc("created_at"), "notification_id")
-    shown = notices.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    shown = top_per_key(notices, ["user_id"], ["is_read", F.desc("created_at"), "notification_id"], k, "rank")
     return shown.withColumn("unread_count", F.count_if(~F.col("is_read")).over(Window.partitionBy("user_id")))
 
 

@@ -21,8 +21,8 @@ FINDING = "struct<id:string,severity:string,message:string>"
 
 def suspicious_hits(low: Column) -> Column:
     """Distinct suspicious strings in a lower-cased text, sorted."""
-    words = F.array(*[F.lit(w) for w in fixed.SUSPICIOUS_STRINGS])
-    return F.array_sort(F.array_distinct(F.filter(words, lambda w: F.contains(low, w))))
+    found = [F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in fixed.SUSPICIOUS_STRINGS]
+    return F.array_sort(F.array_compact(F.array(*found)))
 
 
 def _finding(rule: str, message: Column | None = None) -> Column:
@@ -47,7 +47,8 @@ def findings(df: DataFrame, entropy_limit: float = fixed.HIGH_ENTROPY_BITS, obje
     raw, ext, hits, facts = F.col("raw"), F.col("ext"), F.col("hits"), F.col("pdf")
     extra = {c: F.lit(0.0) for c in ("has_vba_project", "embedded_ole_count", "entropy_bits") if c not in have}
     viewed = once(df.withColumns(extra), {"raw": text.latin1(F.col("content"))})
-    base = with_pdf_facts(once(viewed, {"hits": suspicious_hits(F.lower(raw))}), ext == ".pdf", cap=object_cap)
+    hit = once(once(viewed, {"low": F.lower(raw)}), {"hits": suspicious_hits(F.col("low"))}).drop("low")
+    base = with_pdf_facts(hit, ext == ".pdf", cap=object_cap)
     readable = F.coalesce(facts["readable"], F.lit(False))
     subtype = facts["open_subtype"]
     is_office = ext.isin(*fixed.OFFICE_RULE_EXTS)

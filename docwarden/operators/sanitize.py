@@ -236,7 +236,7 @@ def ooxml_clean(df: DataFrame, mode: str = "light", terms: tuple[str, ...] | Non
 
 
 def sanitize(df: DataFrame, policy: str = "malicious_only", archives_too: bool = True) -> DataFrame:
-    """Clean content of scanned files: (file_id, ext, content, verdict) -> + clean, changed, engine, sanitized.
+    """Clean content of scanned files: (file_id, ext, content, verdict) -> + clean, changed, engine, notes, sanitized.
 
     ``malicious_only`` leaves every other file as it is; ``always`` cleans all. A type without a cleaner, and a
     file that its cleaner cannot read, keep their content.
@@ -262,6 +262,8 @@ def sanitize(df: DataFrame, policy: str = "malicious_only", archives_too: bool =
         packed = ooxml_clean(df.filter(due & ext.isin(*fixed.OOXML_EXTS))).select("file_id", F.col("clean").alias("_packed"))
         out = out.join(packed, "file_id", "left").withColumn("_clean", F.coalesce("_clean", "_packed")).drop("_packed")
     out = out.withColumn("clean", F.coalesce("_clean", "content")).drop("_clean")
+    kept = F.when(F.col("engine") == "passthrough", "Unsupported type or sanitizer failed; original retained")
+    out = out.withColumn("notes", kept)
     return out.withColumns(
         {"changed": F.sha2("clean", 256) != F.sha2("content", 256), "sanitized": due & (F.col("engine") != "passthrough")}
     )

@@ -427,3 +427,36 @@ def scan_findings(spark: SparkSession, folder: str) -> DataFrame:
         F.replace(text_of, F.lit(fixed.RULE_MESSAGES["suspicious_strings"]), F.lit("")).alias("first_hits"),
         F.array_join("recommendations", " | ").alias("advice"),
     )
+
+
+def _hits_sql(rows: str) -> str:
+    return f"""WITH corpus AS ({rows}), h AS (SELECT file_id, {sql.SUSPICIOUS} AS hits FROM corpus)
+SELECT file_id, CASE WHEN len(hits) > 0 THEN 15 ELSE 0 END AS points, array_to_string(hits, ', ') AS hits, 'benign' AS verdict FROM h"""
+
+
+def _string_scan(files: DataFrame) -> DataFrame:
+    s = rules.scan(files, with_entropy=False)
+    hits = rules.suspicious_hits(F.lower(text.latin1(F.col("content"))))
+    return s.select("file_id", "points", F.array_join(hits, ", ").alias("hits"), "verdict")
+
+
+@query("pages_scan", _hits_sql("SELECT page_id AS file_id, html AS text FROM pages"))
+def pages_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Web pages as files named by their address."""
+    p = table(spark, folder, "pages")
+    return _string_scan(
+        p.select(F.col("page_id").alias("file_id"), text.split_ext(F.col("url")).alias("ext"), F.encode("html", "UTF-8").alias("content"))
+    )
+
+
+@query(
+    "conversations_scan",
+    _hits_sql("SELECT conv_id * 100000 + turn AS file_id, text || CASE WHEN turn % 5 = 2 THEN ' PowerShell eval(x)' ELSE '' END AS text FROM conversations"),
+)
+def conversations_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns of conversations as text files, every fifth with planted words."""
+    c = table(spark, folder, "conversations")
+    body = F.concat("text", F.when(F.col("turn") % 5 == 2, " PowerShell eval(x)").otherwise(""))
+    return _string_scan(
+        c.select((F.col("conv_id") * 100000 + F.col("turn")).alias("file_id"), F.lit(".txt").alias("ext"), F.encode(body, "UTF-8").alias("content"))
+    )

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from docwarden.functions.ordered import group_share, next_greater, quantile_slices, running_number
+from docwarden.functions.ordered import group_share, next_greater, quantile_slices, running_number, top_per_key
 from docwarden.functions.skew import attach_by_key
 from docwarden.operators import accounts, cleaning, ensemble, learning, ledger, notices
 from docwarden.operators.learning import metrics, roc_auc
@@ -157,7 +157,27 @@ def test_usage_merge_is_incremental(spark):
 def test_top_k_limits_before_the_exchange(spark, folder):
     out = ledger.latest_per_user(tables.scans(spark, folder), 5)
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
+    # per input split, per group of splits, per user
+    assert plan.count("WindowGroupLimit") >= 3
+
+
+def test_top_per_key_on_a_hot_key(spark):
+    rnd = random.Random(2)
+    rows = [(i, 0 if rnd.random() < 0.6 else rnd.randrange(1, 6), rnd.randrange(50)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id bigint, k bigint, v bigint").repartition(16, "id")
+    got = {(r["k"], r["rank"]): r["id"] for r in top_per_key(df, ["k"], [F.desc("v"), "id"], 7, "rank").collect()}
+    expected = {}
+    for k in range(6):
+        for rank, row in enumerate(sorted((r for r in rows if r[1] == k), key=lambda r: (-r[2], r[0]))[:7], 1):
+            expected[k, rank] = row[0]
+    assert got == expected
+
+
+def test_signal_aliases(spark):
+    df = spark.sql("SELECT map('P_LGBM', 0.5D, 'P_RULES', 0.25D, 'rules', 9D, 'x', 1D) AS m")
+    assert df.select(ensemble.signal_aliases(F.col("m")).alias("m")).first()["m"] == {
+        "P_LGBM": 0.5, "P_RULES": 0.25, "rules": 0.25, "x": 1.0, "lgbm": 0.5,
+    }
 
 
 def test_page_bounds(spark, folder):
