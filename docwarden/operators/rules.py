@@ -16,8 +16,6 @@ from docwarden.session import once
 from docwarden.sources import archives
 from docwarden.sources.pdf_objects import with_pdf_facts
 
-FINDING = "struct<id:string,severity:string,message:string>"
-
 
 def suspicious_hits(low: Column) -> Column:
     """Distinct suspicious strings in a lower-cased text, sorted."""

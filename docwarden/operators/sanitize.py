@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docwarden.functions import fixed, text
-from docwarden.functions.vocabulary import prefix_pattern, scrub_terms
+from docwarden.functions.vocabulary import prefix_pattern
 from docwarden.operators import rules
 from docwarden.session import once
 from docwarden.sources import archives
