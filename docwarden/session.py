@@ -54,11 +54,11 @@ def settle(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash the rows over all cores when the scan itself yields fewer tasks than there are cores.
 
-    A table of many files already has more splits than cores and is returned as it is. Keys are ids, so the
+    A table with a split for every core is returned as it is: a large corpus is never moved. Keys are ids, so the
     placement is the same when a lost task runs again.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 4 * cores:
+    if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *[F.col(k) for k in keys])
 

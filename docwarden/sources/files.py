@@ -14,10 +14,26 @@ def read_files(spark: SparkSession, root: str, max_bytes: int | None = None) ->
     The size limit is a predicate on ``length``, which the reader applies before it opens a file.
     """
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return _as_files(df, max_bytes)
+
+
+def read_arriving_files(spark: SparkSession, root: str, files_per_batch: int = 1000, max_bytes: int | None = None) -> DataFrame:
+    """The same rows for files as they appear below ``root``, a bounded number of them per batch."""
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    reader = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true")
+    return _as_files(reader.option("maxFilesPerTrigger", files_per_batch).load(root), max_bytes)
+
+
+def _as_files(df: DataFrame, max_bytes: int | None) -> DataFrame:
     if max_bytes is not None:
         df = df.filter(F.col("length") <= max_bytes)
     return df.select(
-        "path", F.col("modificationTime").alias("modified"), "length", "content", text.split_ext(F.col("path")).alias("ext")
+        F.xxhash64("path").alias("file_id"),
+        "path",
+        F.col("modificationTime").alias("modified"),
+        "length",
+        "content",
+        text.split_ext(F.col("path")).alias("ext"),
     )
 
 

@@ -130,3 +130,25 @@ def test_stream_form_of_the_ledger_queries(spark, folder):
 
     queries = all_queries()[0]
     assert rows(queries["stream_plan_state"](spark, folder)) == rows(account_plans.webhook_plan_state(spark, folder))
+
+
+def test_files_are_scanned_as_they_arrive(spark, tmp_path):
+    import fixtures as fx
+
+    from docwarden.operators import rules
+    from docwarden.sources.files import read_arriving_files, read_files
+
+    root, out = tmp_path / "in", str(tmp_path / "out")
+    root.mkdir()
+
+    def run():
+        return append_all(jobs.scan_arrivals(read_arriving_files(spark, str(root), files_per_batch=1)), out)
+
+    (root / "a.pdf").write_bytes(fx.PDF_SAFE)
+    (root / "b.pdf").write_bytes(fx.PDF_LAUNCH)
+    assert sorted(r["verdict"] for r in run().collect()) == ["benign", "malicious"]
+    (root / "c.rtf").write_bytes(fx.RTF_OBJECT)
+    got = run()
+    assert got.count() == 3
+    batch = rules.scan(read_files(spark, str(root)), with_entropy=False)
+    assert rows(got.select("file_id", "verdict")) == rows(batch.select("file_id", "verdict"))
