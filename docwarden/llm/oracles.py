@@ -57,10 +57,10 @@ FROM ruled LEFT JOIN scores USING (host)
 
 
 # the remainders of single bytes, then one step per byte of the text's UTF-8
-_TABLE = "list_transform(range(256), i -> list_reduce(list_concat([i], range(8)), (c, k) -> CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
-_BYTES = "list_transform(regexp_extract_all(hex(encode(text)), '..'), h -> ('0x' || h)::BIGINT)"
+_TABLE = "list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+_BYTES = "list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT)"
 CRC32 = (
-    f"xor(list_reduce(list_concat([4294967295::BIGINT], {_BYTES}), (c, b) -> xor(c >> 8, "
+    f"xor(list_reduce(list_concat([4294967295::BIGINT], {_BYTES}), lambda c, b: xor(c >> 8, "
     "t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"
 )
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docwarden.llm import mixing, sharding, url_trust, warc
+from docwarden.llm import line_crf, mixing, ngram_rules, sharding, url_trust, warc
 from docwarden.llm.common import table
 from docwarden.llm.oracles import ORACLES  # noqa: F401
 from docwarden.session import shared_folder
@@ -50,9 +50,27 @@ def op9_hash_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op8_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    field = line_crf.fit(docs, table(spark, sf_dir, "labels"))
+    scored = line_crf.score(docs.select("doc_id", "text"), field)
+    return scored.select(
+        "doc_id",
+        line_crf.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= line_crf.CUT).cast("int").alias("predicted"),
+    )
+
+
+def op10_ngram_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_rules.judge(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_url_trust": op4_url_trust,
     "op6_feistel_shards": op6_feistel_shards,
     "op7_warc": op7_warc,
+    "op8_line_crf": op8_line_crf,
     "op9_hash_mix": op9_hash_mix,
+    "op10_ngram_rules": op10_ngram_rules,
 }
