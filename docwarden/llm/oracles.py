@@ -142,7 +142,31 @@ FROM sized JOIN needs USING (key) JOIN cut USING (key)
 """
 
 
+SETS = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {WORDS}) AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+  FROM words
+), sizes AS (
+  SELECT doc_id, count(s) AS n FROM documents LEFT JOIN shingles USING (doc_id) GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)
+), both_ways AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach AS (
+  SELECT doc_id AS x, doc_id AS r FROM documents UNION SELECT b.y, r.r FROM reach r JOIN both_ways b ON b.x = r.x
+)
+SELECT r.x AS doc_id, s.n AS n_shingles, min(r.r) AS component_id FROM reach r JOIN sizes s ON s.doc_id = r.x GROUP BY 1, 2
+"""
+
+
 ORACLES = {
+    "op2_set_join": SETS,
     "op4_url_trust": _url_trust(),
     "op6_feistel_shards": _shards(),
     "op7_warc": WARC,
