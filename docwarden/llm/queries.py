@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docwarden.llm import line_crf, mixing, ngram_rules, set_join, sharding, url_trust, warc
+from docwarden.llm import line_crf, mixing, near_vectors, ngram_rules, set_join, sharding, url_trust, warc
 from docwarden.llm.common import table
 from docwarden.llm.oracles import ORACLES  # noqa: F401
 from docwarden.session import shared_folder
@@ -15,6 +15,10 @@ from docwarden.session import shared_folder
 SHARDS = 8
 
 
+def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op2_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.join_sets(table(spark, sf_dir, "documents"))
 
@@ -71,6 +75,7 @@ def op10_ngram_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_vectors": op1_near_vectors,
     "op2_set_join": op2_set_join,
     "op4_url_trust": op4_url_trust,
     "op6_feistel_shards": op6_feistel_shards,
