@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docwarden.llm import line_crf, mixing, near_vectors, ngram_rules, set_join, sharding, url_trust, warc
+from docwarden.llm import chat_repair, line_crf, mixing, near_vectors, ngram_rules, set_join, sharding, url_trust, warc
 from docwarden.llm.common import table
 from docwarden.llm.oracles import ORACLES  # noqa: F401
 from docwarden.session import shared_folder
@@ -23,6 +23,10 @@ def op2_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.join_sets(table(spark, sf_dir, "documents"))
 
 
+def op3_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.repair(table(spark, sf_dir, "conversations"))
+
+
 def op4_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trust.judge_urls(table(spark, sf_dir, "pages")).drop("trust", "distrust")
 
@@ -77,6 +81,7 @@ def op10_ngram_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_near_vectors": op1_near_vectors,
     "op2_set_join": op2_set_join,
+    "op3_chat_repair": op3_chat_repair,
     "op4_url_trust": op4_url_trust,
     "op6_feistel_shards": op6_feistel_shards,
     "op7_warc": op7_warc,
