@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docwarden.llm import chat_repair, line_crf, mixing, near_vectors, ngram_rules, set_join, sharding, url_trust, warc
+from docwarden.llm import chat_repair, line_crf, mixing, near_vectors, ngram_rules, piece_lattice, set_join, sharding, url_trust, warc
 from docwarden.llm.common import table
 from docwarden.llm.oracles import ORACLES  # noqa: F401
 from docwarden.session import shared_folder
@@ -31,6 +31,12 @@ def op4_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trust.judge_urls(table(spark, sf_dir, "pages")).drop("trust", "distrust")
 
 
+def op5_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = piece_lattice.encode(table(spark, sf_dir, "documents"))
+    back = piece_lattice.decode(F.col("ids"))
+    return ids.select("doc_id", F.size("ids").alias("n_pieces"), "ids", F.crc32(F.encode(back, "UTF-8")).alias("decoded_crc32"))
+
+
 def op6_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(
         "doc_id",
@@ -83,6 +89,7 @@ QUERIES = {
     "op2_set_join": op2_set_join,
     "op3_chat_repair": op3_chat_repair,
     "op4_url_trust": op4_url_trust,
+    "op5_piece_lattice": op5_piece_lattice,
     "op6_feistel_shards": op6_feistel_shards,
     "op7_warc": op7_warc,
     "op8_line_crf": op8_line_crf,
