@@ -5,7 +5,7 @@ Words are runs of anything but ASCII white space, which is what ``bytes.split``
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import xxhash
@@ -18,6 +18,18 @@ def as_bytes(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "replace")
 
 
+def slices(texts: Sequence[str | None], chars: int = 1 << 20) -> Iterator[slice]:
+    """Cut a batch into runs of rows of about ``chars`` characters, so that what is held at once is bounded."""
+    start, held = 0, 0
+    for i, text in enumerate(texts):
+        held += len(text or "")
+        if held >= chars:
+            yield slice(start, i + 1)
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 def word_hashes(words: Sequence[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
