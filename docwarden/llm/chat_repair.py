@@ -142,7 +142,7 @@ def _open(role: int, first: bool) -> str:
     return ("" if first else "<|im_end|>\n") + f"<|im_start|>{ROLES[role]}\n"
 
 
-OUTPUT = "conv_id long, turn long, seq long, part int, action string, given string, role string, cost int, fragment string"
+OUTPUT = "conv_id string, turn string, seq long, part int, action string, given string, role string, cost int, fragment string"
 
 
 def _repaired(block: pd.DataFrame) -> Iterator[tuple]:
@@ -152,7 +152,7 @@ def _repaired(block: pd.DataFrame) -> Iterator[tuple]:
     known = not pd.isna(head["start"])
     start = int(head["start"]) if known else 0
     moves, end = path(given, start, int(head["end"]) if known else None)
-    conv = None if pd.isna(head["conv_id"]) else int(head["conv_id"])
+    conv = head["conv_id"]
     state = start
     for (role, action, between), was, turn, seq, name, text in zip(
         moves, given, block["turn"], block["seq"], block["role"], block["text"], strict=True
@@ -168,7 +168,7 @@ def _repaired(block: pd.DataFrame) -> Iterator[tuple]:
         else:
             opening = _open(role, state == 0)
         cost = relabelled + (MERGE if action == "merge" else 0)
-        yield conv, None if pd.isna(turn) else int(turn), seq, 1, shown, name, ROLES[role], cost, opening + _clean(text)
+        yield conv, turn, seq, 1, shown, name, ROLES[role], cost, opening + _clean(text)
         state = role
     if last:
         for i, put in enumerate(CLOSING[end]):
@@ -218,15 +218,17 @@ def repair(turns: DataFrame, block: int = BLOCK) -> DataFrame:
         for part in _blocks(batches):
             out.extend(_repaired(part))
             if len(out) > 5000:
-                yield pd.DataFrame(out, columns=names).astype({"conv_id": "Int64", "turn": "Int64"})
+                yield pd.DataFrame(out, columns=names)
                 out = []
         if out:
-            yield pd.DataFrame(out, columns=names).astype({"conv_id": "Int64", "turn": "Int64"})
+            yield pd.DataFrame(out, columns=names)
 
     return (
         rows.join(states, "group", "left")
-        .select("conv_id", "turn", "role", "text", "seq", "turns", "group", "row_no", "start", "end")
+        # numbers with nulls would become floating-point numbers on the way
+        .select(F.col("conv_id").cast("string"), F.col("turn").cast("string"), "role", "text", "seq", "turns", "group", "row_no", "start", "end")
         .repartition("group")
         .sortWithinPartitions("group", "row_no")
         .mapInPandas(repaired, OUTPUT)
+        .withColumns({"conv_id": F.col("conv_id").cast("long"), "turn": F.col("turn").cast("long")})
     )
