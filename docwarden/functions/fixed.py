@@ -166,7 +166,12 @@ SCRUB_FAMILIES = (
 )
 # seeds that only the PDF vocabulary has
 SCRUB_PDF_ONLY = ("doc.exportdataobject", "util.printf", "app.launchurl", "this.submitform", "geturl")
-SCRUB_LEET = {"a": "a4@", "e": "e3", "i": "i1!", "o": "o0", "s": "s5$", "t": "t7"}
+SCRUB_LEET = {
+    "a": ("a", "4", "@"), "e": ("e", "3"), "i": ("i", "1", "!"),
+    "o": ("o", "0"), "s": ("s", "5", "$"), "t": ("t", "7"),
+}
+#: What stands before and after a word in its path forms.
+SCRUB_PATH_FORMS = (("", ""), ("/", ""), ("\\", ""), ("", "/"), ("", "\\"), ("/", "/"), ("\\", "\\"))
 SCRUB_LEET_CAP = 8
 SCRUB_SEPARATORS = ("", ".", "_", "-", "\u200b")
 SCRUB_PREFIXES = ("", "/", "\\")

@@ -65,8 +65,9 @@ def running_number(
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int, out: str) -> DataFrame:
     """The first k rows of each key with their rank.
 
-    Spark limits each input split to k rows per key, but a key that is in every split would still send all of
-    those to one task. They are limited once more per group of splits on the way.
+    Up to ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000) Spark limits each input split to k rows per key.
+    A key that is in every split would still send all of those to one task, so they are limited once more per group
+    of splits on the way; for a larger k that step is the first to limit.
     """
     grouped = df.withColumn("_group", F.spark_partition_id() % SLICES)
     near = Window.partitionBy(*keys, "_group").orderBy(*order)

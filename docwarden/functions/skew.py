@@ -14,10 +14,12 @@ def attach_by_key(left: DataFrame, right: DataFrame, keys: Sequence[str], weight
     """Inner join with a right side that has one row per key and knows, in ``weight``, how often the left holds it.
 
     Keys with more than a thousandth of all left rows are fewer than a thousand, so that part of the right side
-    is broadcast and the hot rows stay where they are. All other keys are joined by hash.
+    is broadcast and the hot rows stay where they are. They are taken out of the left side before the rest of it is
+    joined by hash.
     """
     limit = max(1.0, total * HOT_SHARE)
     hot = right.filter(F.col(weight) > limit)
     rest = right.filter(F.col(weight) <= limit)
     on = list(keys)
-    return left.join(F.broadcast(hot), on).unionByName(left.join(rest, on))
+    cold = left.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return left.join(F.broadcast(hot), on).unionByName(cold.join(rest, on))

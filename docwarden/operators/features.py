@@ -25,16 +25,14 @@ def ext_flags(ext: Column) -> dict[str, Column]:
     return {f"ext_is_{e[1:]}": (ext == e).cast("int") for e in fixed.SUPPORTED_EXTS}
 
 
-def hashes(df: DataFrame, prefix_bytes: int | None = None) -> DataFrame:
-    """SHA-256 and size; ``prefix_bytes`` hashes only the head, as the training manifest does."""
-    hashed = F.col("content") if prefix_bytes is None else F.substring("content", 1, prefix_bytes)
-    return df.select("file_id", F.sha2(hashed, 256).alias("sha256"), F.octet_length("content").alias("size_bytes"))
+def hashes(df: DataFrame) -> DataFrame:
+    """SHA-256 and size of whole contents."""
+    return df.select("file_id", F.sha2("content", 256).alias("sha256"), F.octet_length("content").alias("size_bytes"))
 
 
-def normalised_entropy(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
-    """Entropy scaled to 0..1; ``max_bytes`` looks at the head only."""
-    seen = F.col("content") if max_bytes is None else F.substring("content", 1, max_bytes)
-    return df.select("file_id", F.least(F.lit(1.0), byte_entropy(seen) / 8.0).alias("entropy"))
+def normalised_entropy(df: DataFrame) -> DataFrame:
+    """Entropy of whole contents scaled to 0..1."""
+    return df.select("file_id", F.least(F.lit(1.0), byte_entropy(F.col("content")) / 8.0).alias("entropy"))
 
 
 def general(df: DataFrame) -> DataFrame:
@@ -308,10 +306,10 @@ def office_text(members: DataFrame) -> DataFrame:
 def sniff_ext(df: DataFrame) -> DataFrame:
     """Type from the first bytes for files that have no suffix; archives are told apart by their folders."""
     content = F.col("content")
-    head = text.latin1(F.substring("content", 1, 32 * 1024))
+    head = text.latin1(content)
     kind = (
         F.when(F.startswith(head, F.lit("%PDF")), ".pdf")
-        .when(head.rlike(r"^[ \t\n\r\x0b\f]*\{\\rtf"), ".rtf")
+        .when(head.rlike(r"\A[ \t\n\r\x0b\f]*\{\\rtf"), ".rtf")
         .when(is_ole(content), ".xls")
     )
     # other contents are not shipped to Python; the directory is the only part of an archive that is read

@@ -36,7 +36,7 @@ def points_of(findings: Column) -> Column:
     return F.aggregate(findings, F.lit(0), lambda acc, f: acc + F.coalesce(F.try_element_at(value, f["id"]), F.lit(0)))
 
 
-def findings(df: DataFrame, entropy_limit: float = fixed.HIGH_ENTROPY_BITS, object_cap: int | None = None) -> DataFrame:
+def findings(df: DataFrame, entropy_limit: float = fixed.HIGH_ENTROPY_BITS) -> DataFrame:
     """(file_id, ext, content [, has_vba_project, embedded_ole_count, entropy_bits]) -> findings, points, rule_score.
 
     Optional columns that are absent count as 0, which also leaves their rules silent.
@@ -46,7 +46,7 @@ def findings(df: DataFrame, entropy_limit: float = fixed.HIGH_ENTROPY_BITS, obje
     extra = {c: F.lit(0.0) for c in ("has_vba_project", "embedded_ole_count", "entropy_bits") if c not in have}
     viewed = once(df.withColumns(extra), {"raw": text.latin1(F.col("content"))})
     hit = once(once(viewed, {"low": F.lower(raw)}), {"hits": suspicious_hits(F.col("low"))}).drop("low")
-    base = with_pdf_facts(hit, ext == ".pdf", cap=object_cap)
+    base = with_pdf_facts(hit, ext == ".pdf")
     readable = F.coalesce(facts["readable"], F.lit(False))
     subtype = facts["open_subtype"]
     is_office = ext.isin(*fixed.OFFICE_RULE_EXTS)

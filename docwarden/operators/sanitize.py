@@ -239,7 +239,9 @@ def sanitize(df: DataFrame, policy: str = "malicious_only", archives_too: bool =
     """Clean content of scanned files: (file_id, ext, content, verdict) -> + clean, changed, engine, notes, sanitized.
 
     ``malicious_only`` leaves every other file as it is; ``always`` cleans all. A type without a cleaner, and a
-    file that its cleaner cannot read, keep their content.
+    file that its cleaner cannot read, keep their content: ``engine``, ``notes`` and ``sanitized`` say what a cleaner
+    returned, not what it was asked for. Only due archives are opened and moved; all other files are cleaned in
+    their rows.
     """
     if policy not in ("malicious_only", "always"):
         raise ValueError(f"unknown policy {policy}")
@@ -250,18 +252,16 @@ def sanitize(df: DataFrame, policy: str = "malicious_only", archives_too: bool =
     clean = F.when(due & (ext == ".pdf"), F.encode(stripped, "ISO-8859-1")).when(
         due & (ext == ".rtf"), F.encode(rtf_light(raw), "ISO-8859-1")
     )
-    engine = (
-        F.when(~due, "none")
-        .when(ext == ".pdf", "pdf_strip")
-        .when(ext.isin(*fixed.OOXML_EXTS), "ooxml_purge")
-        .when(ext == ".rtf", "rtf_convert")
-        .otherwise("passthrough")
-    )
-    out = df.withColumns({"_clean": clean, "engine": engine})
+    out = df.withColumn("_clean", clean)
     if archives_too:
-        packed = ooxml_clean(df.filter(due & ext.isin(*fixed.OOXML_EXTS))).select("file_id", F.col("clean").alias("_packed"))
-        out = out.join(packed, "file_id", "left").withColumn("_clean", F.coalesce("_clean", "_packed")).drop("_packed")
-    out = out.withColumn("clean", F.coalesce("_clean", "content")).drop("_clean")
+        # every type whose archive rules can find something can also be cleaned
+        archive = F.coalesce(due & ext.isin(*fixed.OFFICE_RULE_EXTS), F.lit(False))
+        packed = ooxml_clean(df.filter(archive)).select("file_id", F.col("clean").alias("_clean"))
+        opened = df.filter(archive).join(packed, "file_id", "left")
+        out = out.filter(~archive).unionByName(opened)
+    cleaner = F.when(ext == ".pdf", "pdf_strip").when(ext == ".rtf", "rtf_convert").otherwise("ooxml_purge")
+    engine = F.when(~due, "none").when(F.col("_clean").isNotNull(), cleaner).otherwise("passthrough")
+    out = out.withColumn("engine", engine).withColumn("clean", F.coalesce("_clean", "content")).drop("_clean")
     kept = F.when(F.col("engine") == "passthrough", "Unsupported type or sanitizer failed; original retained")
     out = out.withColumn("notes", kept)
     return out.withColumns(
@@ -274,19 +274,22 @@ def mark_unchanged(clean: Column, original: Column, marker: str = "\n% sanitized
     return F.when(F.sha2(clean, 256) == F.sha2(original, 256), F.concat(clean, F.lit(marker.encode()).cast("binary"))).otherwise(clean)
 
 
-def rescan(df: DataFrame, policy: str = "malicious_only", archives_too: bool = False) -> DataFrame:
+def rescan(df: DataFrame, policy: str = "malicious_only", archives_too: bool = True, with_entropy: bool = True) -> DataFrame:
     """Scan, clean, scan again, in one row per file: verdict and risk before and after, and their difference.
 
-    With text formats only, the clean content stays in its row and the second scan needs no join.
+    All rules are on. For text formats only, archives and entropy may be left out: the clean content then stays in
+    its row and the second scan needs no join.
     """
-    first = rules.scan(df, with_archives=archives_too, with_entropy=False)
+    first = rules.scan(df, with_archives=archives_too, with_entropy=with_entropy)
     kept = first.select(
         "file_id", "ext", "content", "verdict",
         F.col("risk_score").alias("risk_before"), F.col("findings").alias("findings_before"),
     )
     cleaned = sanitize(kept, policy, archives_too)
     second = cleaned.withColumnsRenamed({"verdict": "verdict_before", "content": "original"}).withColumnRenamed("clean", "content")
-    again = rules.scan(second, with_archives=archives_too, with_entropy=False)
+    measured = ("entropy_bits", "has_vba_project", "embedded_ole_count")
+    second = second.drop(*[c for c in measured if c in second.columns])
+    again = rules.scan(second, with_archives=archives_too, with_entropy=with_entropy)
     return again.select(
         "file_id", "ext", "original", F.col("content").alias("clean"), "engine", "changed", "sanitized",
         "verdict_before", "risk_before", "findings_before",

@@ -11,7 +11,7 @@ from docwarden.operators import ensemble, features, rules, sanitize
 REPORT_VERSION = 1
 
 
-def reports(df: DataFrame, policy: str = "malicious_only", archives_too: bool = False) -> DataFrame:
+def reports(df: DataFrame, policy: str = "malicious_only", archives_too: bool = True) -> DataFrame:
     """(file_id, ext, content) -> (file_id, verdict, clean_sha256, report): the report is nested JSON."""
     r = sanitize.rescan(df, policy, archives_too)
     fields = {"id", "severity", "message"}

@@ -502,14 +502,17 @@ _CLEANED = f"""cleaned AS (
     "sanitize_policy",
     f"""WITH {sql.CORPUS}, {sql.RULES}, {_CLEANED}
 SELECT file_id, verdict_before AS verdict, text <> original AS changed, sha256(encode(text)) AS clean_sha256,
-  CASE WHEN verdict_before <> 'malicious' THEN 'none' WHEN ext = '.pdf' THEN 'pdf_strip' WHEN ext IN ('.docx', '.xlsx', '.pptx') THEN 'ooxml_purge'
-    WHEN ext = '.rtf' THEN 'rtf_convert' ELSE 'passthrough' END AS engine FROM cleaned""",
+  CASE WHEN verdict_before <> 'malicious' THEN 'none' WHEN ext = '.pdf' THEN 'pdf_strip' 
+    WHEN ext = '.rtf' THEN 'rtf_convert' ELSE 'passthrough' END AS engine,
+  verdict_before = 'malicious' AND ext IN ('.pdf', '.rtf') AS sanitized,
+  CASE WHEN verdict_before = 'malicious' AND ext NOT IN ('.pdf', '.rtf') THEN 'Unsupported type or sanitizer failed; original retained' END AS notes
+FROM cleaned""",
 )
 def sanitize_policy(spark: SparkSession, folder: str) -> DataFrame:
     """Malicious files are cleaned, all others pass unchanged; a file that is no archive is kept as it is."""
     s = rules.scan(corpus.text_corpus(spark, folder).drop("text"), with_entropy=False)
     done = sanitize.sanitize(s.select("file_id", "ext", "content", "verdict"))
-    return done.select("file_id", "verdict", "changed", F.sha2("clean", 256).alias("clean_sha256"), "engine")
+    return done.select("file_id", "verdict", "changed", F.sha2("clean", 256).alias("clean_sha256"), "engine", "sanitized", "notes")
 
 
 @query(
@@ -520,5 +523,6 @@ SELECT file_id, verdict_before, verdict AS verdict_after, risk_before, risk_scor
 FROM cleaned JOIN again USING (file_id)""",
 )
 def rescan_delta(spark: SparkSession, folder: str) -> DataFrame:
-    r = sanitize.rescan(corpus.text_corpus(spark, folder).drop("text"))
+    # the SQL has the text rules: this corpus holds no archive that opens
+    r = sanitize.rescan(corpus.text_corpus(spark, folder).drop("text"), archives_too=False, with_entropy=False)
     return r.select("file_id", "verdict_before", "verdict_after", "risk_before", "risk_after", F.round("delta_risk", 9).alias("delta_risk"))

@@ -11,7 +11,8 @@ from docwarden.functions import fixed, text
 def read_files(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
     """Every file below ``root`` as (path, modified, length, content, ext).
 
-    The size limit is a predicate on ``length``, which the reader applies before it opens a file.
+    A file above the size limit keeps its row, without content and with a reason in ``rejected``; the limit is a
+    predicate on ``length``, so the reader never opens such a file.
     """
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return _as_files(df, max_bytes)
@@ -25,24 +26,28 @@ def read_arriving_files(spark: SparkSession, root: str, files_per_batch: int = 1
 
 
 def _as_files(df: DataFrame, max_bytes: int | None) -> DataFrame:
-    if max_bytes is not None:
-        df = df.filter(F.col("length") <= max_bytes)
-    return df.select(
-        F.xxhash64("path").alias("file_id"),
-        "path",
-        F.col("modificationTime").alias("modified"),
-        "length",
-        "content",
-        text.split_ext(F.col("path")).alias("ext"),
-    )
-
-
-def scan_labelled_tree(spark: SparkSession, root: str, prefix_bytes: int | None = None) -> DataFrame:
+    def rows(part: DataFrame, content: Column, rejected: Column) -> DataFrame:
+        return part.select(
+            F.xxhash64("path").alias("file_id"),
+            "path",
+            F.col("modificationTime").alias("modified"),
+            "length",
+            content.alias("content"),
+            text.split_ext(F.col("path")).alias("ext"),
+            rejected.cast("string").alias("rejected"),
+        )
+
+    if max_bytes is None:
+        return rows(df, F.col("content"), F.lit(None))
+    read = rows(df.filter(F.col("length") <= max_bytes), F.col("content"), F.lit(None))
+    return read.unionByName(rows(df.filter(F.col("length") > max_bytes), F.lit(None).cast("binary"), F.lit("file too large")))
+
+
+def scan_labelled_tree(spark: SparkSession, root: str) -> DataFrame:
     """Training files from ``root/{json_features,office_pdf}/{benign,malicious}/**`` with label and source.
 
-    ``file_id`` is the hash of the content, of its first ``prefix_bytes`` when given.
+    ``file_id`` is the hash of the whole content.
     """
-    hashed = F.col("content") if prefix_bytes is None else F.substring("content", 1, prefix_bytes)
     # the suffix lists need no content, so unmatched files are never opened
     placed = read_files(spark, root).withColumn(
         "source", F.regexp_extract("path", r"/(json_features|office_pdf)/(benign|malicious)/", 1)
@@ -52,7 +57,7 @@ def scan_labelled_tree(spark: SparkSession, root: str, prefix_bytes: int | None
     )
     label = F.regexp_extract("path", r"/(json_features|office_pdf)/(benign|malicious)/", 2)
     return placed.filter(wanted).select(
-        F.sha2(hashed, 256).alias("file_id"),
+        F.sha2("content", 256).alias("file_id"),
         "path",
         "ext",
         (label == "malicious").cast("int").alias("label"),

@@ -15,14 +15,12 @@ OBJECT = r"(?s)(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj"
 DICT = r"<<(?:[^<>]++|<<[^<>]*+>>|<[^<>]*+>)*+>>"
 
 
-def object_rows(df: DataFrame, cap: int | None = None) -> DataFrame:
-    """(file_id, text) -> (file_id, seq, obj_no, body); ``cap`` keeps only the first objects of each file."""
+def object_rows(df: DataFrame) -> DataFrame:
+    """(file_id, text) -> (file_id, seq, obj_no, body)."""
     text = F.col("text")
     both = F.arrays_zip(
         F.regexp_extract_all(text, F.lit(OBJECT), 1).alias("no"), F.regexp_extract_all(text, F.lit(OBJECT), 3).alias("body")
     )
-    if cap is not None:
-        both = F.slice(both, 1, cap)
     return df.select("file_id", F.posexplode(both).alias("seq", "o")).select(
         "file_id", (F.col("seq") + 1).alias("seq"), F.col("o.no").cast("bigint").alias("obj_no"), F.col("o.body").alias("body")
     )
@@ -44,7 +42,7 @@ def _deep_threat(body: Column) -> Column:
     return is_dict & (top.rlike(r"/S\s*/Launch\b") | keys.rlike(r"/(JS|JavaScript)\b"))
 
 
-def with_pdf_facts(df: DataFrame, is_pdf: Column, source: str = "raw", out: str = "pdf", cap: int | None = None) -> DataFrame:
+def with_pdf_facts(df: DataFrame, is_pdf: Column, source: str = "raw", out: str = "pdf") -> DataFrame:
     """Add a struct of what the structure rules need, computed inside the row: no explode, no shuffle.
 
     readable: a catalog object was found; open_subtype: action type of its OpenAction, given in place or by
@@ -69,13 +67,12 @@ def with_pdf_facts(df: DataFrame, is_pdf: Column, source: str = "raw", out: str
         target = F.try_element_at(bodies, F.nullif(F.array_position(nums, number), F.lit(0)).cast("int"))
         return F.coalesce(F.nullif(inline, F.lit("")), target, F.lit(""))
 
-    searched = bodies if cap is None else F.slice(bodies, 1, cap)
     facts = F.struct(
         (catalog != "").alias("readable"),
         F.regexp_extract(value_of("/OpenAction"), r"/S\s*(/[A-Za-z]+)", 1).alias("open_subtype"),
         catalog.rlike(r"/AA\b").alias("has_aa"),
         value_of("/Names").rlike(r"/JavaScript\b").alias("names_js"),
-        F.exists(searched, _deep_threat).alias("deep"),
+        F.exists(bodies, _deep_threat).alias("deep"),
         F.contains(raw, F.lit("/ObjStm")).alias("has_objstm"),
         F.size(bodies).alias("n_objects"),
     )

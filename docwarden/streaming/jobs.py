@@ -21,7 +21,7 @@ def _plain(df: DataFrame, *columns: str) -> DataFrame:
 
 def scan_arrivals(files: DataFrame) -> DataFrame:
     """Result row of each arriving file; the same plan as in batch, without state."""
-    s = rules.scan(files, with_entropy=False)
+    s = rules.scan(files, with_archives=True)
     return s.select("file_id", "verdict", "risk_score", F.to_json("findings").alias("findings"))
 
 

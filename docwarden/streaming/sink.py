@@ -13,12 +13,13 @@ from docwarden.session import shared_folder
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
-    """A given table as a stream of its files."""
+    """A given table as a stream of its files; the table may be one file or a folder of files."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("recursiveFileLookup", "true")
+    reader = spark.readStream.schema(schema)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    # a stream takes a file's name only as a pattern, and a pattern that fits a folder stands for its files
+    return reader.parquet(f"{folder}/{name}.parque[t]")
 
 
 def append_all(df: DataFrame, path: str | None = None) -> DataFrame:

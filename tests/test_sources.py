@@ -38,7 +38,10 @@ def test_labelled_tree(spark, tree):
 
 def test_size_limit_reaches_the_reader(spark, tree):
     df = files.read_files(spark, tree, max_bytes=10)
-    assert {r["path"].rsplit("/", 1)[1] for r in df.collect()} == {"c.exe", "d.json", "f.json", "g.pdf"}
+    rows = df.collect()
+    assert {r["path"].rsplit("/", 1)[1] for r in rows if r["rejected"] is None} == {"c.exe", "d.json", "f.json", "g.pdf"}
+    large = [r for r in rows if r["rejected"]]
+    assert len(rows) == files.read_files(spark, tree).count() and all(r["content"] is None and r["length"] > 10 for r in large)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "LessThanOrEqual(length,10)" in plan
 

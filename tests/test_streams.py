@@ -150,5 +150,14 @@ def test_files_are_scanned_as_they_arrive(spark, tmp_path):
     (root / "c.rtf").write_bytes(fx.RTF_OBJECT)
     got = run()
     assert got.count() == 3
-    batch = rules.scan(read_files(spark, str(root)), with_entropy=False)
+    batch = rules.scan(read_files(spark, str(root)), with_archives=True)
     assert rows(got.select("file_id", "verdict")) == rows(batch.select("file_id", "verdict"))
+
+
+def test_streams_read_tables_of_one_file_and_of_many(spark, folder, tmp_path):
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    (tmp_path / "events.parquet.bak").mkdir()
+    for at in (folder, str(tmp_path)):
+        assert append_all(read_stream(spark, at, "events", 1)).exceptAll(events).count() == 0
+        assert append_all(read_stream(spark, at, "events")).count() == events.count()
