@@ -115,11 +115,10 @@ def near_texts() -> dict:
 
 
 @pytest.mark.parametrize(("k", "t", "piece"), [(3, (9, 10), 1000), (3, (9, 10), 9), (5, (4, 5), 20), (1, (1, 2), 16)])
-def test_set_join(spark, monkeypatch, k, t, piece):
-    monkeypatch.setattr(set_join.compare, "__defaults__", (piece,))
+def test_set_join(spark, k, t, piece):
     texts = near_texts()
     df = spark.createDataFrame([(i, x, "n", 1) for i, x in texts.items()], "doc_id long, text string, id string, lead int").repartition(6)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in set_join.join_sets(df, k, t).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in set_join.join_sets(df, k, t, piece).collect()}
     assert got == brute_sets(texts, k, *t)
 
 
