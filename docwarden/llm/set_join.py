@@ -8,11 +8,14 @@
    whose sizes may link at all, and blocks without a posting in an index prefix are skipped, as are postings behind
    the position that their size allows.
 3. A block's first set by id leads it. Sets that a leader leads in any block are compared with each other in the
-   leader's group: the leader's overlaps with all sets of the group are counted once from an inverted list, and those
+   leader's group, first by histograms: a set's shingles are counted in about n / 8 parts of the hash space, and two
+   sets differ in at least as many shingles as their counts do in sum. Sets without a partner that this bound allows
+   leave the group; they met by chance, and their texts never move.
+4. The rest is compared in full: the leader's overlaps with all sets of the group are counted once from an inverted list, and those
    of any other set follow from the leader's by the shingles in which the two differ. A set that is already connected
    within the group is not answered again for sets of its own component. A large group is cut into pieces of
    ``PIECE`` sets, and each pair of pieces is a task of its own.
-4. Groups return links that connect (never all pairs); components are found over these.
+5. Groups return links that connect (never all pairs); components are found over these.
 
 Every pair of linked sets meets in at least one group, so none is lost: their first common shingle is in both
 prefixes and in the smaller one's index prefix, they are in one block of its list, and so in that block's group.
@@ -90,15 +93,48 @@ def needed(a: int, b: int, t: Fraction) -> int:
     return -(-t.numerator * (a + b) // (t.numerator + t.denominator))
 
 
+def histogram(s: np.ndarray) -> np.ndarray:
+    """Shingles of a set by part of the hash space, counts of 255 and more as 255; a power of two of parts."""
+    parts = 16
+    while parts * 8 < len(s):
+        parts *= 2
+    counts = np.bincount((s >> np.uint64(40)).astype(np.int64) & (parts - 1), minlength=parts)
+    return np.minimum(counts, 255).astype(np.uint8)
+
+
+def possible(sizes: np.ndarray, histograms: list[np.ndarray], side: np.ndarray, t: Fraction) -> np.ndarray:
+    """For each set whether the histograms allow a link with another one; sides 0 and 1 meet, and side 2 meets itself."""
+    parts = np.array([len(h) for h in histograms])
+    found = np.zeros(len(sizes), bool)
+    num, den = t.numerator, t.denominator
+    for p in np.unique(parts):
+        mine = np.flatnonzero(parts == p)
+        # a linked set is at most 1 / t times as large, and so are its parts, to the next power of two
+        near = np.flatnonzero((parts >= p) & (parts * num < 2 * p * den))
+        folded = np.minimum([histograms[i].reshape(-1, p).astype(np.int16).sum(axis=0) for i in near], 255).astype(np.int16)
+        own = np.array([histograms[i] for i in mine], np.int16)
+        step = max(1, (1 << 22) // (len(near) * int(p)))
+        for at in range(0, len(mine), step):
+            rows = mine[at : at + step]
+            distance = np.abs(own[at : at + step, None, :] - folded[None]).sum(axis=2)
+            both = sizes[rows][:, None] + sizes[near][None]
+            allowed = both - 2 * (-(-num * both // (num + den)))
+            meets = (distance <= allowed) & (rows[:, None] != near[None])
+            meets &= (side[rows][:, None] == 2) | (side[rows][:, None] != side[near][None])
+            found[rows] |= meets.any(axis=1)
+            found[near] |= meets.any(axis=0)
+    return found
+
+
 def prefixes(docs: DataFrame, k: int, t: Fraction, counts: np.ndarray) -> DataFrame:
-    """(doc_id, text) -> (doc_id, n, prefix): a set's first shingles in the global order, as many as must be looked at."""
+    """(doc_id, text) -> (doc_id, n, prefix, parts): a set's first shingles in the global order and its histogram."""
     ranks = docs.sparkSession.sparkContext.broadcast(counts)
     num, den = t.numerator, t.denominator
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = ranks.value
         for batch in batches:
-            sizes, firsts = [], []
+            sizes, firsts, parts = [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, k)
                 n = len(s)
@@ -106,11 +142,13 @@ def prefixes(docs: DataFrame, k: int, t: Fraction, counts: np.ndarray) -> DataFr
                 order = np.lexsort((s, rank[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
                 sizes.append(n)
                 firsts.append(s[order[:length]].view(np.int64))
+                parts.append(histogram(s).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], names=["doc_id", "n", "prefix"]
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(parts, pa.binary())],
+                names=["doc_id", "n", "prefix", "parts"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n long, prefix array<long>, parts binary")
 
 
 def groups(firsts: DataFrame, t: Fraction) -> DataFrame:
@@ -200,8 +238,8 @@ def connect(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarra
     return links
 
 
-def compare(led: DataFrame, texts: DataFrame, k: int, t: Fraction, piece: int = PIECE) -> DataFrame:
-    """(lead, id) and (id, text) -> (u, v): connecting links inside each leader's group.
+def deal(led: DataFrame, piece: int) -> DataFrame:
+    """(lead, id) -> (lead, a, b, id, own): tasks of each leader's group; groups of one set have none.
 
     Members of a large group are dealt to pieces by hash; each pair of pieces is a task that gets both.
     """
@@ -214,7 +252,24 @@ def compare(led: DataFrame, texts: DataFrame, k: int, t: Fraction, piece: int =
         F.sequence(F.lit(0), F.col("pieces") - 1),
         lambda other: F.struct(F.least(other, "own").alias("a"), F.greatest(other, "own").alias("b")),
     )
-    dealt = settle(led.join(pieces, "lead").withColumn("own", own).select("lead", "id", "own", F.inline(pairs)))
+    return led.join(pieces, "lead").withColumn("own", own).select("lead", "id", "own", F.inline(pairs))
+
+
+def allowed_members(led: DataFrame, firsts: DataFrame, t: Fraction, piece: int) -> DataFrame:
+    """Members of leaders' groups that the histograms leave a partner."""
+
+    def kept(part: pd.DataFrame) -> pd.DataFrame:
+        a, b = part["a"].iloc[0], part["b"].iloc[0]
+        side = np.full(len(part), 2) if a == b else (part["own"] == b).to_numpy(int)
+        histograms = [np.frombuffer(h, np.uint8) for h in part["parts"]]
+        return part.loc[possible(part["n"].to_numpy(np.int64), histograms, side, t), ["lead", "id"]]
+
+    measured = deal(led, piece).join(firsts.select("id", "n", "parts"), "id")
+    return measured.groupBy("lead", "a", "b").applyInPandas(kept, "lead long, id long").distinct()
+
+
+def compare(led: DataFrame, texts: DataFrame, k: int, t: Fraction, piece: int) -> DataFrame:
+    """(lead, id) and (id, text) -> (u, v): connecting links inside each leader's group."""
 
     def links(part: pd.DataFrame) -> pd.DataFrame:
         rows = sorted(zip(part["id"], part["own"], part["text"], strict=True), key=lambda r: r[:2])
@@ -223,10 +278,10 @@ def compare(led: DataFrame, texts: DataFrame, k: int, t: Fraction, piece: int =
         found = connect(left, left if a == b else right, t) if left and right else []
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
-    return dealt.join(texts, "id").groupBy("lead", "a", "b").applyInPandas(links, "u long, v long")
+    return settle(deal(led, piece)).join(texts, "id").groupBy("lead", "a", "b").applyInPandas(links, "u long, v long")
 
 
-def join_sets(docs: DataFrame, k: int = 3, threshold: tuple[int, int] = (9, 10)) -> DataFrame:
+def join_sets(docs: DataFrame, k: int = 3, threshold: tuple[int, int] = (9, 10), piece: int = PIECE) -> DataFrame:
     """(doc_id, text) -> one row per row: doc_id, n_shingles, component_id."""
     t = Fraction(*threshold)
     signed = settle(signatures(docs, k))
@@ -234,17 +289,15 @@ def join_sets(docs: DataFrame, k: int = 3, threshold: tuple[int, int] = (9, 10))
     classes = settle(own.filter("sign is not null").groupBy("sign").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")))
     firsts = prefixes(docs, k, t, bucket_counts(signed)).filter("n > 0")
     standing = classes.select(F.col("id").alias("doc_id"))
-    firsts = (
+    firsts = settle(
         firsts.join(standing, "doc_id", "left_semi")
-        .select(F.col("doc_id").alias("id"), "n", "prefix", F.xxhash64("prefix").alias("same"))
+        .select(F.col("doc_id").alias("id"), "n", "prefix", "parts", F.xxhash64("prefix").alias("same"))
         .dropDuplicates(["id", "n", "same"])
     )
-    led = settle(groups(firsts, t))
-    wanted = led.groupBy("lead").agg(F.count("*").alias("members")).filter("members > 1").select("lead")
-    wanted = led.join(wanted, "lead").select("id").distinct()
+    led = settle(allowed_members(settle(groups(firsts, t)), firsts, t, piece))
     # texts of sets that are to be compared; most documents are in no group
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(settle(wanted), "id", "left_semi")
-    links = settle(compare(led, settle(texts.dropDuplicates(["id", "text"])), k, t))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(settle(led.select("id").distinct()), "id", "left_semi")
+    links = settle(compare(led, settle(texts.dropDuplicates(["id", "text"])), k, t, piece))
     joined = components(links)
     copies = settle(classes.filter("copies > 1").join(joined.withColumnRenamed("node", "id"), "id", "left").select(
         "sign", F.coalesce("component_id", "id").alias("class_component")
