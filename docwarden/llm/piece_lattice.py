@@ -1,12 +1,13 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-1. Texts are cut into units that no piece crosses (a run of word marks with the word behind it, or a line feed), and
-   the distinct units of the corpus are counted.
+1. Texts are cut into units that no piece crosses (a run of word marks with what follows up to the next mark, or a line
+   feed), and the distinct units of the corpus are counted.
 2. Each unit's substrings of at most the longest piece's length are exploded and joined to the piece table (a
    vocabulary of fixed size, broadcast); a character without a piece gets the unknown edge. Edges are grouped by unit
    without another exchange and folded with ``aggregate``: the best way to each end position, by the sum of scores.
-3. Documents are encoded by looking their units up. Units by falling count, at most ``MAX_ENTRIES``, go to the tasks
-   as sorted hash arrays (at most about 20 bytes a unit, so the size is bounded whatever the corpus); documents that
+3. Documents are encoded by looking their units up. Units by falling count, at most ``MAX_ENTRIES``
+   with ``PIECES_PER_ENTRY`` times as many pieces, go to the tasks as sorted hash arrays (at most 32 bytes a unit, so the
+   size is bounded whatever the corpus); documents that
    hold other units are the only ones that move: their missing units are joined by unit and sent back by document.
 
 The objective is the unigram one: the segmentation with the greatest sum of piece scores, ties to the earlier start,
@@ -43,7 +44,9 @@ from docwarden.session import settle
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNIT = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
-FLUSH, MAX_ENTRIES, LONG_UNIT = 250_000, 1 << 23, 256
+FLUSH, MAX_ENTRIES, PIECES_PER_ENTRY, LONG_UNIT = 150_000, 1 << 23, 8, 256
+#: Units whose edges one task of the lattice holds at once.
+UNITS_PER_TASK = 10_000
 UNKNOWN_PENALTY = 10.0
 
 
@@ -74,7 +77,7 @@ def load(path: str = MODEL) -> Pieces:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     normal = [i for i, p in enumerate(proto.pieces) if p.type in (p.NORMAL, p.USER_DEFINED)]
     pieces = [proto.pieces[i].piece for i in normal]
-    if any("\n" in p or MARK in p.lstrip(MARK) for p in pieces):
+    if not all(UNIT.fullmatch(p) for p in pieces):
         raise ValueError("a piece crosses the boundary of a unit")
     scores = [float(proto.pieces[i].score) for i in normal]
     base = model.piece_to_id("<0x00>") if proto.trainer_spec.byte_fallback else None
@@ -90,8 +93,9 @@ def normal_form(text: str | None, prefix: bool) -> str:
     return (MARK if prefix else "") + text.replace(" ", MARK) if text else ""
 
 
-def count_units(docs: DataFrame, prefix: bool) -> DataFrame:
+def count_units(docs: DataFrame, model: Pieces) -> DataFrame:
     """(text) -> (unit, n), summed inside each task first."""
+    prefix = model.prefix
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -121,57 +125,61 @@ def byte_ids(char: Column, base: int) -> Column:
 
 
 def edges(units: DataFrame, table: DataFrame, model: Pieces) -> DataFrame:
-    """(unit, n) -> (unit, n, edges): all pieces that lie on each unit, by end and start."""
-    length = F.length("unit")
-    starts = units.withColumn("start", F.explode(F.sequence(F.lit(0), length - 1)))
-    spans = starts.withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), length - F.col("start")))))
-    spans = spans.withColumn("piece", F.substring("unit", F.col("start") + 1, F.col("size")))
-    fallback = byte_ids(F.col("piece"), model.bytes_from) if model.bytes_from is not None else F.array(F.lit(model.unknown))
+    """(unit, n) -> (unit, n, edges): all pieces that lie on each unit, by end and start; id -1 where there is none."""
+    # exploded by end, so that the edges of a unit come in the order in which they are folded
+    ends = units.withColumn("end", F.explode(F.sequence(F.lit(1), F.length("unit"))))
+    spans = ends.withColumn("size", F.explode(F.sequence(F.least(F.lit(model.longest), F.col("end")), F.lit(1), F.lit(-1))))
+    spans = spans.withColumn("piece", F.substring("unit", F.col("end") - F.col("size") + 1, F.col("size")))
     joined = spans.join(F.broadcast(table), "piece", "left").filter(F.col("id").isNotNull() | (F.col("size") == 1))
     edge = F.struct(
-        (F.col("start") + F.col("size")).alias("end"),
-        F.col("start"),
+        "end",
+        (F.col("end") - F.col("size")).alias("start"),
+        F.coalesce("id", F.lit(-1)).alias("id"),
         F.coalesce("score", F.lit(model.unknown_score)).alias("score"),
-        F.when(F.col("id").isNotNull(), F.array("id")).otherwise(fallback).alias("ids"),
     )
     return joined.groupBy("unit", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
 def best_way(found: Column) -> Column:
-    """Viterbi over edges sorted by end: ids of the way with the greatest sum of scores.
+    """Viterbi over edges sorted by end: (start, id) of the edges on the way with the greatest sum of scores.
 
-    The state holds the finished ends (score and ids of each) and the best so far for the end at hand.
+    The state holds score and last edge of each finished end, and the best so far for the end at hand. Every end has
+    an edge, the one of its last character, so ends follow each other without a gap.
     """
+    none = F.struct(F.lit(0).alias("start"), F.lit(-1).alias("id"))
     start = F.struct(
-        F.array(F.lit(0.0)).alias("scores"),
-        F.array(F.array().cast("array<int>")).alias("ways"),
+        F.array().cast("array<double>").alias("scores"),
+        F.array().cast("array<struct<start:int,id:int>>").alias("back"),
         F.lit(0).alias("end"),
         F.lit(0.0).alias("score"),
-        F.array().cast("array<int>").alias("way"),
+        none.alias("edge"),
     )
 
     def step(s: Column, e: Column) -> Column:
         moved = e["end"] != s["end"]
-        # the first edge of a new end closes the end before it (0 is closed from the beginning)
-        close = moved & (s["end"] > 0)
-        scores = F.when(close, F.array_append(s["scores"], s["score"])).otherwise(s["scores"])
-        ways = F.when(close, F.array_append(s["ways"], s["way"])).otherwise(s["ways"])
-        opened = F.struct(scores.alias("scores"), ways.alias("ways"))
-
-        def take(o: Column) -> Column:
-            total = F.get(o["scores"], e["start"]) + e["score"]
-            better = moved | (total > s["score"])
-            return F.struct(
-                o["scores"].alias("scores"),
-                o["ways"].alias("ways"),
-                e["end"].alias("end"),
-                F.when(better, total).otherwise(s["score"]).alias("score"),
-                F.when(better, F.concat(F.get(o["ways"], e["start"]), e["ids"])).otherwise(s["way"]).alias("way"),
+        total = e["score"] + F.when(e["start"] == s["end"], s["score"]).otherwise(F.get(s["scores"], e["start"]))
+        better = moved | (total > s["score"])
+        return F.struct(
+            F.when(moved, F.array_append(s["scores"], s["score"])).otherwise(s["scores"]).alias("scores"),
+            F.when(moved, F.array_append(s["back"], s["edge"])).otherwise(s["back"]).alias("back"),
+            e["end"].alias("end"),
+            F.when(better, total).otherwise(s["score"]).alias("score"),
+            F.when(better, F.struct(e["start"].alias("start"), e["id"].alias("id"))).otherwise(s["edge"]).alias("edge"),
+        )
+
+    def trace(s: Column) -> Column:
+        # from the last edge to the first
+        return F.reverse(
+            F.aggregate(
+                F.reverse(s["back"]),
+                F.array(s["edge"]),
+                lambda way, _: F.when(
+                    F.element_at(way, -1)["start"] > 0, F.array_append(way, F.get(s["back"], F.element_at(way, -1)["start"]))
+                ).otherwise(way),
             )
+        )
 
-        return F.element_at(F.transform(F.array(opened), take), 1)
-
-    return F.aggregate(found, start, step, lambda s: s["way"])
+    return F.aggregate(found, start, step, trace)
 
 
 def long_way(unit: str, ids: dict[str, tuple[int, float]], model: Pieces) -> list[int]:
@@ -200,13 +208,28 @@ def long_way(unit: str, ids: dict[str, tuple[int, float]], model: Pieces) -> lis
 
 
 def encode_units(units: DataFrame, model: Pieces) -> DataFrame:
-    """(unit, n) -> (unit, n, ids)."""
+    """(unit, n) at rest -> (unit, n, ids), written.
+
+    Units are dealt so that the edges of one task's units fit in memory, and grouped where they are.
+    """
     spark = units.sparkSession
     table = settle(
         spark.createDataFrame(pd.DataFrame({"piece": model.pieces, "id": model.ids, "score": model.scores}), "piece string, id int, score double").coalesce(1)
     )
+    tasks = max(1, -(-units.count() // UNITS_PER_TASK))
     short, long = units.filter(F.length("unit") <= LONG_UNIT), units.filter(F.length("unit") > LONG_UNIT)
-    folded = edges(short, table, model).select("unit", "n", best_way(F.col("edges")).alias("ids"))
+    ways = edges(short.repartition(tasks, "unit"), table, model).select("unit", "n", best_way(F.col("edges")).alias("way"))
+    if model.bytes_from is None:
+        ids = F.transform("way", lambda e: F.when(e["id"] < 0, F.lit(model.unknown)).otherwise(e["id"]))
+    else:
+        spelt = F.flatten(
+            F.transform(
+                "way",
+                lambda e: F.when(e["id"] >= 0, F.array(e["id"])).otherwise(byte_ids(F.substring("unit", e["start"] + 1, F.lit(1)), model.bytes_from)),
+            )
+        )
+        ids = F.when(F.exists("way", lambda e: e["id"] < 0), spelt).otherwise(F.transform("way", lambda e: e["id"]))
+    folded = ways.select("unit", "n", ids.alias("ids"))
 
     @F.pandas_udf("array<int>")
     def looped(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -214,37 +237,49 @@ def encode_units(units: DataFrame, model: Pieces) -> DataFrame:
         for batch in batches:
             yield batch.map(lambda u: long_way(u, known, model))
 
-    return folded.unionByName(long.select("unit", "n", looped("unit").alias("ids")))
+    # beyond this many groups the aggregation would sort and spill all edges
+    setting = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(8 * UNITS_PER_TASK))
+    try:
+        return settle(folded.unionByName(long.select("unit", "n", looped("unit").alias("ids"))))
+    finally:
+        spark.conf.set(setting, before)
 
 
 def _hash(units: list[str]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, units), np.uint64, len(units))
 
 
-def dictionary(encoded: DataFrame, entries: int = MAX_ENTRIES) -> tuple[dict[str, np.ndarray], int]:
+def dictionary(encoded: DataFrame, model: Pieces, entries: int = MAX_ENTRIES) -> tuple[dict[str, np.ndarray], int]:
     """Sorted hash arrays of the units with the highest counts, and the least count that is in."""
-    total, least = encoded.count(), 1
-    if total > entries:
-        # as many rows as there are different counts
-        for n, units in sorted(encoded.groupBy("n").agg(F.count("*")).collect()):
-            if total <= entries:
-                break
-            least, total = n + 1, total - units
+    kind = np.uint16 if len(model.surface) <= 1 << 16 else np.int32
+    # as many rows as there are different counts
+    by_count = sorted(encoded.groupBy("n").agg(F.count("*"), F.sum(F.size("ids"))).collect())
+    units, pieces, least = sum(r[1] for r in by_count), sum(r[2] for r in by_count), 1
+    for n, some_units, some_pieces in by_count:
+        if units <= entries and pieces <= PIECES_PER_ENTRY * entries:
+            break
+        least, units, pieces = n + 1, units - some_units, pieces - some_pieces
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("ids")
-            flat, ends = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.asarray(ids.value_lengths()).astype(np.int32)
-            blobs = (_hash(batch.column("unit").to_pylist()), ends, flat)
+            flat, sizes = ids.flatten().to_numpy(zero_copy_only=False).astype(kind), np.asarray(ids.value_lengths()).astype(np.uint32)
+            blobs = (_hash(batch.column("unit").to_pylist()), sizes, flat)
             yield pa.RecordBatch.from_arrays([pa.array([b.tobytes()], pa.binary()) for b in blobs], names=["h", "k", "v"])
 
-    rows = encoded.filter(F.col("n") >= least).select("unit", "ids").mapInArrow(packed, "h binary, k binary, v binary").toPandas()
-    h = np.concatenate([np.frombuffer(b, np.uint64) for b in rows["h"]]) if len(rows) else np.empty(0, np.uint64)
-    k = np.concatenate([np.frombuffer(b, np.int32) for b in rows["k"]]) if len(rows) else np.empty(0, np.int32)
-    v = np.concatenate([np.frombuffer(b, np.int32) for b in rows["v"]]) if len(rows) else np.empty(0, np.int32)
-    order = np.argsort(h)
-    starts = (np.cumsum(k, dtype=np.int64) - k).astype(np.int64)
-    return {"hashes": h[order], "starts": starts[order].astype(np.uint32), "sizes": k[order].astype(np.uint16), "ids": v.astype(np.uint16 if not len(v) or v.max() < 1 << 16 else np.int32)}, least
+    # one part at a time: the driver never holds more than the arrays themselves and one part
+    parts: list[list[np.ndarray]] = [[np.empty(0, t)] for t in (np.uint64, np.uint32, kind)]
+    rows = encoded.filter(F.col("n") >= least).select("unit", "ids").mapInArrow(packed, "h binary, k binary, v binary")
+    for row in rows.toLocalIterator():
+        for part, blob in zip(parts, row, strict=True):
+            part.append(np.frombuffer(bytes(blob), part[0].dtype))
+    hashes, sizes, ids = (np.concatenate(part) for part in parts)
+    del parts
+    order = np.argsort(hashes)
+    starts = np.cumsum(sizes, dtype=np.int64) - sizes
+    return {"hashes": hashes[order], "starts": starts[order].astype(np.uint32), "sizes": sizes[order], "ids": ids}, least
 
 
 def _gather(starts: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -252,21 +287,23 @@ def _gather(starts: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> np.nda
     return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def look_up(docs: DataFrame, arrays: dict[str, np.ndarray], prefix: bool, key: str) -> DataFrame:
+def look_up(docs: DataFrame, arrays: dict[str, np.ndarray], model: Pieces, key: str) -> DataFrame:
     """(key, text) -> (key, ids, missing, text): ids where all units are known, else the units that are not, and the text."""
     shared = docs.sparkSession.sparkContext.broadcast(arrays)
+    prefix = model.prefix
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         hashes, starts, sizes, ids = (table[k] for k in ("hashes", "starts", "sizes", "ids"))
         for batch in batches:
             all_texts = batch.column("text").to_pylist()
-            for piece in slices(all_texts):
+            for piece in slices(all_texts, 1 << 19):
                 texts = all_texts[piece]
                 units = [UNIT.findall(normal_form(t, prefix)) for t in texts]
                 per_text = np.array([len(u) for u in units], np.int64)
                 flat = [u for part in units for u in part]
-                distinct, back = np.unique(_hash(flat), return_inverse=True)
+                back, names = pd.factorize(np.array(flat, dtype=object)) if flat else (np.empty(0, np.int64), [])
+                distinct = _hash(names)
                 at = np.minimum(np.searchsorted(hashes, distinct), max(len(hashes) - 1, 0))
                 known = hashes[at] == distinct if len(hashes) else np.zeros(len(distinct), bool)
                 at, known = at[back], known[back]
@@ -296,11 +333,12 @@ def look_up(docs: DataFrame, arrays: dict[str, np.ndarray], prefix: bool, key: s
     return docs.select(key, "text").mapInArrow(rows, f"{key} {kind}, ids array<int>, missing array<string>, text string")
 
 
-def fill(partial: DataFrame, encoded: DataFrame, arrays: dict[str, np.ndarray], prefix: bool, key: str) -> DataFrame:
+def fill(partial: DataFrame, encoded: DataFrame, arrays: dict[str, np.ndarray], model: Pieces, key: str) -> DataFrame:
     """Documents with missing units: the units are joined by unit, sent back by document and put in their places."""
     wanted = partial.select(key, F.explode("missing").alias("unit")).distinct()
     found = wanted.join(encoded.select("unit", "ids"), "unit").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("unit", "ids"))).alias("extra"))
     shared = partial.sparkSession.sparkContext.broadcast(arrays)
+    prefix = model.prefix
 
     @F.pandas_udf("array<int>")
     def put(texts: pd.Series, extra: pd.Series) -> pd.Series:
@@ -328,17 +366,21 @@ def fill(partial: DataFrame, encoded: DataFrame, arrays: dict[str, np.ndarray],
 
 
 def encode(docs: DataFrame, path: str = MODEL, key: str = "doc_id", entries: int = MAX_ENTRIES) -> DataFrame:
-    """(key, text) -> (key, ids), one row per row."""
+    """(key, text) -> (key, ids), one row per row.
+
+    Sets the session's limit for Arrow batches: texts and ids pass through two Python workers a task.
+    """
     model = load(path)
-    encoded = settle(encode_units(count_units(docs, model.prefix), model))
-    arrays, least = dictionary(encoded, entries)
-    looked = look_up(docs, arrays, model.prefix, key)
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    encoded = encode_units(settle(count_units(docs, model)), model)
+    arrays, least = dictionary(encoded, model, entries)
+    looked = look_up(docs, arrays, model, key)
     if least == 1:
         return looked.select(key, "ids")
     looked = settle(looked)
     rest = looked.filter("missing is not null")
     return looked.filter("missing is null").select(key, "ids").unionByName(
-        fill(rest, encoded.filter(F.col("n") < least), arrays, model.prefix, key)
+        fill(rest, encoded.filter(F.col("n") < least), arrays, model, key)
     )
 
 
