@@ -36,7 +36,6 @@ RELABEL, MERGE, INSERT, UNKNOWN = 3, 1, 2, 1
 ROLES = ("", "user", "assistant", "system")
 KNOWN = {"user": 1, "human": 1, "assistant": 2, "gpt": 2, "bot": 2, "system": 3}
 NEXT = {0: (3, 1), 3: (1,), 1: (2,), 2: (1,)}
-END = 2
 FAR = 1 << 40
 
 
