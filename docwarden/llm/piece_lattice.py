@@ -32,9 +32,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
@@ -46,7 +47,7 @@ MARK = "▁"
 UNIT = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 FLUSH, MAX_ENTRIES, PIECES_PER_ENTRY, LONG_UNIT = 150_000, 1 << 23, 8, 256
 #: Units whose edges one task of the lattice holds at once.
-UNITS_PER_TASK = 10_000
+UNITS_PER_TASK = 16_000
 UNKNOWN_PENALTY = 10.0
 
 
@@ -389,18 +390,17 @@ def decode(ids: Column, path: str = MODEL) -> Column:
     model = load(path)
     surface, prefix = model.surface, model.prefix
 
-    @F.pandas_udf("string")
-    def text(batch: pd.Series) -> pd.Series:
-        def one(x) -> str:
-            whole = b"" if x is None else b"".join([surface[i] for i in x])
-            return (whole[1:] if prefix and whole[:1] == b" " else whole).decode("utf-8", "replace")
-
-        return batch.map(one)
+    @F.arrow_udf("string")
+    def text(batch: pa.Array) -> pa.Array:
+        flat = batch.flatten()
+        sizes = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)
+        offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+        spelt = pa.array(surface, pa.binary()).take(flat)
+        whole = pc.binary_join(pa.ListArray.from_arrays(offsets, spelt), b"")
+        try:
+            out = whole.cast(pa.string())
+        except pa.ArrowInvalid:  # ids that no text encodes to
+            out = pa.array([b.decode("utf-8", "replace") for b in whole.to_pylist()], pa.string())
+        return pc.if_else(pc.starts_with(out, " "), pc.utf8_slice_codeunits(out, 1), out) if prefix else out
 
     return text(ids)
-
-
-def spark_pieces(spark: SparkSession, path: str = MODEL) -> DataFrame:
-    """The piece table (id, piece, score)."""
-    model = load(path)
-    return spark.createDataFrame(list(zip(model.ids, model.pieces, model.scores, strict=True)), "id int, piece string, score double")

@@ -279,3 +279,15 @@ def test_checksum_is_of_the_text(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
     got = {r.doc_id: r.decoded_crc32 for r in QUERIES["op5_piece_lattice"](spark, folder).collect()}
     assert all(zlib.crc32(r.text.encode()) == got[r.doc_id] for r in docs)
+
+
+def test_a_language_that_is_mostly_one_text(spark):
+    rows = [(i, "en", prose(1, 80)) for i in range(70)] + [(100 + i, "en", prose(2 + i, 80)) for i in range(30)]
+    assert ngram_rules.judge(spark.createDataFrame(rows, "doc_id long, lang string, text string")).filter("not kept and not base_failed").count() == 0
+
+
+def test_decoding_any_ids(spark):
+    model = lattice.load()
+    rows = [(0, None), (1, []), (2, [model.bytes_from + 0xFF, model.bytes_from + 0x41]), (3, model.ids[:3])]
+    got = {r.i: r.t for r in spark.createDataFrame(rows, "i int, ids array<int>").select("i", lattice.decode(F.col("ids")).alias("t")).collect()}
+    assert got[0] == got[1] == "" and got[2] == "�A" and got[3] == b"".join(model.surface[i] for i in model.ids[:3]).decode()[1:]
