@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docwarden.llm.common import small_batches
 from docwarden.llm.shingles import as_bytes, in_repeated_windows
 from docwarden.session import settle
 
@@ -189,12 +190,14 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_l
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_lines: int = MAX_LINES) -> Field:
+    small_batches(docs)
     found = sample(docs, labels, per_class, max_lines)
     return fit_field([np.asarray(f).reshape(-1, WIDTH) for f in found["features"]], found["label"].to_numpy(int))
 
 
 def score(docs: DataFrame, field: Field) -> DataFrame:
     """Add ``score`` to all columns of ``docs``; only the text goes through Python."""
+    small_batches(docs)
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
+from docwarden.llm.common import small_batches
 from docwarden.llm.shingles import slices
 from docwarden.session import settle
 
@@ -372,7 +373,7 @@ def encode(docs: DataFrame, path: str = MODEL, key: str = "doc_id", entries: int
     Sets the session's limit for Arrow batches: texts and ids pass through two Python workers a task.
     """
     model = load(path)
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    small_batches(docs)
     encoded = encode_units(settle(count_units(docs, model)), model)
     arrays, least = dictionary(encoded, model, entries)
     looked = look_up(docs, arrays, model, key)

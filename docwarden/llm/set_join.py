@@ -36,6 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docwarden.llm.common import small_batches
 from docwarden.llm.components import components
 from docwarden.llm.shingles import shingle_set
 from docwarden.session import settle
@@ -284,6 +285,7 @@ def compare(led: DataFrame, texts: DataFrame, k: int, t: Fraction, piece: int) -
 def join_sets(docs: DataFrame, k: int = 3, threshold: tuple[int, int] = (9, 10), piece: int = PIECE) -> DataFrame:
     """(doc_id, text) -> one row per row: doc_id, n_shingles, component_id."""
     t = Fraction(*threshold)
+    small_batches(docs)
     signed = settle(signatures(docs, k))
     own = signed.filter("slice is null")
     classes = settle(own.filter("sign is not null").groupBy("sign").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")))
