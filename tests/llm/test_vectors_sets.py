@@ -82,6 +82,42 @@ def test_near_vectors_across_ranges(spark, vectors):
     assert few == {r.vec_id: r.component_id for r in near_vectors.near_vectors(df).collect()}
 
 
+def hot_cone(n: int, dims: int = 64) -> tuple[np.ndarray, int]:
+    """Random vectors, a third of them in one cone (pairwise cosine about 0.7), then a partner at cosine 0.905 for the
+    first 100 of the cone and the first 100 outside it."""
+    rng = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x, axis = unit(rng.standard_normal((n, dims))), unit(rng.standard_normal(dims))
+    x[: n // 3] = unit(np.sqrt(0.7) * axis + np.sqrt(0.3) * x[: n // 3])
+    first = np.concatenate((x[:100], x[n // 3 : n // 3 + 100]))
+    off = rng.standard_normal(first.shape)
+    off = unit(off - (off * first).sum(axis=1, keepdims=True) * first)
+    return np.concatenate((x, 0.905 * first + np.sqrt(1 - 0.905**2) * off)), 200
+
+
+@pytest.mark.parametrize("n", [1200, 6000])
+def test_near_vectors_in_a_hot_cone(spark, n):
+    x, planted = hot_cone(n)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    # passes so small that the rows need many rounds of them
+    got = {r.vec_id: r.component_id for r in near_vectors.near_vectors(df, n_passes=8, window=16).collect()}
+    links = [(int(i), int(j)) for i, j in zip(*np.nonzero(x @ x.T >= 0.9), strict=True) if i != j]
+    assert len(links) >= 2 * planted
+    want = classes(set(range(len(x))), links)
+    missed = sum(got[i] != got[j] for i, j in links) / len(links)
+    assert missed <= 0.005 and all(want[got[i]] == want[i] for i in got)
+
+
+def test_log_miss_is_from_prefixes():
+    keys = np.sort(np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 500))
+    agree = near_vectors._agree(keys, keys[::-1].copy())
+    want = [64 - (int(np.uint64(a) ^ np.uint64(b))).bit_length() for a, b in zip(keys.view(np.uint64), keys[::-1].copy().view(np.uint64), strict=True)]
+    assert agree.tolist() == want
+    inside = near_vectors.log_miss(keys, 20, 0.9, opens=False)
+    assert (inside <= 0).all() and inside[0] == 0 and near_vectors.log_miss(keys, 20, 0.9, opens=True)[0] < 0
+    assert (near_vectors.log_miss(np.zeros(9, np.int64), 4, 0.9, opens=False) == 0).all()
+
+
 def brute_sets(texts: dict, k: int, num: int, den: int) -> dict:
     word = re.compile(r"[^\x20\x09-\x0D]+")
     sets = {}
