@@ -324,8 +324,7 @@ def sniffed_types(spark: SparkSession, folder: str) -> DataFrame:
     """Types of the text, archive and spreadsheet corpora from their bytes alone."""
     texts = corpus.text_corpus(spark, folder).select("file_id", "content")
     packed = corpus.ooxml_corpus(spark, folder).select((-1 - F.col("file_id")).alias("file_id"), "content")
-    ole = corpus.ole_corpus(spark, folder).filter(F.col("file_id") % 2 == 0)
-    ole = ole.select((-1000000000 - F.col("file_id")).alias("file_id"), "content")
+    ole = corpus.ole_corpus(spark, folder).select((-1000000000 - F.col("file_id")).alias("file_id"), "content")
     return features.sniff_ext(texts.unionByName(packed).unionByName(ole))
 
 
