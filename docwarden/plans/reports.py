@@ -428,7 +428,7 @@ SELECT '/' || key AS label, count(*) AS files FROM k GROUP BY key""",
 )
 def removed_summary(spark: SparkSession, folder: str) -> DataFrame:
     s = sanitize.pdf_strip(corpus.pdf_corpus(spark, folder))
-    labels = s.select(F.explode("removed").alias("label")).filter(~F.startswith("label", F.lit("/A/")))
+    labels = s.select(F.explode("removed").alias("label"))
     return labels.groupBy("label").agg(F.count("*").alias("files"))
 
 
