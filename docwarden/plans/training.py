@@ -243,9 +243,12 @@ def labelled_features(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("gbt_score")
 def gbt_score(spark: SparkSession, folder: str) -> DataFrame:
-    """Boosted trees on the training split, calibrated on the validation split, scores of all rows."""
+    """Boosted trees on the training split, calibrated on the validation split, scores of all rows.
+
+    All rounds are fitted, as in the reference: stopped by the validation rows, Spark keeps one or two trees.
+    """
     rows = labelled_features(spark, folder)
-    model = learning.fit_boosted(rows.filter("split = 'train'"), MODEL_COLUMNS, rounds=10)
+    model = learning.fit_boosted(rows.filter("split = 'train'"), MODEL_COLUMNS)
     scored = learning.score(model, rows)
     calibration = learning.fit_calibration(scored.filter("split = 'val'"))
     return learning.calibrated(calibration, scored).select("doc_id", "split", "label", "prob", "calibrated_prob")
@@ -258,8 +261,8 @@ def rf_score(spark: SparkSession, folder: str) -> DataFrame:
 
     rows = labelled_features(spark, folder)
     train = rows.filter("split = 'train'")
-    forest = learning.score(learning.fit_forest(train, MODEL_COLUMNS, trees=20), rows)
-    extra = learning.score(learning.fit_forest(train, MODEL_COLUMNS, trees=20, seed=43, bagged=False), rows)
+    forest = learning.score(learning.fit_forest(train, MODEL_COLUMNS), rows)
+    extra = learning.score(learning.fit_forest(train, MODEL_COLUMNS, seed=43, bagged=False), rows)
     both = forest.withColumnRenamed("prob", "rf_prob").join(extra.select("doc_id", F.col("prob").alias("et_prob")), "doc_id")
     return both.select(
         "doc_id", "split", "label", "rf_prob", "et_prob", tree_prob_weighted(F.col("rf_prob"), F.col("et_prob")).alias("tree_blend")
