@@ -5,11 +5,13 @@ for each pair of labels in a row. Forward-backward gives each line's probability
 weighted by line length, is the document's score. Scoring takes one pass over the documents and moves nothing.
 
 The field is fitted on the driver on a bounded sample of labelled documents: at most ``per_class`` of each label,
-the smallest by hash, and at most ``max_lines`` lines in whole documents. All lines of a document take its label.
+the smallest by hash, and at most ``max_lines`` lines in whole documents; a document that no longer fits is passed
+over, the ones after it are not. All lines of a document take its label.
 Only rows with ``held_out`` false are ever used for it.
 
 Defined cases: null and empty texts are one empty line; blank lines weigh 1; a document with labels that contradict
-counts as bad; null labels are not used; with fewer than one document of either label all scores are 0.5; an empty
+counts as bad; null labels are not used; with fewer than one document of either label (that fits by
+itself) all scores are 0.5; an empty
 table gives an empty result; a null id counts as held out.
 """
 
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docwarden.llm.common import small_batches
@@ -179,8 +181,15 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_l
     chosen = F.broadcast(bad.unionByName(good))
     lines = F.length(F.coalesce("text", F.lit(""))) - F.length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(""))) + 1
     picked = docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"]).withColumn("n_lines", lines)
-    upto = F.sum("n_lines").over(Window.partitionBy("label").orderBy(*order))
-    picked = settle(picked).withColumn("upto", upto).filter(F.col("upto") <= max_lines // 2)
+    picked = settle(picked)
+    # at most per_class ids of each label
+    room, taken = {}, []
+    for r in picked.select("doc_id", "label", "n_lines").orderBy(*order).collect():
+        if r.n_lines <= room.setdefault(r.label, max_lines // 2):
+            room[r.label] -= r.n_lines
+            taken.append((r.doc_id,))
+    kind = picked.schema["doc_id"].dataType.simpleString()
+    picked = picked.join(F.broadcast(docs.sparkSession.createDataFrame(taken, f"doc_id {kind}")), "doc_id")
 
     @F.pandas_udf("array<double>")
     def features(text: pd.Series) -> pd.Series:

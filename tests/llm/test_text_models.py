@@ -64,6 +64,17 @@ def test_classifier_on_rows_it_never_saw(spark, folder):
     assert odd.weights == pytest.approx(field.weights)
 
 
+def test_a_very_long_document_leaves_room_for_others(spark):
+    ids = [r.i for r in spark.range(60).filter(~line_crf.held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id").select(F.col("id").alias("i")).collect()]
+    long = {ids[0], ids[7]}
+    rows = [(i, "x\n" * 200 if i in long else "a b\nc", i % 2) for i in ids]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    got = line_crf.sample(docs, labels, max_lines=300)
+    assert len(got) == len(ids) - 2 and set(got["label"]) == {0, 1} and got["n_lines"].max() == 2
+    assert len(line_crf.sample(docs, labels, max_lines=20)) == 10
+
+
 # ---- language model
 
 
