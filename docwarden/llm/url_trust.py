@@ -12,6 +12,7 @@ empty tables give an empty result.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -30,7 +31,9 @@ RULES = (
 )
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"(?i)<a\s[^>]*?href\s*=\s*[\"']?([^\"'\s>]+)"
-ROUNDS, DAMPING, RATIO = 8, 0.85, 1.0
+#: Rounds that the SQL beside this takes; here rounds go on until every host's rank is at rest.
+ROUNDS = 8
+DAMPING, RATIO, REST = 0.85, 1.0, 1e-6
 
 
 def host_of(url: Column) -> Column:
@@ -70,8 +73,10 @@ def host_edges(pages: DataFrame) -> DataFrame:
     )
 
 
-def propagate(hosts: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, seed_trust, seed_distrust) -> the same with ``trust`` and ``distrust`` after a number of rounds.
+def propagate(hosts: DataFrame, edges: DataFrame, rounds: int | None = None, damping: float = DAMPING) -> DataFrame:
+    """(host, seed_trust, seed_distrust) -> the same with ``trust`` and ``distrust``, after ``rounds`` or at rest.
+
+    At rest two more rounds reach no new host and change no rank by more than ``REST`` of itself.
 
     Both run in one job: a row of the doubled edges says whose rank flows where. Rank that arrives at a host without
     links onwards ends there.
@@ -86,14 +91,22 @@ def propagate(hosts: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping:
         .unionByName(hosts.select(F.lit(1).alias("kind"), "host", F.col("seed_distrust").alias("seed")))
     ).filter("seed > 0")
     ranks = seeds.select("kind", "host", F.col("seed").alias("rank"))
-    for i in range(rounds):
+    settled = ranks
+    for i in itertools.count() if rounds is None else range(rounds):
         moved = ranks.withColumnRenamed("host", "a").join(flows, ["kind", "a"]).select(
             "kind", F.col("b").alias("host"), (F.col("rank") * F.col("share") * damping).alias("part")
         )
         start = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("part"))
         ranks = moved.unionByName(start).groupBy("kind", "host").agg(F.sum("part").alias("rank"))
-        if i % 2 or i == rounds - 1:
+        if i % 2 or i + 1 == rounds:
             ranks = settle(ranks)
+            if rounds is None:
+                before = settled.select("kind", "host", F.col("rank").alias("was"))
+                change = F.abs(F.col("rank") - F.coalesce("was", F.lit(0.0)))
+                # one number
+                if not ranks.join(before, ["kind", "host"], "left").filter(change > F.col("rank") * REST).count():
+                    break
+                settled = ranks
     wide = ranks.groupBy("host").agg(
         F.sum(F.when(F.col("kind") == 0, F.col("rank"))).alias("trust"),
         F.sum(F.when(F.col("kind") == 1, F.col("rank"))).alias("distrust"),
@@ -104,7 +117,7 @@ def propagate(hosts: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping:
     )
 
 
-def host_scores(pages: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def host_scores(pages: DataFrame, rounds: int | None = None, damping: float = DAMPING) -> DataFrame:
     """(host, html, ruled) -> one row per host of a page with its seeds and scores."""
     hosts = settle(
         pages.groupBy("host").agg(
@@ -116,7 +129,7 @@ def host_scores(pages: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING
 
 
 def judge_urls(
-    pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, rounds: int = ROUNDS, damping: float = DAMPING,
+    pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, rounds: int | None = None, damping: float = DAMPING,
     ratio: float = RATIO,
 ) -> DataFrame:
     """(page_id, url, html) -> page_id, host, path, rule, verdict, trust, distrust."""

@@ -123,6 +123,19 @@ def test_url_trust(spark):
     assert len(hosts) > 5 and url_trust.judge_urls(df.limit(0)).count() == 0
 
 
+def test_url_distrust_over_a_long_chain(spark):
+    """Hosts h0 -> h1 -> ... -> h30 -> a blocked one, and a circle of three that h30 links to as well."""
+    links = {f"h{i}": [f"h{i + 1}"] for i in range(30)} | {"h30": ["bad.net", "c0"], "c0": ["c1"], "c1": ["c2"], "c2": ["c0", "bad.net"], "bad.net": []}
+    pages = [(i, f"http://{h}/es/", "".join(f'<a href="http://{x}/">' for x in to)) for i, (h, to) in enumerate(links.items())]
+    got = {r.host: r for r in url_trust.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    seed = {h: float(h == "bad.net") for h in links}
+    indegree = {h: sum(h in to for to in links.values()) for h in links}
+    rank = dict(seed)
+    for _ in range(400):
+        rank = {h: 0.15 * seed[h] + 0.85 * sum(rank[x] / indegree[x] for x in links[h]) for h in links}
+    assert all(r.verdict == "block" and r.distrust == pytest.approx(rank[h], rel=1e-4) for h, r in got.items()), got
+
+
 @pytest.mark.parametrize("compression", ["none", "gzip"])
 def test_warc_round_trip(spark, tmp_path, compression):
     long = "é<p>" * 100_000
