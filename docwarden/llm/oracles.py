@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from docwarden.llm import mixing, sharding, url_trust
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
@@ -58,11 +60,12 @@ FROM ruled LEFT JOIN scores USING (host)
 
 # the remainders of single bytes, then one step per byte of the text's UTF-8
 _TABLE = "list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
-_BYTES = "list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT)"
-CRC32 = (
+_BYTES = "list_transform(regexp_extract_all(hex(encode({})), '..'), lambda h: ('0x' || h)::BIGINT)"
+_CRC32 = (
     f"xor(list_reduce(list_concat([4294967295::BIGINT], {_BYTES}), lambda c, b: xor(c >> 8, "
     "t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"
 )
+CRC32 = _CRC32.format("text")
 
 
 def _shards(shards: int = 8) -> str:
@@ -165,10 +168,91 @@ SELECT r.x AS doc_id, s.n AS n_shingles, min(r.r) AS component_id FROM reach r J
 """
 
 
+RUNS = rf"""
+WITH crc_table AS (
+  SELECT {_TABLE} AS t
+), hashed AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), {WORDS}) AS w, {_CRC32.format("doc_id::VARCHAR")} AS h FROM documents, crc_table
+), planned AS (
+  SELECT *, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM hashed
+), repeated AS (
+  SELECT doc_id, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN list_transform(range(len(w)), lambda i:
+           CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (len(w) - a) // (3 + (h // 10) % 8)) + 1] END) ELSE w END AS w
+  FROM planned
+), places AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i, len(w) AS n FROM repeated
+), alike AS (
+  SELECT x.doc_id, y.i - x.i AS q, x.i FROM places x JOIN places y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+), islands AS (
+  SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM alike
+), spans AS (
+  SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)
+), runs AS (
+  SELECT doc_id, start, length, min(q) AS period FROM spans GROUP BY ALL
+), per_doc AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed,
+         arg_min(struct_pack(start := start, length := length, period := period), (-length, start, period)) AS best
+  FROM runs GROUP BY doc_id
+), dropped AS (
+  SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS collapsed FROM places ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period,
+       1000 * best.length // best.period AS exponent_milli,
+       sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN per_doc USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+def _audit() -> str:
+    steps = ", ".join(f"('{''.join(o)}', {i + 1}, '{o[i]}', '{''.join(o[:i])}')" for o in permutations("ABCDE") for i in range(5))
+    fails = {
+        "A": "len(w) < 200",
+        "B": "100 * len(list_distinct(w)) < 50 * len(w)",
+        "C": "100 * (length(txt) - length(regexp_replace(txt, '[A-Z]', '', 'g'))) > 2 * length(txt)",
+        "D": "regexp_matches(txt, '[#$%&*|]')",
+        "E": "doc_id > min(doc_id) OVER (PARTITION BY txt)",
+    }
+    judged = ", ".join(f"coalesce({condition}, false) AS {letter}" for letter, condition in fails.items())
+    hit = " OR ".join(f"(own = '{x}' AND {x})" for x in fails)
+    earlier = " OR ".join(f"(contains(before, '{x}') AND {x})" for x in fails)
+    others = " + ".join(f"{x}::INT" for x in fails)
+    return rf"""
+WITH words AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS txt, regexp_extract_all(coalesce(text, ''), {WORDS}) AS w FROM documents
+), judged AS (
+  SELECT doc_id, part, {judged} FROM words
+), marked AS (
+  SELECT j.*, coalesce(good, false) AS good, coalesce(toxic, false) AS bad
+  FROM judged j LEFT JOIN (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id) USING (doc_id)
+), combined AS (
+  SELECT part, A, B, C, D, E, good, bad, count(*) AS n FROM marked GROUP BY ALL
+), steps(filter_order, step, own, before) AS (
+  VALUES {steps}
+), counted AS (
+  SELECT part, filter_order, step, own, n, good, bad, ({hit}) AS fails, ({earlier}) AS gone, {others} AS failing FROM combined, steps
+), summed AS (
+  SELECT part, filter_order, step, own, sum(CASE WHEN NOT fails AND NOT gone THEN n ELSE 0 END)::BIGINT AS kept,
+         sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed,
+         sum(CASE WHEN fails AND gone THEN n ELSE 0 END)::BIGINT AS redundant,
+         sum(CASE WHEN fails AND failing = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+         sum(CASE WHEN fails AND NOT gone AND good THEN n ELSE 0 END)::BIGINT AS good_lost,
+         sum(CASE WHEN fails AND NOT gone AND bad THEN n ELSE 0 END)::BIGINT AS toxic_lost
+  FROM counted GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley
+FROM summed
+"""
+
+
 ORACLES = {
     "op2_set_join": SETS,
     "op4_url_trust": _url_trust(),
     "op6_feistel_shards": _shards(),
     "op7_warc": WARC,
     "op9_hash_mix": _mix(),
+    "op11_word_runs": RUNS,
+    "op12_filter_audit": _audit(),
 }

@@ -7,10 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docwarden.llm import chat_repair, line_crf, mixing, near_vectors, ngram_rules, piece_lattice, set_join, sharding, url_trust, warc
-from docwarden.llm.common import table
+from docwarden.llm import (
+    chat_repair, filter_audit, license_scan, line_crf, mixing, near_vectors, ngram_rules, piece_lattice, set_join, sharding, url_trust, warc, word_runs,
+)
+from docwarden.llm.common import WORD, table
 from docwarden.llm.oracles import ORACLES  # noqa: F401
-from docwarden.session import shared_folder
+from docwarden.session import once, shared_folder
 
 SHARDS = 8
 
@@ -84,6 +86,57 @@ def op10_ngram_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def _repeated(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) where a tenth of the documents, by hash, repeat some of their words up to their end."""
+    h = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
+    words = F.when(F.coalesce(h % 10 == 0, F.lit(False)), F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    split = once(docs.withColumn("g", F.floor(h / 10)), {"words": words})
+    n = F.size("words")
+    begin = (F.col("g") % n).cast("int")
+    period = (1 + F.floor((n - begin) / (3 + F.col("g") % 8))).cast("int")
+    bounds = once(split.withColumn("n", n), {"begin": F.when(n > 0, begin), "period": F.when(n > 0, period)})
+    tail = F.transform(F.sequence(F.lit(0), F.col("n") - F.col("begin") - 1), lambda i: F.get("words", F.col("begin") + i % F.col("period")))
+    text = F.when(F.col("n") > 0, F.concat_ws(" ", F.slice("words", F.lit(1), F.col("begin")), tail)).otherwise(F.col("text"))
+    return bounds.select("doc_id", text.alias("text"))
+
+
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = once(word_runs.word_runs(_repeated(docs)), {"run": word_runs.greatest()})
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "run.start",
+        "run.length",
+        "run.period",
+        F.floor(1000 * F.col("run.length") / F.col("run.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", lines), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    starts = F.transform("phrases", lambda p: p["start"])
+    named = [F.transform(spans, lambda p: p["label"]) for spans in ("phrases", "matches")]
+    joined = [F.array_join(F.array_sort(F.array_distinct(labels)), ",") for labels in (named[0], F.concat(*named))]
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("phrases").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        joined[0].alias("base_labels"),
+        joined[1].alias("labels"),
+        "score",
+    )
+
+
 QUERIES = {
     "op1_near_vectors": op1_near_vectors,
     "op2_set_join": op2_set_join,
@@ -95,4 +148,7 @@ QUERIES = {
     "op8_line_crf": op8_line_crf,
     "op9_hash_mix": op9_hash_mix,
     "op10_ngram_rules": op10_ngram_rules,
+    "op11_word_runs": op11_word_runs,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_license_scan": op13_license_scan,
 }
