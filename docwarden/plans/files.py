@@ -318,7 +318,8 @@ def office_text(spark: SparkSession, folder: str) -> DataFrame:
     f"""WITH {sql.CORPUS}
 SELECT file_id, CASE WHEN starts_with(text, '%PDF') THEN '.pdf' WHEN {_IS_RTF} THEN '.rtf' END AS sniffed_ext FROM corpus
 UNION ALL SELECT -1 - doc_id, CASE WHEN doc_id % 50 <> 49 THEN {sql.pick(corpus.OOXML_EXTS, 'doc_id')} END FROM documents
-UNION ALL SELECT -1000000000 - doc_id, '.xls' FROM documents WHERE doc_id % 2 = 0""",
+UNION ALL SELECT -1000000000 - doc_id, CASE WHEN doc_id % 2 = 0 THEN '.xls' WHEN starts_with(text, '%PDF') THEN '.pdf' WHEN {_IS_RTF} THEN '.rtf' END
+FROM documents""",
 )
 def sniffed_types(spark: SparkSession, folder: str) -> DataFrame:
     """Types of the text, archive and spreadsheet corpora from their bytes alone."""

@@ -396,14 +396,18 @@ def rtf_strip(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_PDF_STRIPPED = f"""{sql.PDF_CORPUS}, k AS (SELECT file_id, text, list_filter(regexp_extract_all(text, {_duck(sanitize._key_pattern(fixed.PDF_STRIP_KEYS))}, 2), lambda x: x <> '') AS keys,
+  regexp_replace(text, {_duck(sanitize._key_pattern(fixed.PDF_STRIP_KEYS))}, '\\1', 'g') AS once FROM corpus),
+a AS (SELECT *, regexp_extract_all(once, {_duck(sanitize._BAD_ACTION)}, 2) AS acts, regexp_replace(once, {_duck(sanitize._BAD_ACTION)}, '', 'g') AS clean FROM k)"""
+_PDF_REMOVED = "list_distinct(list_concat(list_transform(keys, lambda x: '/' || x), list_transform(acts, lambda x: '/A/' || x)))"
+
+
 @query(
     "pdf_strip",
-    f"""WITH {sql.PDF_CORPUS}, k AS (SELECT file_id, text, list_filter(regexp_extract_all(text, {_duck(sanitize._key_pattern(fixed.PDF_STRIP_KEYS))}, 2), lambda x: x <> '') AS keys,
-  regexp_replace(text, {_duck(sanitize._key_pattern(fixed.PDF_STRIP_KEYS))}, '\\1', 'g') AS once FROM corpus),
-a AS (SELECT *, regexp_extract_all(once, {_duck(sanitize._BAD_ACTION)}, 2) AS acts, regexp_replace(once, {_duck(sanitize._BAD_ACTION)}, '', 'g') AS clean FROM k)
+    f"""WITH {_PDF_STRIPPED}
 SELECT file_id, md5(clean) AS clean_md5, CAST(len(list_filter(keys, lambda x: contains(x, 'JS') OR contains(x, 'Script'))) AS INTEGER) AS js,
   CAST(len(list_filter(keys, lambda x: NOT (contains(x, 'JS') OR contains(x, 'Script')))) + len(acts) AS INTEGER) AS actions,
-  array_to_string(list_sort(list_distinct(list_concat(list_transform(keys, lambda x: '/' || x), list_transform(acts, lambda x: '/A/' || x)))), ',') AS removed FROM a""",
+  array_to_string(list_sort({_PDF_REMOVED}), ',') AS removed FROM a""",
 )
 def pdf_strip(spark: SparkSession, folder: str) -> DataFrame:
     s = sanitize.pdf_strip(corpus.pdf_corpus(spark, folder))
@@ -422,9 +426,8 @@ def pdf_strip_catalog(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "removed_summary",
-    f"""WITH {sql.PDF_CORPUS}, k AS (SELECT file_id, unnest(list_distinct(list_filter(regexp_extract_all(text,
-  {_duck(sanitize._key_pattern(fixed.PDF_STRIP_KEYS))}, 2), lambda x: x <> ''))) AS key FROM corpus)
-SELECT '/' || key AS label, count(*) AS files FROM k GROUP BY key""",
+    f"""WITH {_PDF_STRIPPED}, l AS (SELECT file_id, unnest({_PDF_REMOVED}) AS label FROM a)
+SELECT label, count(*) AS files FROM l GROUP BY label""",
 )
 def removed_summary(spark: SparkSession, folder: str) -> DataFrame:
     s = sanitize.pdf_strip(corpus.pdf_corpus(spark, folder))
