@@ -137,7 +137,12 @@ PDF_CATALOG_KEYS = (
     "/OpenAction", "/AA", "/Names", "/AcroForm", "/Outlines", "/PageLabels", "/Annots", "/RichMediaContent",
     "/ViewerPreferences", "/Metadata", "/Info", "/JS", "/JavaScript",
 )
+PDF_FORM_KEYS = ("XFA", "JS", "JavaScript", "AA", "NeedAppearances", "Fields")
 OOXML_DROP_FOLDERS = ("/embeddings/", "/externallinks/", "/webextensions/", "/activex/", "/customxml/")
+OOXML_DROP_NAMES = ("/comments", "trackchanges")
+EXTERNAL_KINDS = ("/externallink", "/hyperlink")
+OVERRIDE_KINDS = ("vba", "activex", "webextension")
+OVERRIDE_PARTS = ("/activex/", "/webextensions/", "/externallinks/", "/customxml/", "/comments", "trackchanges")
 OOXML_DROP_PROPS = ("docprops/core.xml", "docprops/app.xml", "docprops/custom.xml")
 UNSAFE_SCHEMES = ("file:", "javascript:", "vbscript:", "data:")
 OOXML_DROP_ELEMENTS = (

@@ -60,6 +60,34 @@ PDF_PLANTS = (
     ("/Names 8 0 R", "8 0 obj\n<< /JavaScript 9 0 R /EmbeddedFiles 10 0 R >>\nendobj\n"),
 )
 
+# Files of five objects and more whose active parts hang on the catalog and the page:
+# (catalog entries, page entries, further objects, trailer entries).
+PDF_GRAPH_PLANTS = (
+    ("", "", "", ""),
+    ("/OpenAction 5 0 R", "", "5 0 obj\n<< /S /JavaScript /JS (app.alert\\(1\\)) >>\nendobj\n", ""),
+    (
+        "/Names 5 0 R", "",
+        "5 0 obj\n<< /JavaScript 6 0 R /EmbeddedFiles << /Names [(a) 7 0 R] >> /Dests 8 0 R >>\nendobj\n6 0 obj\n<< /Names [(x) 9 0 R] >>\nendobj\n"
+        "7 0 obj\n<< /Type /Filespec /F (a.exe) >>\nendobj\n8 0 obj\n<< /Kids [] >>\nendobj\n9 0 obj\n<< /S /JavaScript /JS (run) >>\nendobj\n", "",
+    ),
+    ("/AcroForm << /XFA 5 0 R /Fields [6 0 R] /DA (/Helv 0 Tf) >>", "", "5 0 obj\n<< >>\nendobj\n6 0 obj\n<< /T (field) >>\nendobj\n", ""),
+    (
+        "", "/Annots [5 0 R 6 0 R << /Subtype /Link /A << /S /URI /URI (http://x.example/) >> >>] /AA << /O 7 0 R >>",
+        "5 0 obj\n<< /Subtype /Link /A << /S /JavaScript /JS (a) >> >>\nendobj\n6 0 obj\n<< /Subtype /Widget /A 7 0 R >>\nendobj\n"
+        "7 0 obj\n<< /S /JavaScript /JS <6170702E> >>\nendobj\n", "",
+    ),
+    ("", "/Annots 5 0 R /RichMediaContent << /Assets 6 0 R >>", "5 0 obj\n[6 0 R]\nendobj\n6 0 obj\n<< /Subtype /RichMedia >>\nendobj\n", ""),
+    (
+        "/ViewerPreferences << /HideToolbar true /Direction /L2R >> /Metadata 5 0 R /PageLabels 6 0 R /Outlines 7 0 R", "",
+        "5 0 obj\n<< /Length 3 >>\nstream\n<x>\nendstream\nendobj\n6 0 obj\n<< /Nums [] >>\nendobj\n7 0 obj\n<< /Count 0 >>\nendobj\n"
+        "8 0 obj\n<< /Title (t) >>\nendobj\n", "/Info 8 0 R",
+    ),
+    (
+        "/AA << /WC 5 0 R >> /Extra 5 0 R", "",
+        "5 0 obj\n<< /Next 6 0 R /Deep << /Deeper [<< /JS (x \\) y) >>] >> >>\nendobj\n6 0 obj\n<< /Next 5 0 R /JavaScript (y) >>\nendobj\n", "",
+    ),
+)
+
 # Extra archive members: (name, body before the text, body after the text); None as name means no member.
 OOXML_EXTS = (".docx", ".xlsx", ".pptx")
 OOXML_ROOTS = ("word/", "xl/", "ppt/")
@@ -135,6 +163,20 @@ def pdf_corpus(spark: SparkSession, folder: str) -> DataFrame:
     return d.select(n.alias("file_id"), F.lit(".pdf").alias("ext"), text.alias("text"), F.encode(text, "UTF-8").alias("content"))
 
 
+def pdf_graph_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """PDFs with a page, the document as its content, and ``PDF_GRAPH_PLANTS`` by number."""
+    d = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    n = F.col("doc_id")
+    catalog, page, objects, trailer = (pick([F.lit(p[i]) for p in PDF_GRAPH_PLANTS], n) for i in range(4))
+    whole = F.concat(
+        F.lit("%PDF-1.5\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R "), catalog,
+        F.lit(" >>\nendobj\n2 0 obj\n<< /Type /Pages /Kids [3 0 R] /Count 1 >>\nendobj\n3 0 obj\n<< /Type /Page /Parent 2 0 R /Contents 4 0 R "), page,
+        F.lit(" >>\nendobj\n4 0 obj\n<< /Length "), F.octet_length("text").cast("string"), F.lit(" >>\nstream\n"), F.col("text"),
+        F.lit("\nendstream\nendobj\n"), objects, F.lit("trailer\n<< /Root 1 0 R "), trailer, F.lit(" >>\n%%EOF\n"),
+    )
+    return d.select(n.alias("file_id"), F.lit(".pdf").alias("ext"), F.encode(whole, "UTF-8").alias("content"))
+
+
 def ooxml_members(spark: SparkSession, folder: str) -> DataFrame:
     """Member rows of the office documents to build: (file_id, ext, pos, member, body)."""
     d = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
