@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docwarden.functions import fixed, text
 from docwarden.functions.bytes import byte_entropy, chunk_entropy_p95
+from docwarden.operators import archive_clean
 from docwarden.session import once
 from docwarden.sources import archives
 
@@ -136,83 +137,24 @@ def xls(df: DataFrame) -> DataFrame:
     return with_text(df).select("file_id", *[c.alias(k) for k, c in cols.items()])
 
 
-def ooxml_from_members(members: DataFrame) -> DataFrame:
-    """OOXML features from member rows (file_id, pos, member, body); the bodies are counted before the shuffle."""
-    name = F.lower("member")
-    macro = (
-        F.endswith(name, F.lit("vba/vba.pcode"))
-        | F.endswith(name, F.lit("vbaproject.bin"))
-        | F.contains(name, F.lit("/vba"))
-        | F.contains(name, F.lit("vbaproject"))
-    )
-    xml = name.rlike(r"\.(xml|rels|vml)$") & F.col("body").isNotNull()
-    raw = text.latin1(F.col("body"))
-    utf8 = text.utf8_ignore(F.col("body"))
-    low = F.lower(utf8)
-    marks = members.select(
-        "file_id",
-        "pos",
-        name.rlike("^(word|ppt|xl)/embeddings/").cast("int").alias("ole"),
-        (
-            F.contains(name, F.lit("activex"))
-            | F.contains(name, F.lit("control"))
-            | F.when(xml, text.has_any(low, ("classid", "activex"))).otherwise(F.lit(False))
-        ).cast("int").alias("activex"),
-        F.when(macro, F.col("body")).alias("macro"),
-        *[
-            F.when(xml, text.token_count(raw, t)).otherwise(F.lit(0)).alias(f"n_{t}")
-            for t in ("CreateObject", "Shell", "WScript")
-        ],
-        F.when(xml, text.url_count(utf8)).otherwise(F.lit(0)).alias("urls"),
-    )
-    per_file = marks.groupBy("file_id").agg(
-        F.count("*").alias("zip_member_count"),
-        F.sum("ole").alias("ole_object_count"),
-        F.max("activex").alias("has_activex"),
-        F.sum("n_CreateObject").alias("token_CreateObject"),
-        F.sum("n_Shell").alias("token_Shell"),
-        F.sum("n_WScript").alias("token_WScript"),
-        F.sum("urls").alias("url_count"),
-        # only macro parts are carried, joined in archive order
-        F.array_sort(F.collect_list(F.when(F.col("macro").isNotNull(), F.struct("pos", "macro")))).alias("macros"),
-    )
-    code = F.aggregate("macros", F.lit(b"").cast("binary"), lambda acc, m: F.concat(acc, m["macro"]))
-    return per_file.withColumn("code", code).select(
-        "file_id",
-        text.token_count(text.latin1(F.col("code")), "Attribute VB_Name").alias("vba_module_count"),
-        "has_activex",
-        "ole_object_count",
-        F.octet_length("code").alias("macro_size"),
-        chunk_entropy_p95(F.col("code"), 2048).alias("macro_entropy_p95"),
-        "token_CreateObject",
-        "token_Shell",
-        "token_WScript",
-        "url_count",
-        "zip_member_count",
-    )
-
-
-OOXML_COLUMNS = (
-    "vba_module_count", "has_activex", "ole_object_count", "macro_size", "macro_entropy_p95",
-    "token_CreateObject", "token_Shell", "token_WScript", "url_count", "zip_member_count",
-)
+OOXML_COLUMNS = tuple(c.split()[0] for c in archive_clean.COUNTS.split(", "))
 
 
 def ooxml(df: DataFrame) -> DataFrame:
-    """OOXML features of archives; a file that is no archive keeps zeros."""
-    found = ooxml_from_members(archives.explode_members(df))
-    return df.select("file_id").join(found, "file_id", "left").na.fill(0, list(OOXML_COLUMNS))
+    """OOXML features of archives, counted in their rows; a file that is no archive has zeros."""
+    return once(df.select("file_id", "content"), {"_zip": archive_clean.counted(F.col("content"))}).select("file_id", "_zip.*")
 
 
 def dispatch(df: DataFrame) -> DataFrame:
     """All feature groups side by side; a group that the type does not have is null, so that alignment can fill it.
 
-    One scan gives the general, PDF, RTF and spreadsheet groups. Only archives go through the member rows.
+    One scan gives all groups; archives are opened in their rows.
     """
     raw, content, ext, p95 = F.col("raw"), F.col("content"), F.col("ext"), F.col("entropy_p95")
     groups = [(".pdf", _pdf_columns(raw, p95)), (".rtf", _rtf_columns(raw, p95)), (".xls", _xls_columns(raw, content))]
     # one entropy per file serves the general, the PDF and the RTF group
-    base = with_text(df.withColumn("entropy_p95", chunk_entropy_p95(content))).select(
+    opened = once(df, {"entropy_p95": chunk_entropy_p95(content), "_zip": archive_clean.counted(F.when(ext.isin(*fixed.OOXML_EXTS), content))})
+    base = with_text(opened).select(
         "file_id",
         "ext",
         F.octet_length("content").alias("file_size"),
@@ -221,13 +163,10 @@ def dispatch(df: DataFrame) -> DataFrame:
         text.url_count(text.utf8_ignore(content)).alias("url_count_general"),
         *[c.alias(k) for k, c in ext_flags(ext).items()],
         *[F.when(ext == e, c).alias(k) for e, cols in groups for k, c in cols.items()],
+        "_zip",
     )
-    packed = archives.explode_members(df.filter(ext.isin(*fixed.OOXML_EXTS)))
-    joined = base.join(ooxml_from_members(packed), "file_id", "left")
     # an archive type without readable members has zeros, other types have no such columns
-    return joined.withColumns(
-        {c: F.when(ext.isin(*fixed.OOXML_EXTS), F.coalesce(F.col(c), F.lit(0))) for c in OOXML_COLUMNS}
-    )
+    return base.withColumns({c: F.when(F.col("ext").isin(*fixed.OOXML_EXTS), F.col("_zip")[c]) for c in OOXML_COLUMNS}).drop("_zip")
 
 
 def runtime_meta(df: DataFrame, with_archives: bool = True) -> DataFrame:

@@ -1,6 +1,6 @@
 """Removal of active content, and what was removed.
 
-Text formats are rewritten inside their row. Archives are rewritten as member rows and packed again.
+Every format is rewritten inside its row: text by expressions, PDFs and archives by functions of their bytes.
 """
 
 from __future__ import annotations
@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 
 from docwarden.functions import fixed, text
 from docwarden.functions.vocabulary import prefix_pattern
-from docwarden.operators import rules
+from docwarden.operators import archive_clean, pdf_clean, rules
 from docwarden.session import once
-from docwarden.sources import archives
 from docwarden.sources.pdf_objects import DICT
 
 # ---- keywords ----------------------------------------------------------------------------------------------
@@ -123,14 +122,10 @@ def drops_full(member: Column) -> Column:
         [F.endswith(name, F.lit("vbaproject.bin"))]
         + [F.contains(name, F.lit(f)) for f in fixed.OOXML_DROP_FOLDERS]
         + [F.endswith(name, F.lit(p)) for p in fixed.OOXML_DROP_PROPS]
-        + [F.contains(name, F.lit("/comments")), F.contains(name, F.lit("trackchanges"))]
+        + [F.contains(name, F.lit(w)) for w in fixed.OOXML_DROP_NAMES]
     )
 
 
-RELATIONSHIP = r"(?s)<Relationship\b[^>]*?(?:/>|>.*?</Relationship>)"
-OVERRIDE = r"(?s)<Override\b[^>]*?(?:/>|>.*?</Override>)"
-
-
 def attribute(element: Column, name: str) -> Column:
     return F.regexp_extract(element, r"\b" + name + r"""\s*=\s*["']([^"']*)["']""", 1)
 
@@ -145,125 +140,72 @@ def is_external(rel: Column, light: bool = False) -> Column:
         [
             mode == "External",
             F.contains(goal, F.lit("externallink")),
-            F.endswith(kind, F.lit("/externallink")),
-            F.endswith(kind, F.lit("/hyperlink")),
         ]
+        + [F.endswith(kind, F.lit(s)) for s in fixed.EXTERNAL_KINDS]
         + [F.startswith(goal, F.lit(s)) for s in fixed.UNSAFE_SCHEMES]
     )
 
 
-def drops_override(element: Column) -> Column:
-    """Whether a content-type override names a part that is not kept."""
-    kind, part = F.lower(attribute(element, "ContentType")), F.lower(attribute(element, "PartName"))
-    return _any(
-        [F.contains(kind, F.lit(w)) for w in ("vba", "activex", "webextension")]
-        + [F.endswith(part, F.lit("vbaproject.bin"))]
-        + [F.contains(part, F.lit(w)) for w in ("/activex/", "/webextensions/", "/externallinks/", "/customxml/", "/comments", "trackchanges")]
-        + [F.contains(part, F.lit(p)) for p in fixed.OOXML_DROP_PROPS]
-    )
-
-
-def without(body: Column, elements: Column) -> Column:
-    """Text with each of the listed pieces cut out."""
-    return F.aggregate(elements, body, lambda acc, piece: F.replace(acc, piece, F.lit("")))
-
-
 def external_relationships(members: DataFrame, light: bool = False) -> DataFrame:
     """(file_id, member, target, mode) of every relationship that leaves its package."""
     rels = members.filter(F.endswith(F.lower("member"), F.lit(".rels")))
-    found = F.regexp_extract_all(text.utf8_ignore(F.col("body")), F.lit(RELATIONSHIP), 0)
+    found = F.regexp_extract_all(text.utf8_ignore(F.col("body")), F.lit(archive_clean.RELATIONSHIP), 0)
     rows = rels.select("file_id", "member", F.explode(F.filter(found, lambda r: is_external(r, light))).alias("rel"))
     return rows.select("file_id", "member", attribute(F.col("rel"), "Target").alias("target"), attribute(F.col("rel"), "TargetMode").alias("mode"))
 
 
-def _node_pattern() -> str:
-    names = "|".join(sorted(fixed.OOXML_DROP_ELEMENTS, key=len, reverse=True))
-    # an element goes together with the text behind it
-    return rf"(?s)<(?:[\w.-]+:)?(?:{names})(?:\s[^<>]*)?/>[^<]*|<((?:[\w.-]+:)?(?:{names}))(?:\s[^<>]*)?>.*?</\1>[^<]*"
-
-
-def ooxml_clean_members(members: DataFrame, mode: str = "light", terms: tuple[str, ...] | None = None) -> DataFrame:
-    """Members that stay, rewritten, with ``removed`` naming what was done to each; one row per member as before.
-
-    light: macros, embeddings and external relationships. full: also properties, comments, content types and
-    active elements, then the keywords when ``terms`` is given. Dropped members keep a row with a null body.
-    """
-    light = mode == "light"
-    name, body = F.lower("member"), F.col("body")
-    drop = drops_light(F.col("member")) if light else drops_full(F.col("member"))
-    is_rels, is_xml = F.endswith(name, F.lit(".rels")), name.rlike(r"\.(xml|vml)$")
-    as_text = text.utf8_ignore(body)
-    rels = F.filter(F.regexp_extract_all(as_text, F.lit(RELATIONSHIP), 0), lambda r: is_external(r, light))
-    steps = members.withColumns({"_drop": drop, "_text": as_text, "_rels": F.when(is_rels, rels)})
-    steps = steps.withColumn("_new", F.when(is_rels & (F.size("_rels") > 0), without(F.col("_text"), F.col("_rels"))).otherwise(F.col("_text")))
-    n_nodes = F.lit(0)
-    if not light:
-        overrides = F.filter(F.regexp_extract_all("_new", F.lit(OVERRIDE), 0), drops_override)
-        steps = steps.withColumn("_new", F.when(name == "[content_types].xml", without(F.col("_new"), overrides)).otherwise(F.col("_new")))
-        steps = steps.withColumn("_nodes", F.when(is_xml, F.regexp_count("_new", F.lit(_node_pattern()))).otherwise(F.lit(0)))
-        steps = steps.withColumn("_new", F.when(F.col("_nodes") > 0, F.regexp_replace("_new", F.lit(_node_pattern()), F.lit(""))).otherwise(F.col("_new")))
-        n_nodes = F.col("_nodes")
-        if terms is not None:
-            textual = name.rlike(r"\.(xml|rels|vml|txt)$")
-            steps = steps.withColumn("_new", F.when(textual, scrub(F.col("_new"), terms)).otherwise(F.col("_new")))
-    removed = F.array_compact(
-        F.array(
-            F.when(F.col("_drop"), F.concat(F.lit("drop:"), F.col("member"))),
-            F.when(~F.col("_drop") & (F.size("_rels") > 0), F.concat(F.lit("rels:"), F.col("member"))),
-            F.when(~F.col("_drop") & (n_nodes > 0), F.concat(F.lit("xml:"), F.col("member"), F.lit(":"), n_nodes.cast("string"))),
-        )
-    )
-    # bytes that were not rewritten pass through untouched
-    new_body = F.when(F.col("_drop"), F.lit(None).cast("binary")).otherwise(
-        F.when(F.col("_new") == F.col("_text"), body).otherwise(F.encode("_new", "UTF-8"))
-    )
-    return steps.withColumns({"removed": removed, "rels_removed": F.when(~F.col("_drop"), F.coalesce(F.size("_rels"), F.lit(0))).otherwise(F.lit(0)), "body": new_body}).select(
-        "file_id", "pos", "member", "body", "removed", F.greatest("rels_removed", F.lit(0)).alias("rels_removed"), F.col("_drop").alias("dropped")
-    )
-
-
 def ooxml_clean(df: DataFrame, mode: str = "light", terms: tuple[str, ...] | None = None) -> DataFrame:
-    """(file_id, content) -> (file_id, clean, removed); an unreadable archive has no row."""
-    cleaned = ooxml_clean_members(archives.explode_members(df), mode, terms)
-    packed = cleaned.groupBy("file_id").agg(
-        F.array_sort(F.collect_list(F.when(~F.col("dropped"), F.struct("pos", "member", "body")))).alias("members"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("removed")))).alias("removed"),
-    )
-    return packed.select("file_id", archives.zip_array(F.col("members")).alias("clean"), "removed")
+    """(file_id, content) -> (file_id, clean, removed), one row per row; an unreadable archive has none."""
+    done = once(df.select("file_id", "content"), {"_zip": archive_clean.cleaned(F.col("content"), mode, terms)})
+    return done.filter(F.col("_zip.clean").isNotNull()).select("file_id", "_zip.clean", "_zip.removed")
 
 
 # ---- dispatch ----------------------------------------------------------------------------------------------
 
 
-def sanitize(df: DataFrame, policy: str = "malicious_only", archives_too: bool = True) -> DataFrame:
-    """Clean content of scanned files: (file_id, ext, content, verdict) -> + clean, changed, engine, notes, sanitized.
+def sanitize(
+    df: DataFrame, policy: str = "malicious_only", archives_too: bool = True, mode: str = "light", terms: tuple[str, ...] | None = None
+) -> DataFrame:
+    """Clean content of scanned files: (file_id, ext, content, verdict) -> + clean, changed, removed, engine, notes, sanitized.
 
     ``malicious_only`` leaves every other file as it is; ``always`` cleans all. A type without a cleaner, and a
     file that its cleaner cannot read, keep their content: ``engine``, ``notes`` and ``sanitized`` say what a cleaner
-    returned, not what it was asked for. Only due archives are opened and moved; all other files are cleaned in
-    their rows.
+    returned, not what it was asked for. Every file is cleaned in its row: the input runs once and nothing is exchanged.
+
+    ``light`` takes script and launch keys out of PDFs, objects and fields out of RTF, and macros, embeddings and
+    external relationships out of archives; ``full`` follows the PDF's objects from its catalog, takes all steps of the
+    RTF list, and also drops properties, comments and active elements of archives, with the keywords where ``terms`` is
+    given. PDFs whose objects cannot be told take the pattern rule.
     """
     if policy not in ("malicious_only", "always"):
         raise ValueError(f"unknown policy {policy}")
-    ext = F.col("ext")
-    due = F.lit(True) if policy == "always" else F.col("verdict") == "malicious"
-    raw = text.latin1(F.col("content"))
+    if mode not in ("light", "full"):
+        raise ValueError(f"unknown mode {mode}")
+    ext, content, full = F.col("ext"), F.col("content"), mode == "full"
+    due = F.lit(True) if policy == "always" else F.coalesce(F.col("verdict") == "malicious", F.lit(False))
+    parsed = {"_pdf": pdf_clean.cleaned(F.when(due & (ext == ".pdf"), content), "scoped" if full else "everywhere")}
+    if archives_too:
+        # every type whose archive rules can find something can also be cleaned
+        parsed["_zip"] = archive_clean.cleaned(F.when(due & ext.isin(*fixed.OFFICE_RULE_EXTS), content), mode, terms)
+    out = once(df, parsed)
+    raw = text.latin1(content)
     stripped = F.regexp_replace(pdf_strip_keys(raw), F.lit(_BAD_ACTION), F.lit(""))
-    clean = F.when(due & (ext == ".pdf"), F.encode(stripped, "ISO-8859-1")).when(
-        due & (ext == ".rtf"), F.encode(rtf_light(raw), "ISO-8859-1")
+    if full:
+        out = rtf_full(out.withColumn("_raw", F.when(due & (ext == ".rtf"), raw)), "_raw").withColumnsRenamed({"clean": "_rtf", "removed": "_labels"})
+    else:
+        out = out.withColumns({"_raw": F.lit(None).cast("string"), "_rtf": rtf_light(raw), "_labels": F.array().cast("array<string>")})
+    clean = F.when(due & (ext == ".pdf"), F.coalesce("_pdf.clean", F.encode(stripped, "ISO-8859-1"))).when(
+        due & (ext == ".rtf"), F.encode("_rtf", "ISO-8859-1")
     )
-    out = df.withColumn("_clean", clean)
+    removed = F.when(due & (ext == ".pdf"), F.col("_pdf.removed")).when(due & (ext == ".rtf"), F.col("_labels"))
     if archives_too:
-        # every type whose archive rules can find something can also be cleaned
-        archive = F.coalesce(due & ext.isin(*fixed.OFFICE_RULE_EXTS), F.lit(False))
-        packed = ooxml_clean(df.filter(archive)).select("file_id", F.col("clean").alias("_clean"))
-        opened = df.filter(archive).join(packed, "file_id", "left")
-        out = out.filter(~archive).unionByName(opened)
+        clean, removed = F.coalesce(clean, "_zip.clean"), F.coalesce(removed, "_zip.removed")
+    out = out.withColumns({"_clean": clean, "removed": F.coalesce(removed, F.array().cast("array<string>"))})
     cleaner = F.when(ext == ".pdf", "pdf_strip").when(ext == ".rtf", "rtf_convert").otherwise("ooxml_purge")
     engine = F.when(~due, "none").when(F.col("_clean").isNotNull(), cleaner).otherwise("passthrough")
-    out = out.withColumn("engine", engine).withColumn("clean", F.coalesce("_clean", "content")).drop("_clean")
+    out = out.withColumn("engine", engine).withColumn("clean", F.coalesce("_clean", "content"))
     kept = F.when(F.col("engine") == "passthrough", "Unsupported type or sanitizer failed; original retained")
-    out = out.withColumn("notes", kept)
+    out = out.withColumn("notes", kept).drop("_clean", "_pdf", "_zip", "_raw", "_rtf", "_labels")
     return out.withColumns(
         {"changed": F.sha2("clean", 256) != F.sha2("content", 256), "sanitized": due & (F.col("engine") != "passthrough")}
     )
@@ -277,8 +219,7 @@ def mark_unchanged(clean: Column, original: Column, marker: str = "\n% sanitized
 def rescan(df: DataFrame, policy: str = "malicious_only", archives_too: bool = True, with_entropy: bool = True) -> DataFrame:
     """Scan, clean, scan again, in one row per file: verdict and risk before and after, and their difference.
 
-    All rules are on. For text formats only, archives and entropy may be left out: the clean content then stays in
-    its row and the second scan needs no join.
+    All rules are on; archives and entropy may be left out.
     """
     first = rules.scan(df, with_archives=archives_too, with_entropy=with_entropy)
     kept = first.select(

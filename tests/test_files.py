@@ -18,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docwarden.functions import fixed, text
-from docwarden.functions.bytes import _entropies, byte_entropy, chunk_entropy_p95
+from docwarden.functions.bytes import entropies, byte_entropy, chunk_entropy_p95
 from docwarden.functions.vocabulary import prefix_pattern, scrub_terms
 from docwarden.operators import features, rules, sanitize
 from docwarden.plans.jobs import feature_table, reports, training_columns
@@ -36,9 +36,9 @@ def entropy(data: bytes) -> float:
 
 @given(st.binary(min_size=1, max_size=3000), st.integers(1, 700))
 @settings(max_examples=60, deadline=None)
-def test_chunk_entropies(data, chunk):
+def test_chunkentropies(data, chunk):
     expected = [entropy(data[i : i + chunk]) for i in range(0, len(data), chunk)]
-    assert np.allclose(_entropies(data, chunk), expected)
+    assert np.allclose(entropies(data, chunk), expected)
 
 
 def test_entropies_in_frames(spark):
@@ -260,8 +260,8 @@ def test_ooxml_cleaning(spark):
 def test_xml_elements_go_with_their_tail(spark):
     xml = b"<w><w:control a='1'/>tail<w:p>keep</w:p><w:object><b/></w:object> t2<x>k</x></w>"
     df = fx.frame(spark, {1: (".docx", fx.archive(**{"word/document.xml": xml}))})
-    row = sanitize.ooxml_clean_members(archives.explode_members(df), "full").first()
-    assert bytes(row["body"]) == b"<w><w:p>keep</w:p><x>k</x></w>" and row["removed"] == ["xml:word/document.xml:2"]
+    row = sanitize.ooxml_clean(df, "full").first()
+    assert archives._members(row["clean"]) == [("word/document.xml", b"<w><w:p>keep</w:p><x>k</x></w>")] and row["removed"] == ["xml:word/document.xml:2"]
 
 
 def test_rescan_never_raises_the_risk(spark):
