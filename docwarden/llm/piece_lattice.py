@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-1. Texts are cut into units that no piece crosses (a run of word marks with what follows up to the next mark, or a line
-   feed), and the distinct units of the corpus are counted.
+1. Texts are cut into units that no piece crosses: wherever two bytes meet that stand side by side in no piece. The
+   best way through a text is that of its units one after the other. The distinct units of the corpus are counted.
 2. Each unit's substrings of at most the longest piece's length are exploded and joined to the piece table (a
    vocabulary of fixed size, broadcast); a character without a piece gets the unknown edge. Edges are grouped by unit
    without another exchange and folded with ``aggregate``: the best way to each end position, by the sum of scores.
@@ -24,8 +24,7 @@ result; decoding gives the text back exactly, but for U+2581 in the source, whic
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,14 +38,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from docwarden.llm.common import small_batches
+from docwarden.llm.common import release, small_batches
 from docwarden.llm.shingles import slices
+from docwarden.llm.word_arrays import Words, text_bytes
 from docwarden.session import settle
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-UNIT = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
-FLUSH, MAX_ENTRIES, PIECES_PER_ENTRY, LONG_UNIT = 150_000, 1 << 23, 8, 256
+BLOCK, MAX_ENTRIES, PIECES_PER_ENTRY, LONG_UNIT = 12 << 20, 1 << 23, 8, 256
 #: Units whose edges one task of the lattice holds at once.
 UNITS_PER_TASK = 16_000
 UNKNOWN_PENALTY = 10.0
@@ -64,6 +63,8 @@ class Pieces:
     bytes_from: int | None
     surface: list[bytes]
     prefix: bool
+    #: For each two bytes whether a unit may end between them.
+    cuts: np.ndarray
 
     @property
     def longest(self) -> int:
@@ -79,8 +80,12 @@ def load(path: str = MODEL) -> Pieces:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     normal = [i for i, p in enumerate(proto.pieces) if p.type in (p.NORMAL, p.USER_DEFINED)]
     pieces = [proto.pieces[i].piece for i in normal]
-    if not all(UNIT.fullmatch(p) for p in pieces):
-        raise ValueError("a piece crosses the boundary of a unit")
+    inside = np.zeros((256, 256), bool)
+    for p in pieces:
+        spelt = np.frombuffer(p.replace(MARK, " ").encode(), np.uint8)
+        inside[spelt[:-1], spelt[1:]] = True
+    # never inside a character
+    inside[:, 0x80:0xC0] = True
     scores = [float(proto.pieces[i].score) for i in normal]
     base = model.piece_to_id("<0x00>") if proto.trainer_spec.byte_fallback else None
     surface = [
@@ -88,31 +93,53 @@ def load(path: str = MODEL) -> Pieces:
         for p in proto.pieces
     ]
     surface[model.unk_id()] = " ⁇ ".encode()
-    return Pieces(pieces, normal, scores, model.unk_id(), min(scores) - UNKNOWN_PENALTY, base, surface, spec.add_dummy_prefix)
+    return Pieces(pieces, normal, scores, model.unk_id(), min(scores) - UNKNOWN_PENALTY, base, surface, spec.add_dummy_prefix, ~inside.ravel())
 
 
-def normal_form(text: str | None, prefix: bool) -> str:
-    return (MARK if prefix else "") + text.replace(" ", MARK) if text else ""
+def units_of(texts: pa.Array, model: Pieces) -> Words:
+    """Units of each text from the texts' own bytes, with blanks for word marks."""
+    if pc.any(pc.match_substring(texts, MARK)).as_py():
+        texts = pc.replace_substring(texts, MARK, " ")
+    data, at = text_bytes(texts)
+    if model.prefix:
+        full = at[:-1][at[1:] > at[:-1]]
+        data = np.insert(data, full, 32)
+        at = at + np.searchsorted(full, at, side="left")
+    first = np.zeros(len(data), bool)
+    first[1:] = model.cuts[data[:-1].astype(np.uint16) << 8 | data[1:]]
+    first[at[:-1][at[:-1] < len(data)]] = True
+    starts = np.flatnonzero(first)
+    units = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = units.dictionary_encode()
+    return Words(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary, np.searchsorted(starts, at))
+
+
+def marked(units: pa.Array) -> pa.Array:
+    """Units as they stand in the lattice: blanks as word marks."""
+    return pc.replace_substring(units.cast(pa.large_string()), " ", MARK)
 
 
 def count_units(docs: DataFrame, model: Pieces) -> DataFrame:
-    """(text) -> (unit, n), summed inside each task first."""
-    prefix = model.prefix
+    """(text) -> (unit, n), summed inside each block of texts first."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        held, size = [], 0
 
         def rows() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["unit", "n"])
-            counts.clear()
-            return batch
+            units = units_of(pa.chunked_array(held).combine_chunks(), model)
+            counts = np.bincount(units.codes, minlength=len(units.names))
+            return pa.RecordBatch.from_arrays([marked(units.names).cast(pa.string()), pa.array(counts, pa.int64())], names=["unit", "n"])
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                counts.update(UNIT.findall(normal_form(text, prefix)))
-                if len(counts) > FLUSH:
-                    yield rows()
-        yield rows()
+            held.append(batch.column("text"))
+            size += batch.nbytes
+            if size >= BLOCK:
+                yield rows()
+                held, size = [], 0
+                release()
+        if held:
+            yield rows()
+            release()
 
     return docs.select("text").mapInArrow(found, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
@@ -158,16 +185,16 @@ def best_way(found: Column) -> Column:
     )
 
     def step(s: Column, e: Column) -> Column:
-        moved = e["end"] != s["end"]
-        total = e["score"] + F.when(e["start"] == s["end"], s["score"]).otherwise(F.get(s["scores"], e["start"]))
-        better = moved | (total > s["score"])
-        return F.struct(
-            F.when(moved, F.array_append(s["scores"], s["score"])).otherwise(s["scores"]).alias("scores"),
-            F.when(moved, F.array_append(s["back"], s["edge"])).otherwise(s["back"]).alias("back"),
-            e["end"].alias("end"),
-            F.when(better, total).otherwise(s["score"]).alias("score"),
-            F.when(better, F.struct(e["start"].alias("start"), e["id"].alias("id"))).otherwise(s["edge"]).alias("edge"),
+        edge = F.struct(e["start"].alias("start"), e["id"].alias("id"))
+        total = (e["score"] + F.get(s["scores"], e["start"])).alias("score")
+        # the first edge to an end closes the end before it; most other edges do not win and leave the state as it is
+        closed = F.array_append(s["scores"], s["score"])
+        opened = F.struct(
+            closed.alias("scores"), F.array_append(s["back"], s["edge"]).alias("back"), e["end"].alias("end"),
+            (e["score"] + F.when(e["start"] == s["end"], s["score"]).otherwise(F.get(s["scores"], e["start"]))).alias("score"), edge.alias("edge"),
         )
+        better = F.struct(s["scores"].alias("scores"), s["back"].alias("back"), s["end"].alias("end"), total, edge.alias("edge"))
+        return F.when(e["end"] != s["end"], opened).when(e["score"] + F.get(s["scores"], e["start"]) > s["score"], better).otherwise(s)
 
     def trace(s: Column) -> Column:
         # from the last edge to the first
@@ -284,59 +311,63 @@ def dictionary(encoded: DataFrame, model: Pieces, entries: int = MAX_ENTRIES) ->
     return {"hashes": hashes[order], "starts": starts[order].astype(np.uint32), "sizes": sizes[order], "ids": ids}, least
 
 
+def _find(hashes: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each hash stands among the sorted ones, and whether it does; asked in order, which is kind to the caches."""
+    order = np.argsort(asked)
+    at = np.empty(len(asked), np.int64)
+    at[order] = np.minimum(np.searchsorted(hashes, asked[order]), max(len(hashes) - 1, 0))
+    return at, hashes[at] == asked if len(hashes) else np.zeros(len(asked), bool)
+
+
 def _gather(starts: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
     ends = np.cumsum(sizes)
     return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 def look_up(docs: DataFrame, arrays: dict[str, np.ndarray], model: Pieces, key: str) -> DataFrame:
-    """(key, text) -> (key, ids, missing, text): ids where all units are known, else the units that are not, and the text."""
+    """(key, text) -> (key, ids, decoded_crc32, missing, text): ids where all units are known, else the units that are not, and the text."""
     shared = docs.sparkSession.sparkContext.broadcast(arrays)
     prefix = model.prefix
+    spelt = pa.array(model.surface, pa.binary())
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         hashes, starts, sizes, ids = (table[k] for k in ("hashes", "starts", "sizes", "ids"))
         for batch in batches:
-            all_texts = batch.column("text").to_pylist()
-            for piece in slices(all_texts, 1 << 19):
-                texts = all_texts[piece]
-                units = [UNIT.findall(normal_form(t, prefix)) for t in texts]
-                per_text = np.array([len(u) for u in units], np.int64)
-                flat = [u for part in units for u in part]
-                back, names = pd.factorize(np.array(flat, dtype=object)) if flat else (np.empty(0, np.int64), [])
-                distinct = _hash(names)
-                at = np.minimum(np.searchsorted(hashes, distinct), max(len(hashes) - 1, 0))
-                known = hashes[at] == distinct if len(hashes) else np.zeros(len(distinct), bool)
-                at, known = at[back], known[back]
-                owner = np.repeat(np.arange(len(texts)), per_text)
-                holes = np.bincount(owner, ~known, len(texts)) > 0
+            lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+            for piece in slices(lengths):
+                n = piece.stop - piece.start
+                texts = batch.column("text").slice(piece.start, n)
+                units = units_of(texts, model)
+                per_text = np.diff(units.bounds)
+                at, known = _find(hashes, _hash(marked(units.names).to_pylist()))
+                at, known = at[units.codes], known[units.codes]
+                owner = units.rows
+                holes = np.bincount(owner, ~known, n) > 0
                 use = ~holes[owner]
-                n_ids = np.bincount(owner, np.where(use, sizes[at] if len(sizes) else 0, 0), len(texts)).astype(np.int64)
+                n_ids = np.bincount(owner, np.where(use, sizes[at] if len(sizes) else 0, 0), n).astype(np.int64)
                 chosen = at[use]
                 values = _gather(starts[chosen].astype(np.int64), sizes[chosen].astype(np.int64), ids).astype(np.int32)
-                offsets = np.concatenate(([0], np.cumsum(n_ids))).astype(np.int32)
-                bounds = np.cumsum(per_text) - per_text
-                missing = [
-                    sorted({u for u, k in zip(units[i], known[bounds[i] : bounds[i] + per_text[i]], strict=True) if not k}) if holes[i] else None
-                    for i in range(len(texts))
-                ]
+                found = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n_ids))), pa.int32()), pa.array(values))
+                crc = pa.array([zlib.crc32(b) for b in spell(found, spelt, prefix)], pa.int64(), mask=holes)
+                missing, again = [None] * n, [None] * n
+                for i in np.flatnonzero(holes).tolist():
+                    again[i] = texts[i].as_py()
+                    own = slice(units.bounds[i], units.bounds[i] + per_text[i])
+                    missing[i] = marked(units.names.take(pa.array(np.unique(units.codes[own][~known[own]])))).to_pylist()
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(key)[piece.start : piece.stop],
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
-                        pa.array(missing, pa.list_(pa.string())),
-                        pa.array([t if holes[i] else None for i, t in enumerate(texts)], pa.string()),
-                    ],
-                    names=[key, "ids", "missing", "text"],
+                    [batch.column(key).slice(piece.start, n), found, crc, pa.array(missing, pa.list_(pa.string())), pa.array(again, pa.string())],
+                    names=[key, "ids", "decoded_crc32", "missing", "text"],
                 )
+            release()
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInArrow(rows, f"{key} {kind}, ids array<int>, missing array<string>, text string")
+    return docs.select(key, "text").mapInArrow(rows, f"{key} {kind}, ids array<int>, decoded_crc32 long, missing array<string>, text string")
 
 
 def fill(partial: DataFrame, encoded: DataFrame, arrays: dict[str, np.ndarray], model: Pieces, key: str) -> DataFrame:
     """Documents with missing units: the units are joined by unit, sent back by document and put in their places."""
+    spelt = pa.array(model.surface, pa.binary())
     wanted = partial.select(key, F.explode("missing").alias("unit")).distinct()
     found = wanted.join(encoded.select("unit", "ids"), "unit").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("unit", "ids"))).alias("extra"))
     shared = partial.sparkSession.sparkContext.broadcast(arrays)
@@ -349,28 +380,33 @@ def fill(partial: DataFrame, encoded: DataFrame, arrays: dict[str, np.ndarray],
 
         def one(text: str, own: dict) -> np.ndarray:
             own = dict(own)
-            out = []
-            units = UNIT.findall(normal_form(text, prefix))
-            for unit, h in zip(units, _hash(units), strict=True):
-                if unit in own:
-                    out.append(np.asarray(own[unit], np.int32))
-                else:
-                    i = int(np.searchsorted(hashes, h))
-                    out.append(ids[int(starts[i]) : int(starts[i]) + int(sizes[i])].astype(np.int32))
-            return np.concatenate(out)
+            units = units_of(pa.array([text]), model)
+            names = marked(units.names).to_pylist()
+            at, _ = _find(hashes, _hash(names))
+            kinds = [
+                np.asarray(own[name], np.int32) if name in own else ids[int(starts[i]) : int(starts[i]) + int(sizes[i])].astype(np.int32)
+                for name, i in zip(names, at.tolist(), strict=True)
+            ]
+            return np.concatenate([kinds[c] for c in units.codes.tolist()])
 
         return pd.Series([one(t, e) for t, e in zip(texts, extra, strict=True)])
 
     # a null id joins itself: its documents share one map of units
     left = partial.select(key, "text")
     named = found.withColumnRenamed(key, "_key")
-    return left.join(named, left[key].eqNullSafe(named["_key"])).select(key, put("text", "extra").alias("ids"))
+    @F.arrow_udf("long")
+    def crc(ids: pa.Array) -> pa.Array:
+        return pa.array([zlib.crc32(b) for b in spell(ids, spelt, prefix)], pa.int64())
+
+    whole = left.join(named, left[key].eqNullSafe(named["_key"])).select(key, put("text", "extra").alias("ids"))
+    return whole.select(key, "ids", crc("ids").alias("decoded_crc32"))
 
 
 def encode(docs: DataFrame, path: str = MODEL, key: str = "doc_id", entries: int = MAX_ENTRIES) -> DataFrame:
-    """(key, text) -> (key, ids), one row per row.
+    """(key, text) -> (key, ids, decoded_crc32), one row per row.
 
-    Sets the session's limit for Arrow batches: texts and ids pass through two Python workers a task.
+    ``decoded_crc32`` is the checksum of the UTF-8 that the ids decode to, taken in the task that made them. Sets the
+    session's limit for Arrow batches: texts and ids pass through a Python worker.
     """
     model = load(path)
     small_batches(docs)
@@ -378,30 +414,29 @@ def encode(docs: DataFrame, path: str = MODEL, key: str = "doc_id", entries: int
     arrays, least = dictionary(encoded, model, entries)
     looked = look_up(docs, arrays, model, key)
     if least == 1:
-        return looked.select(key, "ids")
+        return looked.select(key, "ids", "decoded_crc32")
     looked = settle(looked)
     rest = looked.filter("missing is not null")
-    return looked.filter("missing is null").select(key, "ids").unionByName(
+    return looked.filter("missing is null").select(key, "ids", "decoded_crc32").unionByName(
         fill(rest, encoded.filter(F.col("n") < least), arrays, model, key)
     )
 
 
+def spell(ids: pa.Array, surface: pa.Array, prefix: bool) -> list[bytes]:
+    """UTF-8 of each array of ids; a null array gives an empty text."""
+    sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+    whole = pc.binary_join(pa.ListArray.from_arrays(offsets, surface.take(ids.flatten())), b"").to_pylist()
+    return [b.removeprefix(b" ") for b in whole] if prefix else whole
+
+
 def decode(ids: Column, path: str = MODEL) -> Column:
-    """Text of an array of ids; a null array gives an empty text."""
+    """Text of an array of ids; a null array gives an empty text. Ids that no text encodes to give replacement marks."""
     model = load(path)
     surface, prefix = model.surface, model.prefix
 
     @F.arrow_udf("string")
     def text(batch: pa.Array) -> pa.Array:
-        flat = batch.flatten()
-        sizes = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)
-        offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
-        spelt = pa.array(surface, pa.binary()).take(flat)
-        whole = pc.binary_join(pa.ListArray.from_arrays(offsets, spelt), b"")
-        try:
-            out = whole.cast(pa.string())
-        except pa.ArrowInvalid:  # ids that no text encodes to
-            out = pa.array([b.decode("utf-8", "replace") for b in whole.to_pylist()], pa.string())
-        return pc.if_else(pc.starts_with(out, " "), pc.utf8_slice_codeunits(out, 1), out) if prefix else out
+        return pa.array([b.decode("utf-8", "replace") for b in spell(batch, pa.array(surface, pa.binary()), prefix)], pa.string())
 
     return text(ids)

@@ -18,16 +18,17 @@ def as_bytes(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "replace")
 
 
-def slices(texts: Sequence[str | None], chars: int = 1 << 20) -> Iterator[slice]:
-    """Cut a batch into runs of rows of about ``chars`` characters, so that what is held at once is bounded."""
+def slices(texts: Sequence[str | None] | np.ndarray, chars: int = 1 << 20) -> Iterator[slice]:
+    """Cut a batch, given its texts or their lengths, into runs of rows of about ``chars`` characters, so that what is held at once is bounded."""
+    lengths = texts.tolist() if isinstance(texts, np.ndarray) else [len(t or "") for t in texts]
     start, held = 0, 0
-    for i, text in enumerate(texts):
-        held += len(text or "")
+    for i, length in enumerate(lengths):
+        held += length
         if held >= chars:
             yield slice(start, i + 1)
             start, held = i + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
+    if start < len(lengths):
+        yield slice(start, len(lengths))
 
 
 def word_hashes(words: Sequence[bytes]) -> np.ndarray:
