@@ -9,7 +9,8 @@ sorted; a level's histogram has at most 2^12 rows per source, whatever the numbe
 
 Defined cases: a null text has size 0 and is taken with 0 words; a null source is a source of its own, last in
 order; documents with equal id and text share a hash and are taken or left together; an empty table gives an empty
-result; a source of size 0 has target 0.
+result; a source of size 0 has target 0; very long texts are counted like others; ``keep`` may name any column of the
+input but those of the result.
 """
 
 from __future__ import annotations
@@ -126,27 +127,30 @@ def mix(
     ``copies`` is how often the mix repeats the document, ``taken`` the words that makes. Columns named in ``keep``
     come along.
     """
+    made = {"size", "source_size", "target", "copies", "taken", "_key", "_hash", "_whole", "_need", "_threshold"}
+    if made & set(keep) or len(set(keep)) < len(keep):
+        raise ValueError(f"columns of the result cannot be kept: {sorted(made & set(keep))}")
     rows = settle(
         docs.select(
             *keep,
             *[c for c in ("doc_id",) if c not in keep],
             n_words("text").alias("size"),
-            source_key(F.col("source")).alias("key"),
-            document_hash(F.col("doc_id"), F.col("text")).alias("hash"),
+            source_key(F.col("source")).alias("_key"),
+            document_hash(F.col("doc_id"), F.col("text")).alias("_hash"),
         )
     )
-    per_source = settle(rows.groupBy("key").agg(F.sum("size").alias("source_size")))
+    per_source = settle(rows.groupBy(F.col("_key").alias("key")).agg(F.sum("size").alias("source_size")))
     planned = targets(per_source, weights, budget, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     planned = settle(
         planned.withColumn("whole", whole.cast("long")).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
     )
-    cut = thresholds(rows.select("key", "size", "hash"), planned)
-    plan = settle(planned.join(cut, "key").select("key", "source_size", "target", "whole", "need", "threshold"))
-    extra = ((F.col("hash") <= F.col("threshold")) & (F.col("need") > 0)).cast("long")
+    cut = thresholds(rows.select(F.col("_key").alias("key"), "size", F.col("_hash").alias("hash")), planned)
+    plan = settle(planned.join(cut, "key").select(F.col("key").alias("_key"), "source_size", "target", *[F.col(c).alias(f"_{c}") for c in ("whole", "need", "threshold")]))
+    extra = ((F.col("_hash") <= F.col("_threshold")) & (F.col("_need") > 0)).cast("long")
     return (
-        rows.join(plan, "key")
-        .withColumn("copies", F.col("whole") + extra)
+        rows.join(plan, "_key")
+        .withColumn("copies", F.col("_whole") + extra)
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .drop("key", "hash", "whole", "need", "threshold")
+        .drop("_key", "_hash", "_whole", "_need", "_threshold")
     )

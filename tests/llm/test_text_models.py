@@ -79,14 +79,16 @@ def test_a_very_long_document_leaves_room_for_others(spark):
 
 
 def brute_model(texts: list[tuple[str, str]], order: int):
-    """Modified Kneser-Ney over characters of words, by dictionaries."""
+    """Modified Kneser-Ney over the bytes of words with one blank behind each, by dictionaries."""
     counts: list[collections.Counter] = [collections.Counter() for _ in range(order + 1)]
+
+    def line(text: str | None) -> bytes:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        return b"\x02" * (order - 1) + "".join(w + " " for w in words).encode() if words else b""
+
     for lang, text in texts:
-        for w in re.findall(r"[^\x20\x09-\x0D]+", text or ""):
-            w = "\x02" + w + "\x03"
-            for i in range(1, len(w)):
-                g = w[max(0, i - order + 1) : i + 1]
-                counts[len(g)][lang, g] += 1
+        s = line(text)
+        counts[order].update((lang, s[i - order + 1 : i + 1]) for i in range(order - 1, len(s)))
     for k in range(order - 1, 0, -1):
         for lang, g in counts[k + 1]:
             counts[k][lang, g[1:]] += 1
@@ -94,17 +96,16 @@ def brute_model(texts: list[tuple[str, str]], order: int):
     for k in range(1, order + 1):
         n = [sum(c == i for c in counts[k].values()) for i in range(5)]
         y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else 0.5
-        disc.append([0] + [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0), i) if n[i] else i / 2 for i in (1, 2, 3)])
-    vocabulary = len({g for _, g in counts[1]}) + 1
+        disc.append([0] + [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.05), i) if n[i] else i / 2 for i in (1, 2, 3)])
     totals: list = [collections.defaultdict(lambda: [0, 0.0]) for _ in range(order + 1)]
     for k in range(1, order + 1):
         for (lang, g), c in counts[k].items():
             totals[k][lang, g[:-1]][0] += c
             totals[k][lang, g[:-1]][1] += disc[k][min(c, 3)]
 
-    def p(lang: str, g: str) -> float:
+    def p(lang: str, g: bytes) -> float:
         if not g:
-            return 1 / vocabulary
+            return 1 / 257
         k = len(g)
         total, off = totals[k].get((lang, g[:-1]), (0, 0))
         if not total:
@@ -112,11 +113,12 @@ def brute_model(texts: list[tuple[str, str]], order: int):
         c = counts[k].get((lang, g), 0)
         return max(c - disc[k][min(c, 3)], 0) / total + off / total * p(lang, g[1:])
 
-    def word(lang: str, w: str) -> float:
-        w = "\x02" + w + "\x03"
-        return sum(math.log(p(lang, w[max(0, i - order + 1) : i + 1])) for i in range(1, len(w)))
+    def perplexity(lang: str, text: str | None) -> float | None:
+        s = line(text)
+        logs = [math.log(p(lang, s[i - order + 1 : i + 1])) for i in range(order - 1, len(s))]
+        return -sum(logs) / len(logs) if logs else None
 
-    return word
+    return perplexity
 
 
 def prose(seed: int, n: int) -> str:
@@ -124,16 +126,60 @@ def prose(seed: int, n: int) -> str:
     return " ".join("".join(rng.choice(["an", "the", "ti", "on", "er", "re"]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
 
 
-def test_language_model_by_dictionaries(spark):
-    texts = [("en", prose(1, 200)), ("en", prose(2, 80)), ("de", "über die schöne Straße " * 9), (None, "日本 語"), ("en", None)]
-    docs = spark.createDataFrame(texts, "lang string, text string")
-    model = ngram_rules.fit(docs)
+@pytest.mark.parametrize("entries", [ngram_rules.ENTRIES, 60, 0])
+def test_language_model_by_dictionaries(spark, entries):
+    texts = [("en", prose(1, 200)), ("en", prose(2, 80)), ("de", "über die  schöne\nStraße " * 9), (None, "日本 語"), ("en", None), ("", "a"), ("de", "x" * 3000)]
+    docs = spark.createDataFrame([(i % 3 if i else None, *t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")
+    model = ngram_rules.fit(docs.unionByName(docs.filter("lang = 'en'")).unionByName(docs.filter("lang is null")))
     want = brute_model([(lang or "", t) for lang, t in texts], ngram_rules.ORDER)
-    for lang, words in (("en", ["the", "anti", "zzz", "x", "erre"]), ("de", ["Straße", "the"]), ("", ["日本"]), ("fr", ["the"])):
-        p, n = model.score(lang, words)
-        assert p == pytest.approx([want(lang, w) for w in words]) and n.tolist() == [len(w) + 1 for w in words]
-    narrow = ngram_rules.fit(docs, bits=5)
-    assert all(len(keys) <= 32 for keys, _ in narrow.grams + narrow.contexts)
+    others = [("en", "the zebra"), ("de", "the anti"), ("fr", "le mot"), ("en", "\x00 é🙂"), ("", "本"), ("en", " ")]
+    more = spark.createDataFrame([(i, *t) for i, t in enumerate(others)], "doc_id long, lang string, text string")
+    for frame, rows in ((docs, texts), (more, others)):
+        got = ngram_rules.measure(frame, model, ["text"], entries).collect()
+        mine = sorted((r.lang, r.text or "", round(r.log_perplexity or 0, 5)) for r in got)
+        assert mine == [(a, b, pytest.approx(c, abs=2e-5)) for a, b, c in sorted((lang or "", t or "", want(lang or "", t) or 0) for lang, t in rows)]
+
+
+def chain(rng: random.Random, n: int, kinds: int = 60) -> list[str]:
+    """Words each of which has few successors."""
+    words = [f"{a}{b}{c}" for a in "bdgklmnprst" for b in "aeiou" for c in ("n", "rt", "l")][:kinds]
+    at, out = rng.randrange(kinds), []
+    for _ in range(n):
+        out.append(words[at])
+        at = (at * 7 + rng.choice([1, 5, 11])) % kinds
+    return out
+
+
+def test_bands_reject_on_both_sides(spark):
+    rng = random.Random(12)
+    clean = [" ".join(chain(rng, rng.randrange(80, 240))) for _ in range(500)]
+    shuffled = []
+    for _ in range(5):
+        words = chain(rng, 200)
+        rng.shuffle(words)
+        shuffled.append(" ".join(words))
+    foreign = [" ".join(rng.choice(["qux", "zyv", "wokh", "fjord"]) + rng.choice("aeiou") for _ in range(150)) for _ in range(3)]
+    poor = [" ".join(rng.choice(["ban", "bart"]) for _ in range(20)) + " " + " ".join(f"{'ban ' * k}bart" for k in range(1, 6)) for _ in range(3)]
+    texts = clean + shuffled + foreign + poor
+    got = ngram_rules.judge(spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")).collect()
+    kept = {r.doc_id: r.kept for r in got}
+    sound = [r for r in got if r.doc_id < 500 and not r.base_failed]
+    assert sum(r.kept for r in sound) >= 0.99 * len(sound) > 300
+    assert not any(kept[i] for i in range(505, 508)), "words the corpus does not use"
+    usual = sorted(r.log_perplexity for r in sound)[int(0.95 * len(sound))]
+    assert all(r.log_perplexity > usual for r in got if 500 <= r.doc_id < 505), "words out of order"
+    low = [r for r in got if r.doc_id >= 508 and not r.base_failed]
+    assert all(r.log_perplexity < min(g.log_perplexity for g in got if g.doc_id < 500) for r in low)
+
+
+def test_long_words_and_carried_names(spark):
+    import time
+
+    docs = spark.createDataFrame([(1, "en", "y" * 2_000_000), (2, "en", prose(1, 50))], "doc_id long, lang string, text string")
+    start = time.time()
+    assert ngram_rules.judge(docs).count() == 2 and time.time() - start < 60
+    with pytest.raises(ValueError):
+        ngram_rules.judge(docs.withColumn("kept", F.lit(1)), carry=["kept"])
 
 
 def brute_base(text: str | None) -> tuple:
@@ -302,3 +348,19 @@ def test_decoding_any_ids(spark):
     rows = [(0, None), (1, []), (2, [model.bytes_from + 0xFF, model.bytes_from + 0x41]), (3, model.ids[:3])]
     got = {r.i: r.t for r in spark.createDataFrame(rows, "i int, ids array<int>").select("i", lattice.decode(F.col("ids")).alias("t")).collect()}
     assert got[0] == got[1] == "" and got[2] == "�A" and got[3] == b"".join(model.surface[i] for i in model.ids[:3]).decode()[1:]
+
+
+def test_mix_keeps_columns_of_any_name_but_its_own(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", 7, 8), (2, "c", "t", 9, 10)], "doc_id long, text string, source string, key int, hash int")
+    got = {r.doc_id: (r.key, r.hash) for r in mixing.mix(docs, keep=["doc_id", "key", "hash"]).collect()}
+    assert got == {1: (7, 8), 2: (9, 10)}
+    with pytest.raises(ValueError):
+        mixing.mix(docs.withColumn("size", F.lit(1)), keep=["size"])
+
+
+def test_odds_of_lines():
+    weights = np.random.default_rng(3).standard_normal(line_crf.WIDTH)
+    for t in [*AWKWARD, "One line.\n\nAnd two!\nAnd two!\n$$$ | 12"]:
+        x, n = line_crf.line_features(t)
+        odds, m = line_crf.line_odds(t, weights)
+        assert odds == pytest.approx(x @ weights) and (n == m).all()
