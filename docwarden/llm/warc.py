@@ -15,7 +15,9 @@ and holds none; digest and length of the payload are in the headers of both.
 
 Defined cases: null text is an empty payload; a null url is a record without target; line breaks in header values are
 percent-coded; rows that repeat the smallest id of their payload are all responses; an empty table is an archive
-without records; a null id is a record id without a number.
+without records; a null id is a record id without a number; very long payloads are held whole by one task at a time. A file
+that ends inside a record, and one that holds something else than records, gives the records before that place, then
+one row with the headers it has, no payload, and the reason in ``damage``.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from __future__ import annotations
 import gzip
 import io
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,6 +54,8 @@ from pyspark.sql.datasource import (
 from docwarden.session import settle
 
 RECORD = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_length long, payload binary"
+#: What a record is read as: ``damage`` says why it, and with it the rest of its file, could not be read.
+READ = RECORD + ", damage string"
 HEADERS = {
     "record_id": "WARC-Record-ID",
     "record_type": "WARC-Type",
@@ -184,15 +189,24 @@ class _Reader(DataSourceReader):
             with fs.open_input_file(f"{folder}/{name}") as raw:
                 packed = name.endswith(".gz")
                 source = gzip.GzipFile(fileobj=raw) if packed else io.BufferedReader(raw, 1 << 18)
-                yield from self._records(source, packed)
-
-    def _records(self, source, packed: bool) -> Iterator[tuple]:
-        def skip(n: int) -> None:
-            if packed:
-                while n > 0:
-                    n -= len(source.read(min(n, 1 << 20))) or n
-            else:
+                try:
+                    yield from self._records(source, None if packed else raw.size())
+                except (EOFError, zlib.error, gzip.BadGzipFile) as broken:
+                    yield (*[None] * (len(HEADERS) + 1), f"{name}: {type(broken).__name__}")
+
+    def _records(self, source, size: int | None) -> Iterator[tuple]:
+        """Records of a plain file of ``size`` bytes, or of an inflated one."""
+
+        def skip(n: int) -> int:
+            """Pass over ``n`` bytes; how many of them there were."""
+            if size is not None:
+                at = source.tell()
                 source.seek(n, io.SEEK_CUR)
+                return min(n, size - at)
+            left = n
+            while left > 0 and (some := len(source.read(min(left, 1 << 20)))):
+                left -= some
+            return n - left
 
         while True:
             line = source.readline()
@@ -200,27 +214,36 @@ class _Reader(DataSourceReader):
                 return
             if not line.startswith(b"WARC/"):
                 if line.strip():
-                    raise ValueError(f"not a WARC record: {line[:60]!r}")
+                    yield (*[None] * (len(HEADERS) + 1), f"not a record: {line[:60]!r}")
+                    return
                 continue
             head: dict[str, str] = {}
             while (line := source.readline()).strip():
                 name, _, value = line.decode("utf-8", "replace").partition(":")
                 head[name.strip().lower()] = value.strip()
-            length = int(head.get("content-length", 0))
             row = {field: head.get(name.lower()) for field, name in HEADERS.items()}
             if row["payload_length"] is not None:
-                row["payload_length"] = int(row["payload_length"])
-            if not all(test(row[field]) for field, test in self.tests):
-                skip(length + 4)
-                continue
+                row["payload_length"] = int(row["payload_length"]) if row["payload_length"].isdigit() else None
+            wanted = all(test(row[field]) for field, test in self.tests)
+            if not head.get("content-length", "").isdigit():
+                if wanted:
+                    yield (*row.values(), None, f"no length of a record: {head.get('content-length')!r}")
+                return
+            length = int(head["content-length"])
             payload = None
-            if self.payload and row["record_type"] == "response":
+            if wanted and self.payload and row["record_type"] == "response":
                 block = source.read(length)
+                there = len(block)
                 payload = block.partition(b"\r\n\r\n")[2] if "http" in head.get("content-type", "") else block
-                skip(4)
             else:
-                skip(length + 4)
-            yield (*row.values(), payload)
+                there = skip(length)
+            if there < length:
+                if wanted:
+                    yield (*row.values(), None, f"a record of {length} bytes ends after {there}")
+                return
+            skip(4)
+            if wanted:
+                yield (*row.values(), payload, None)
 
 
 class WarcSource(DataSource):
@@ -231,7 +254,7 @@ class WarcSource(DataSource):
         return "warc"
 
     def schema(self) -> str:
-        return RECORD
+        return READ
 
     def writer(self, schema, overwrite: bool) -> _Writer:
         if overwrite:

@@ -168,3 +168,23 @@ def test_warc_reader_takes_filters():
 def test_warc_empty(spark, tmp_path):
     warc.write_archive(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "w"))
     assert warc.read_archive(spark, str(tmp_path / "w")).count() == 0
+
+
+def test_warc_damage_is_told(spark, tmp_path):
+    pages = [(i, f"http://h{i}.example/", f"page {i} " * 60) for i in range(4)]
+    warc.write_archive(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    (file,) = (tmp_path / "w").glob("*.warc")
+    whole = file.read_bytes()
+
+    def read(data: bytes, payload: bool = True) -> list:
+        file.write_bytes(data)
+        return warc.read_archive(spark, str(tmp_path / "w"), payload).collect()
+
+    assert all(r.damage is None for r in read(whole))
+    for payload in (True, False):
+        got = read(whole[:-300], payload)
+        assert len(got) == 4 and [r.damage is None for r in got] == [True] * 3 + [False] and got[3].payload is None and "ends after" in got[3].damage
+    got = read(whole.replace(b"Content-Length: 5", b"Content-Length: x5", 2).replace(b"WARC/1.1", b"WARC/1.0"))
+    assert got[-1].damage.startswith("no length") and len(got) == 1
+    got = read(whole + b"something else\r\n")
+    assert len(got) == 5 and got[4].damage.startswith("not a record") and got[4].record_id is None
