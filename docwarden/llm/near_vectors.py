@@ -262,8 +262,8 @@ def find_links(
     links = spark.createDataFrame([], "u long, v long")
     left = classes.select("id", "embedding").withColumn("miss", F.lit(0.0))
     turn, n = 0, left.count()
-    # a round compares a row with 2 * n_passes * window others, the direct way with all n
-    while n > 2 * n_passes * window * (turn + 1):
+    # a round compares a row with 2 * n_passes * window others, the direct way with all n; one round there is always
+    while n > 1 and (turn == 0 or n > 2 * n_passes * window * (turn + 1)):
         keyed = passes(left, n_passes, seed + turn)
         found = settle(windows(keyed.repartitionByRange(ranges, *order).sortWithinPartitions(*order), window, threshold))
         links = links.unionByName(found.filter("u is not null").select("u", "v")).unionByName(settle(across(found, window, threshold)))

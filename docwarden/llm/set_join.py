@@ -4,9 +4,10 @@
    with the smallest id stands for all, so copies never meet.
 2. Shingles are put in one global order, rare ones first by a table of counts over hash buckets (``SKETCH_BITS``, a
    fixed size), then by hash. Two sets that link share a shingle of their prefixes, and the smaller one has it in the
-   shorter index prefix. Index lists hold (shingle, block, size, position, id); a list is cut into blocks of sets
-   whose sizes may link at all, and blocks without a posting in an index prefix are skipped, as are postings behind
-   the position that their size allows.
+   shorter index prefix. Shingles of a single prefix are counted out first. Index lists hold (shingle, block, size,
+   position, id); a list is cut into blocks of sets whose sizes may link at all, and blocks without a posting in an index
+   prefix are skipped, as are postings behind the position that their size allows. What a block says of its postings is
+   one row, joined back to them, so that a frequent shingle is never sorted or held as a whole.
 3. A block's first set by id leads it. Sets that a leader leads in any block are compared with each other in the
    leader's group, first by histograms: a set's shingles are counted in about n / 8 parts of the hash space, and two
    sets differ in at least as many shingles as their counts do in sum. Sets without a partner that this bound allows
@@ -21,7 +22,9 @@ Every pair of linked sets meets in at least one group, so none is lost: their fi
 prefixes and in the smaller one's index prefix, they are in one block of its list, and so in that block's group.
 
 Defined cases: null and blank texts have the empty set and are alone; fewer than k words are one shingle; repeated
-ids are one document each by text, joined as one node; an empty table gives an empty result.
+ids are one document each by text, joined as one node (``firsts_of_groups`` tells them apart); a null id has a row, and
+its copies are told by their text; very long texts are held whole by one task at a time; an empty table gives an empty
+result; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -33,10 +36,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docwarden.llm.common import small_batches
+from docwarden.llm.common import in_order, release, small_batches
 from docwarden.llm.components import components
 from docwarden.llm.shingles import shingle_set
 from docwarden.session import settle
@@ -63,6 +66,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
                 names=["doc_id", "n", "sign", "slice", "counts"],
             )
+            release()
         used = [i for i in range(0, len(counts), width) if counts[i : i + width].any()]
         yield pa.RecordBatch.from_arrays(
             [
@@ -148,6 +152,7 @@ def prefixes(docs: DataFrame, k: int, t: Fraction, counts: np.ndarray) -> DataFr
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(parts, pa.binary())],
                 names=["doc_id", "n", "prefix", "parts"],
             )
+            release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n long, prefix array<long>, parts binary")
 
@@ -160,25 +165,25 @@ def groups(firsts: DataFrame, t: Fraction) -> DataFrame:
     # (a hair wider, so that rounding of logarithms cannot part a pair)
     block = F.floor(F.log(n) / (float(np.log(den / num)) * 1.000001)).cast("int")
     short = n - F.ceil(2 * num * n / (num + den)) + 1
-    postings = (
-        firsts.select("id", "n", F.posexplode("prefix").alias("pos", "shingle"))
+    postings = firsts.select("id", "n", F.posexplode("prefix").alias("pos", "shingle"))
+    # most shingles are in one set only: they are told by a count, combined before the exchange, and never moved again
+    shared = settle(postings.groupBy("shingle").agg(F.count("*").alias("sets")).filter("sets > 1").select("shingle"))
+    met = (
+        settle(postings.join(shared, "shingle", "left_semi"))
         .withColumn("short", pos < short)
         .withColumn("block", F.explode(F.array(block - 1, block)))
     )
-    in_block = Window.partitionBy("shingle", "block")
-    led = (
-        postings.withColumns(
-            {
-                "members": F.count("*").over(in_block),
-                "lead": F.min("id").over(in_block),
-                "shorts": F.sum(F.col("short").cast("int")).over(in_block),
-                "least": F.min(F.when(F.col("short"), n)).over(in_block),
-            }
+    lists = settle(
+        met.groupBy("shingle", "block")
+        .agg(
+            F.min("id").alias("lead"), F.count("*").alias("members"), F.sum(F.col("short").cast("int")).alias("shorts"),
+            F.min(F.when(F.col("short"), n)).alias("least"),
         )
         .filter("members > 1 and shorts > 0")
-        # behind its index prefix a set can only be the larger of a pair
-        .filter(F.col("short") | (F.col("least") < n))
+        .drop("members", "shorts")
     )
+    # behind its index prefix a set can only be the larger of a pair; a list is one row here, so a long one can be split
+    led = met.join(lists, ["shingle", "block"]).filter(F.col("short") | (F.col("least") < n))
     return led.select("lead", "id").distinct()
 
 
@@ -309,3 +314,41 @@ def join_sets(docs: DataFrame, k: int = 3, threshold: tuple[int, int] = (9, 10),
         .join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_component", "component_id", "doc_id").alias("component_id"))
     )
+
+
+def nodes(docs: DataFrame) -> DataFrame:
+    """Add ``_node``: the id, or, where rows with one id hold different texts, a number of its own for each further text.
+
+    These numbers are above all ids, by id and digest of the text, so they do not depend on the run. Rows without an id have none.
+    """
+    repeated = settle(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    own = docs.withColumn("_node", F.col("doc_id").cast("long"))
+    if repeated.isEmpty():
+        return own
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    texts = settle(docs.select("doc_id", digest.alias("digest")).join(repeated, "doc_id", "left_semi").distinct())
+    least = texts.groupBy("doc_id").agg(F.min("digest").alias("first"))
+    further = texts.join(least, "doc_id").filter("digest <> first").select("doc_id", "digest")
+    numbered, _ = in_order(further, ["doc_id", "digest"], "place")
+    top = docs.agg(F.max("doc_id")).first()[0]
+    numbered = settle(numbered.select("doc_id", "digest", (F.col("place") + top + 1).alias("other")))
+    numbered = numbered.withColumnsRenamed({"digest": "_digest", "other": "_other"})
+    named = own.withColumn("_digest", digest).join(numbered, ["doc_id", "_digest"], "left")
+    return settle(named.withColumn("_node", F.coalesce("_other", "_node")).drop("_digest", "_other"))
+
+
+def firsts_of_groups(docs: DataFrame, k: int, threshold: tuple[int, int], piece: int = PIECE) -> DataFrame:
+    """Rows of ``docs`` without near-copies: of each group of linked texts the row with the smallest id, once.
+
+    Rows with one id and different texts are documents of their own: the text with the least digest stands for the
+    id, the others come behind all ids. Rows without an id cannot be named and stay.
+    """
+    known = nodes(docs.filter("doc_id is not null"))
+    joined = settle(join_sets(known.select(F.col("_node").alias("doc_id"), "text"), k, threshold, piece).withColumnRenamed("doc_id", "_node"))
+    # what goes is named, not what stays: texts are moved only where these names are too many to send to all tasks
+    first = known.join(settle(joined.filter("_node <> component_id").select("_node").distinct()), "_node", "left_anti")
+    equal = settle(joined.filter("_node = component_id").groupBy("_node").agg(F.count("*").alias("n")).filter("n > 1").select("_node"))
+    if not equal.isEmpty():
+        once = first.join(equal, "_node", "left_semi").dropDuplicates(["_node"])
+        first = first.join(equal, "_node", "left_anti").unionByName(once)
+    return first.drop("_node").unionByName(docs.filter("doc_id is null"))

@@ -171,3 +171,19 @@ def test_windows():
     starts = [i for i in range(6) if [tuple(words[j : j + 3]) for j in range(6)].count(tuple(words[i : i + 3])) > 1]
     assert in_repeated_windows(hashes, 3).tolist() == [any(s <= i < s + 3 for s in starts) for i in range(8)]
     assert len(shingle_set("a b c a b c a b", 3)) == 3 and len(shingle_set("a b", 3)) == 1 and len(shingle_set(None, 3)) == 0
+
+
+def test_firsts_of_groups_with_repeated_ids(spark):
+    a, b, c = "a b c d e f g h i j k l", "p q r s t u v", "x y z x y z w"
+    rows = [(1, a), (1, b), (1, a), (1, b), (2, a.upper() + " m"), (3, c), (4, c), (5, None), (5, None), (6, ""), (None, a), (None, a), (7, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit("x")).repartition(4)
+    got = set_join.firsts_of_groups(docs, 5, (4, 5))
+    assert got.columns == docs.columns
+    kept = sorted(((r.doc_id or 0, r.text or "") for r in got.collect()), key=str)
+    assert [r for r in kept if r[1] == b] == [(1, b)] and [r for r in kept if r[0] == 0] == [(0, a)] * 2
+    # one of the two near-copies stays, and one of the equal texts, the one with the smaller id
+    assert sum(t.lower().startswith(a) for i, t in kept if i) == 1 and [r for r in kept if r[1] == c] == [(3, c)]
+    assert [i for i, t in kept if not t] == [5, 6] and (7, "short") in kept
+    plain = docs.dropDuplicates(["doc_id"]).filter("doc_id is not null")
+    assert set_join.firsts_of_groups(plain, 5, (4, 5)).count() <= plain.count()
+    assert set_join.firsts_of_groups(docs.limit(0), 5, (4, 5)).count() == 0
