@@ -20,19 +20,39 @@ from __future__ import annotations
 
 from itertools import permutations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from docwarden.llm.term_matrix import BLOCK, row_totals, term_matrix
+from docwarden.llm.term_matrix import BLOCK, term_matrix
+from docwarden.llm.word_arrays import text_bytes
+from docwarden.session import settle
 
 FILTERS = "ABCDE"
-LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS, SYMBOLS = 200, 50, 2, "[#$%&*|]"
+LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS, SYMBOLS = 200, 50, 2, b"#$%&*|"
+_UPPER, _SYMBOL = np.zeros(256, bool), np.zeros(256, bool)
+_UPPER[65:91] = True
+_SYMBOL[list(SYMBOLS)] = True
+#: Bytes that begin a character of UTF-8.
+_FIRST_BYTE = (np.arange(256) & 0xC0) != 0x80
 
 
 def bit(letter: str) -> int:
     return 1 << FILTERS.index(letter)
 
 
+MEASURED = StructType([StructField("capitals", BooleanType()), StructField("symbols", BooleanType())])
+
+
+def measure(texts: pa.Array) -> dict[str, pa.Array]:
+    """Filters C and D, from the bytes of the texts."""
+    data, at = text_bytes(texts)
+    upper, points, marks = (np.concatenate(([0], np.cumsum(kind[data], dtype=np.int32)))[at] for kind in (_UPPER, _FIRST_BYTE, _SYMBOL))
+    return {"capitals": pa.array(100 * np.diff(upper).astype(np.int64) > MOST_CAPITALS * np.diff(points).astype(np.int64)), "symbols": pa.array(np.diff(marks) > 0)}
+
+
 def failures(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(doc_id, text, source) -> (doc_id, part, digest, fails): the set of filters A to D that each document fails."""
     text = F.coalesce("text", F.lit(""))
@@ -41,14 +61,12 @@ def failures(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce("source", F.lit("")).alias("part"),
         F.unhex(F.sha2(text, 256)).alias("digest"),
-        (100 * F.regexp_count(text, F.lit("[A-Z]")) > MOST_CAPITALS * F.length(text)).alias("capitals"),
-        text.rlike(SYMBOLS).alias("symbols"),
     )
-    matrix, _ = term_matrix(facts, ["doc_id", "part", "digest", "capitals", "symbols"], block)
+    matrix = term_matrix(facts, ["doc_id", "part", "digest"], block, measure, MEASURED)
     n = F.col("n_words")
     failed = {"A": n < LEAST_WORDS, "B": 100 * F.col("n_distinct") < LEAST_DISTINCT * n, "C": F.col("capitals"), "D": F.col("symbols")}
     fails = sum((F.when(condition, bit(letter)).otherwise(0) for letter, condition in failed.items()), F.lit(0))
-    return row_totals(matrix).select("doc_id", "part", "digest", fails.alias("fails"))
+    return matrix.totals().select("doc_id", "part", "digest", fails.alias("fails"))
 
 
 def counts(failed: DataFrame, labels: DataFrame) -> DataFrame:
@@ -59,10 +77,12 @@ def counts(failed: DataFrame, labels: DataFrame) -> DataFrame:
     known = failed.join(marks, "doc_id", "left").fillna(False, ["good", "toxic"])
     kinds = ["digest", "part", "fails", "good", "toxic"]
     by_id = known.groupBy(*kinds, "doc_id").agg(F.count("*").alias("n"))
-    by_text = by_id.groupBy(*kinds).agg(
-        F.sum("n").alias("n"),
-        F.sum(F.when(F.col("doc_id").isNull(), F.col("n")).otherwise(0)).alias("no_id"),
-        F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "n"))).alias("first"),
+    by_text = settle(
+        by_id.groupBy(*kinds).agg(
+            F.sum("n").alias("n"),
+            F.sum(F.when(F.col("doc_id").isNull(), F.col("n")).otherwise(0)).alias("no_id"),
+            F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "n"))).alias("first"),
+        )
     )
     # a text has at most four rows a part here
     least = by_text.groupBy("digest").agg(F.min("first.doc_id").alias("least"))

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docwarden.llm.common import small_batches
+from docwarden.llm.common import release, small_batches
 from docwarden.llm.word_arrays import Words, split_words
 
 TIMES, LEAST = 4, 6
@@ -186,6 +186,7 @@ def word_runs(docs: DataFrame, key: str = "doc_id", times: int = TIMES, least: i
                 ],
                 names=[key, "n_words", "runs", "collapsed"],
             )
+            release()
 
     name = f"`{key}` {docs.schema[key].dataType.simpleString()}"
     return docs.select(key, "text").mapInArrow(rows, f"{name}, n_words long, runs array<struct<start:long,length:long,period:long>>, collapsed string")
