@@ -23,3 +23,9 @@ def attach_by_key(left: DataFrame, right: DataFrame, keys: Sequence[str], weight
     on = list(keys)
     cold = left.join(F.broadcast(hot.select(*on)), on, "left_anti")
     return left.join(F.broadcast(hot), on).unionByName(cold.join(rest, on))
+
+
+def left_join_known(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """Left join in which rows without a key stay where they are, instead of meeting in one task to find nothing."""
+    known = df.filter(F.col(key).isNotNull()).join(other, key, "left")
+    return known.unionByName(df.filter(F.col(key).isNull()), allowMissingColumns=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docwarden.functions.skew import attach_by_key
+from docwarden.functions.skew import attach_by_key, left_join_known
 from docwarden.operators.ledger import limit_of
 
 
@@ -38,8 +38,7 @@ def resolve_users(requests: DataFrame, users: DataFrame) -> DataFrame:
     by_email = users.groupBy(email_key(F.col("email")).alias("_key")).agg(F.min("user_id").alias("_e"))
     keyed = requests.withColumn("_key", email_key(F.col("email")))
     return (
-        keyed.join(by_billing, "billing_id", "left")
-        .join(by_email, "_key", "left")
+        left_join_known(left_join_known(keyed, by_billing, "billing_id"), by_email.filter("_key is not null"), "_key")
         .withColumns({"user_id": F.coalesce("_b", "_e"), "matched_by": F.when(F.col("_b").isNotNull(), "billing_id").when(F.col("_e").isNotNull(), "email")})
         .drop("_b", "_e", "_key")
     )

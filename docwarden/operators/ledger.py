@@ -9,6 +9,9 @@ from docwarden.functions import fixed, text
 from docwarden.functions.ordered import quantile_slices, running_number, top_per_key
 from docwarden.operators.ensemble import normalise_verdict
 
+#: Ranges of time that a page is looked up by.
+RANGES = 128
+
 
 def ledger(scans: DataFrame) -> DataFrame:
     """Scan rows with one spelling of the verdict."""
@@ -173,10 +176,34 @@ def trend(scans: DataFrame, shown: int = 20) -> DataFrame:
 
 
 def page(scans: DataFrame, limit: int = 10, offset: int = 0) -> DataFrame:
-    """One page, newest first. Every task keeps only ``offset + limit`` rows."""
+    """One page, newest first, at any depth.
+
+    Times are cut into ranges and the rows of each are counted: as many numbers as there are ranges reach the driver. Only the
+    ranges that the page lies in are read again and numbered, so what is moved does not grow with the offset.
+    Rows without a time come last.
+    """
     if not 1 <= limit <= 100 or offset < 0:
         raise ValueError("limit must be 1..100, offset not negative")
-    return scans.orderBy(F.desc("created_at"), "scan_id").offset(offset).limit(limit)
+    timed = scans.withColumn("_at", F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(-(1 << 62))))
+    bounds = sorted({int(b) for b in timed.approxQuantile("_at", [i / RANGES for i in range(1, RANGES)], 1 / (4 * RANGES))}, reverse=True)
+    # the newest range first; a range ends before its bound
+    ranges = F.lit(len(bounds))
+    for i, bound in reversed(list(enumerate(bounds))):
+        ranges = F.when(F.col("_at") >= bound, i).otherwise(ranges)
+    sizes = dict(timed.groupBy(ranges.alias("r")).count().collect())
+    before, taken = 0, {}
+    for r in sorted(sizes):
+        if before < offset + limit and before + sizes[r] > offset:
+            taken[r] = before
+        before += sizes[r]
+    if not taken:
+        return scans.limit(0)
+    low, high = (bounds[max(taken)] if max(taken) < len(bounds) else None), (bounds[min(taken) - 1] if min(taken) else None)
+    near = timed.filter(F.lit(True) if low is None else F.col("_at") >= low).filter(F.lit(True) if high is None else F.col("_at") < high)
+    start = F.create_map(*[F.lit(x) for pair in taken.items() for x in pair])
+    inside = Window.partitionBy("_range").orderBy(F.desc("_at"), "scan_id")
+    numbered = near.withColumn("_range", ranges).withColumn("_no", F.row_number().over(inside) + F.try_element_at(start, F.col("_range")))
+    return numbered.filter((F.col("_no") > offset) & (F.col("_no") <= offset + limit)).drop("_at", "_range", "_no")
 
 
 def verdict_rollup(scans: DataFrame) -> DataFrame:

@@ -129,7 +129,8 @@ def scan(df: DataFrame, model: DataFrame | None = None, with_archives: bool = Fa
     """Verdict, risk, findings and recommendations of every file.
 
     ``model`` may bring (file_id, model_prob); without it the model is silent. ``with_archives`` opens the
-    office archives; without it their rules stay silent.
+    office archives; without it their rules stay silent. A file whose content is missing keeps its row: ``ok`` is false and
+    ``error`` says why.
     """
     if with_archives:
         office = F.when(F.col("ext").isin(*fixed.OFFICE_RULE_EXTS), F.col("content"))
@@ -143,7 +144,7 @@ def scan(df: DataFrame, model: DataFrame | None = None, with_archives: bool = Fa
     elif "model_prob" not in found.columns:
         found = found.withColumn("model_prob", F.lit(0.0))
     decided = found.withColumns(verdict_columns(F.col("findings"), F.col("rule_score"), F.col("model_prob")))
-    return decided.withColumn("recommendations", recommendations(F.col("verdict"), F.col("findings")))
+    return isolate_failures(decided.withColumn("recommendations", recommendations(F.col("verdict"), F.col("findings"))))
 
 
 def isolate_failures(df: DataFrame) -> DataFrame:

@@ -128,6 +128,17 @@ def scans_page(spark: SparkSession, folder: str) -> DataFrame:
     return ledger.page(s, limit=100, offset=20)
 
 
+@query(
+    "scans_deep_page",
+    f"""WITH {sql.SCANS}, n AS (SELECT *, row_number() OVER (ORDER BY created_at DESC, scan_id) AS no FROM scans)
+SELECT scan_id, user_id, created_at, risk_score FROM n, (SELECT count(*) * 3 // 4 AS skipped FROM scans) WHERE no > skipped AND no <= skipped + 100""",
+)
+def scans_deep_page(spark: SparkSession, folder: str) -> DataFrame:
+    """A page behind three quarters of all scans."""
+    s = tables.scans(spark, folder).select("scan_id", "user_id", "created_at", "risk_score")
+    return ledger.page(s, limit=100, offset=s.count() * 3 // 4)
+
+
 @query(
     "risk_trend20",
     f"""WITH {_RANKED}, t AS (SELECT * FROM ranked WHERE rank <= 20)
