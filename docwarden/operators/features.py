@@ -242,27 +242,43 @@ def office_text(members: DataFrame) -> DataFrame:
     )
 
 
+def head_kind(head: Column) -> Column:
+    """Type that the first bytes tell, null for archives and everything else."""
+    raw = text.latin1(head)
+    return (
+        F.when(F.startswith(raw, F.lit("%PDF")), ".pdf")
+        .when(raw.rlike(r"\A[ \t\n\r\x0b\f]*\{\\rtf"), ".rtf")
+        .when(is_ole(head), ".xls")
+    )
+
+
+def members_kind(names: Column) -> Column:
+    """Type that the names of an archive's members tell."""
+
+    def folder(name: str) -> Column:
+        return F.exists(names, lambda n: F.startswith(n, F.lit(name)))
+
+    return F.when(
+        F.array_contains(names, "[Content_Types].xml"),
+        F.when(folder("word/"), ".docx").when(folder("xl/"), ".xlsx").when(folder("ppt/"), ".pptx").otherwise(".docx"),
+    )
+
+
 def sniff_ext(df: DataFrame) -> DataFrame:
     """Type from the first bytes for files that have no suffix; archives are told apart by their folders."""
     content = F.col("content")
-    head = text.latin1(content)
-    kind = (
-        F.when(F.startswith(head, F.lit("%PDF")), ".pdf")
-        .when(head.rlike(r"\A[ \t\n\r\x0b\f]*\{\\rtf"), ".rtf")
-        .when(is_ole(content), ".xls")
-    )
+    kind = head_kind(content)
     # other contents are not shipped to Python; the directory is the only part of an archive that is read
     names = archives.member_names(F.when(kind.isNull() & F.startswith(content, F.lit(b"PK").cast("binary")), content))
     seen = once(df.select("file_id", "content"), {"kind": kind, "names": names})
+    return seen.select("file_id", F.coalesce("kind", members_kind(F.col("names"))).alias("sniffed_ext"))
 
-    def folder(name: str) -> Column:
-        return F.exists("names", lambda n: F.startswith(n, F.lit(name)))
 
-    zipped = F.when(
-        F.array_contains("names", "[Content_Types].xml"),
-        F.when(folder("word/"), ".docx").when(folder("xl/"), ".xlsx").when(folder("ppt/"), ".pptx").otherwise(".docx"),
-    )
-    return seen.select("file_id", F.coalesce("kind", zipped).alias("sniffed_ext"))
+def file_facts(files: DataFrame) -> DataFrame:
+    """Files read by heads and directories -> + sniffed_ext, has_vba_project, embedded_ole_count; no content is read."""
+    kind = F.coalesce(head_kind(F.col("head")), members_kind(F.col("members")))
+    office = F.when(F.col("ext").isin(*fixed.OFFICE_RULE_EXTS), F.col("members"))
+    return files.withColumns({"sniffed_ext": kind, **archive_facts(office)})
 
 
 def byte_histogram(df: DataFrame) -> DataFrame:

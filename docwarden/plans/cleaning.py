@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docwarden.functions import text
-from docwarden.operators import pdf_clean
+from docwarden.operators import features, pdf_clean
 from docwarden.plans import sql
+from docwarden.plans.files import IS_RTF, OOXML
 from docwarden.plans.registry import query
-from docwarden.session import once
-from docwarden.sources import corpus
+from docwarden.session import once, shared_folder
+from docwarden.sources import corpus, heads
 
 #: What each plant of the corpus must lose and keep: labels, the five counters, numbers of the objects that stay.
 EXPECTED = (
@@ -76,3 +79,31 @@ def pdf_offsets(spark: SparkSession, folder: str) -> DataFrame:
         whole = done.select("file_id", kept.alias("original_kept"))
         out.append(entries.join(whole, "file_id").withColumn("kind", F.lit(kind)))
     return out[0].unionByName(out[1]).select("file_id", "kind", "obj_no", "found_no", "original_kept")
+
+
+@query(
+    "file_heads",
+    f"""WITH {sql.CORPUS}, {OOXML}, v AS (
+  SELECT file_id, max(CASE WHEN contains(member, 'vbaProject.bin') THEN 1.0 ELSE 0.0 END)::DOUBLE AS has_vba_project,
+    count(*) FILTER (contains(member, '/embeddings/') OR contains(member, 'oleObject'))::DOUBLE AS embedded_ole_count FROM members GROUP BY file_id)
+SELECT 'text' AS kind, file_id, ext, CASE WHEN starts_with(text, '%PDF') THEN '.pdf' WHEN {IS_RTF} THEN '.rtf' END AS sniffed_ext,
+  0.0::DOUBLE AS has_vba_project, 0.0::DOUBLE AS embedded_ole_count, least(strlen(text), 1024)::BIGINT AS head_bytes FROM corpus
+UNION ALL SELECT 'packed', doc_id, {sql.pick(corpus.OOXML_EXTS, 'doc_id')}, CASE WHEN doc_id % 50 <> 49 THEN {sql.pick(corpus.OOXML_EXTS, 'doc_id')} END,
+  coalesce(has_vba_project, 0), coalesce(embedded_ole_count, 0), NULL FROM documents LEFT JOIN v ON file_id = doc_id
+UNION ALL SELECT 'ole', doc_id, '.xls', '.xls', 0.0, 0.0, least(strlen(text || CASE WHEN doc_id % 3 = 0 THEN ' VBA Attribute VB_Name VBA' ELSE '' END) + 8, 1024)
+  FROM documents WHERE doc_id % 2 = 0""",
+)
+def file_heads(spark: SparkSession, folder: str) -> DataFrame:
+    """Files on disk by type, macros and embedded objects, from their heads and directories; ``head_bytes`` is what was read of the others."""
+    root = f"{shared_folder(spark)}/files/{uuid.uuid4().hex}"
+    named = lambda df, kind: df.select(F.concat(F.lit(f"{kind}/"), F.col("file_id").cast("string"), F.col("ext")).alias("path"), "content")
+    text_files, packed = named(corpus.text_corpus(spark, folder), "text"), named(corpus.ooxml_corpus(spark, folder), "packed")
+    # spreadsheets without the compound-file header are in another query
+    ole = named(corpus.ole_corpus(spark, folder).filter(features.is_ole(F.col("content"))), "ole")
+    heads.write_files(text_files.unionByName(packed).unionByName(ole), root)
+    seen = features.file_facts(heads.read_heads(spark, root, "path", "length", "ext", "head", "members", "bytes_read"))
+    kind = F.regexp_extract("path", r"/(text|packed|ole)/-?\d+[^/]*$", 1)
+    return seen.select(
+        kind.alias("kind"), F.regexp_extract("path", r"/(-?\d+)[^/]*$", 1).cast("bigint").alias("file_id"), "ext", "sniffed_ext",
+        "has_vba_project", "embedded_ole_count", F.when(kind != "packed", F.col("bytes_read")).alias("head_bytes"),
+    )

@@ -130,7 +130,7 @@ def feat_pdf(spark: SparkSession, folder: str) -> DataFrame:
     return f.withColumn("pdf_entropy_p95", F.round("pdf_entropy_p95", 6))
 
 
-_IS_RTF = r"regexp_matches(text, '^[ \t\n\r\x0b\f]*\{\\rtf')"
+IS_RTF = r"regexp_matches(text, '^[ \t\n\r\x0b\f]*\{\\rtf')"
 _RTF = f"""{sql.count_of('text', chr(92) + 'objdata')} AS rtf_objdata_count, {sql.count_of('text', chr(92) + 'object')} AS rtf_object_count,
   {sql.count_of('text', chr(92) + 'field')} AS rtf_field_count, {sql.count_of('text', chr(92) + 'pict')} AS rtf_pict_count,
   {sql.count_of('text', chr(92) + 'link')} AS rtf_link_count, {sql.urls('text')} AS rtf_url_count,
@@ -144,8 +144,8 @@ _RTF = f"""{sql.count_of('text', chr(92) + 'objdata')} AS rtf_objdata_count, {sq
 @query(
     "feat_rtf",
     f"""WITH {sql.CORPUS}, {sql.BYTES}, {sql.chunk_p95('e')}
-SELECT file_id, {_RTF} FROM corpus JOIN e USING (file_id) WHERE {_IS_RTF}
-UNION ALL SELECT file_id, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0 FROM corpus WHERE NOT {_IS_RTF}""",
+SELECT file_id, {_RTF} FROM corpus JOIN e USING (file_id) WHERE {IS_RTF}
+UNION ALL SELECT file_id, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0 FROM corpus WHERE NOT {IS_RTF}""",
 )
 def feat_rtf(spark: SparkSession, folder: str) -> DataFrame:
     f = features.rtf(corpus.text_corpus(spark, folder))
@@ -169,7 +169,7 @@ def feat_xls(spark: SparkSession, folder: str) -> DataFrame:
     "feat_dispatch",
     f"""WITH {sql.CORPUS}, {sql.BYTES}, {sql.chunk_p95('e')}, x AS (SELECT * FROM corpus JOIN e USING (file_id)),
 p AS (SELECT file_id, {_PDF} FROM x WHERE ext = '.pdf' AND starts_with(text, '%PDF')),
-r AS (SELECT file_id, {_RTF} FROM x WHERE ext = '.rtf' AND {_IS_RTF})
+r AS (SELECT file_id, {_RTF} FROM x WHERE ext = '.rtf' AND {IS_RTF})
 SELECT x.file_id, x.ext, round(p95, 6) AS entropy_p95, {sql.total_of('text', fixed.OFFICE_TOKENS)} AS suspicious_token_count,
   CASE WHEN ext = '.pdf' THEN coalesce(pdf_object_count, 0) ELSE -1 END AS pdf_object_count,
   CASE WHEN ext = '.pdf' THEN coalesce(pdf_has_openaction, 0) ELSE -1 END AS pdf_has_openaction,
@@ -316,9 +316,9 @@ def office_text(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "sniffed_types",
     f"""WITH {sql.CORPUS}
-SELECT file_id, CASE WHEN starts_with(text, '%PDF') THEN '.pdf' WHEN {_IS_RTF} THEN '.rtf' END AS sniffed_ext FROM corpus
+SELECT file_id, CASE WHEN starts_with(text, '%PDF') THEN '.pdf' WHEN {IS_RTF} THEN '.rtf' END AS sniffed_ext FROM corpus
 UNION ALL SELECT -1 - doc_id, CASE WHEN doc_id % 50 <> 49 THEN {sql.pick(corpus.OOXML_EXTS, 'doc_id')} END FROM documents
-UNION ALL SELECT -1000000000 - doc_id, CASE WHEN doc_id % 2 = 0 THEN '.xls' WHEN starts_with(text, '%PDF') THEN '.pdf' WHEN {_IS_RTF} THEN '.rtf' END
+UNION ALL SELECT -1000000000 - doc_id, CASE WHEN doc_id % 2 = 0 THEN '.xls' WHEN starts_with(text, '%PDF') THEN '.pdf' WHEN {IS_RTF} THEN '.rtf' END
 FROM documents""",
 )
 def sniffed_types(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,7 +9,7 @@ from docwarden.functions import fixed, text
 from docwarden.functions.vocabulary import prefix_pattern, scrub_terms
 from docwarden.operators import ensemble, features, rules, sanitize
 from docwarden.plans import sql
-from docwarden.plans.files import _IS_RTF, OOXML
+from docwarden.plans.files import IS_RTF, OOXML
 from docwarden.plans.registry import query
 from docwarden.session import spread
 from docwarden.sources import archives, corpus
@@ -63,7 +63,7 @@ def pdf_recommendations(spark: SparkSession, folder: str) -> DataFrame:
     "tags_severity",
     f"""WITH {sql.CORPUS}, f AS (
   SELECT file_id, {_PROB} AS prob, {sql.urls('text')} AS links,
-    ext = '.pdf' AND starts_with(text, '%PDF') AS pdf, ext = '.rtf' AND {_IS_RTF} AS rtf, text FROM corpus),
+    ext = '.pdf' AND starts_with(text, '%PDF') AS pdf, ext = '.rtf' AND {IS_RTF} AS rtf, text FROM corpus),
 g AS (
   SELECT file_id, prob, links + CASE WHEN pdf THEN {sql.total_of('text', fixed.PDF_URI_TOKENS)} ELSE 0 END
       + CASE WHEN rtf THEN {sql.urls('text')} ELSE 0 END AS links,

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from docwarden.operators import archive_clean, features, pdf_clean, sanitize
 from docwarden.plans.cleaning import table_entries
 from docwarden.session import once
-from docwarden.sources import pdf_graph, zip_codec
+from docwarden.sources import heads, pdf_graph, zip_codec
 from docwarden.sources.pdf_graph import Pdf, Unreadable
 
 
@@ -194,3 +194,34 @@ def test_full_mode(spark):
     assert got[3].removed == ["drop:docProps/core.xml", "drop:word/vbaProject.bin"] and got[4].engine == "passthrough" and not got[4].sanitized
     with pytest.raises(ValueError):
         sanitize.sanitize(df, mode="half")
+
+
+# ---- files by head
+
+
+def test_heads_read_only_what_is_asked_for(spark, tmp_path):
+    docx = fx.archive(**{"[Content_Types].xml": fx.TYPES, "word/document.xml": "<w/>", "word/media/big.bin": bytes((i * 7919) % 251 for i in range(400_000))})
+    files = {"a/x.docx": docx, "a/y.pdf": b"%PDF-1.4" + b"z" * 50_000, "b/blank.rtf": b" \n" * 3000 + b"{\\rtf1 x}", "b/empty.txt": b"", "b/bad.docx": b"PK\x03\x04nothing", "b/deep/.docx": b"h"}
+    df = spark.createDataFrame(list(files.items()), "path string, content binary")
+    assert heads.write_files(df, str(tmp_path)) == 6 and heads.write_files(df, str(tmp_path)) == 6
+    got = {r.path.removeprefix(f"{tmp_path}/"): r for r in features.file_facts(heads.read_heads(spark, str(tmp_path))).collect()}
+    assert set(got) == set(files) - {"b/deep/.docx"} and all(r.error is None and r.length == len(files[p]) for p, r in got.items())
+    assert {p: r.sniffed_ext for p, r in got.items()} == {"a/x.docx": ".docx", "a/y.pdf": ".pdf", "b/blank.rtf": ".rtf", "b/empty.txt": None, "b/bad.docx": None}
+    assert got["a/y.pdf"].bytes_read == 1024 and got["a/x.docx"].bytes_read < 3000 and "word/media/big.bin" in got["a/x.docx"].members
+    names = heads.read_heads(spark, str(tmp_path), "path", "ext", "length", "bytes_read")
+    assert {r.bytes_read for r in names.collect()} == {0}
+    some = heads.read_heads(spark, str(tmp_path), "path", "ext", "length", "content", split_mb=1).filter("ext = '.pdf' and length > 10")
+    assert "PushedFilters" in some._jdf.queryExecution().executedPlan().toString() or some.count() == 1
+    assert [bytes(r.content) for r in some.collect()] == [files["a/y.pdf"]]
+    assert heads.read_heads(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(ValueError):
+        heads.read_heads(spark, str(tmp_path), "text")
+
+
+def test_a_file_that_cannot_be_read_keeps_its_row(spark, tmp_path):
+    (tmp_path / "x.pdf").write_bytes(b"%PDF")
+    reader = heads._Reader(str(tmp_path), list(heads.SCHEMA), 1 << 20)
+    part = reader.partitions()[0]
+    (tmp_path / "x.pdf").unlink()
+    row = next(iter(reader.read(part))).to_pylist()[0]
+    assert row["head"] is None and row["error"].startswith("FileNotFoundError") and row["length"] == 4
