@@ -18,6 +18,7 @@ counts, null labels do not; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
+import json
 from itertools import permutations
 
 import numpy as np
@@ -98,16 +99,13 @@ def counts(failed: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def orders() -> Column:
-    """All steps of all orders: (filter_order, step, own, before), the last two as sets of filters."""
+    """All steps of all orders: (filter_order, step, own, before), the last two as sets of filters; one literal."""
     steps = [
-        F.struct(
-            F.lit("".join(order)).alias("filter_order"), F.lit(i + 1).alias("step"),
-            F.lit(bit(letter)).alias("own"), F.lit(sum(map(bit, order[:i]))).alias("before"),
-        )
+        {"filter_order": "".join(order), "step": i + 1, "own": bit(letter), "before": sum(map(bit, order[:i]))}
         for order in permutations(FILTERS)
         for i, letter in enumerate(order)
     ]
-    return F.array(*steps)
+    return F.from_json(F.lit(json.dumps(steps)), "array<struct<filter_order:string,step:int,own:int,before:int>>")
 
 
 def audit(docs: DataFrame, labels: DataFrame, block: int = BLOCK) -> DataFrame:
