@@ -39,6 +39,8 @@ from docwarden.session import settle
 
 ORDER = 5
 ENTRIES = 1 << 22
+#: Groups of copies that are sent to the texts, at about 60 bytes each; beyond that the texts are joined to them.
+GROUPS_AT_ONCE = 1 << 19
 BAND, STEADY_WORDS = 3.0, 200
 #: Least range between the quartiles: a language may have few texts.
 LEAST_SPREAD = 0.03
@@ -135,8 +137,11 @@ def with_shares(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), "text")
     digest = F.unhex(F.sha2("text", 256)).alias("digest")
     copied = settle(texts.groupBy("lang", digest).agg(F.count("*").alias("n")).filter("n > 1 and digest is not null"))
-    if copied.isEmpty():
+    groups = copied.limit(GROUPS_AT_ONCE + 1).count()
+    if not groups:
         return texts.withColumn("share", F.lit(1.0))
+    if groups <= GROUPS_AT_ONCE:
+        copied = F.broadcast(copied)
     named = texts.select("lang", "text", digest).join(copied, ["lang", "digest"], "left")
     return named.select("lang", "text", (1 / F.coalesce("n", F.lit(1))).alias("share"))
 

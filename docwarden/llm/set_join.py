@@ -46,6 +46,8 @@ from docwarden.session import settle
 
 SKETCH_BITS, SLICE_BITS = 20, 12
 PIECE = 1000
+#: Ids of near-copies that are sent to all tasks, at about 30 bytes each.
+NAMES_AT_ONCE = 1 << 20
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
@@ -346,7 +348,10 @@ def firsts_of_groups(docs: DataFrame, k: int, threshold: tuple[int, int], piece:
     known = nodes(docs.filter("doc_id is not null"))
     joined = settle(join_sets(known.select(F.col("_node").alias("doc_id"), "text"), k, threshold, piece).withColumnRenamed("doc_id", "_node"))
     # what goes is named, not what stays: texts are moved only where these names are too many to send to all tasks
-    first = known.join(settle(joined.filter("_node <> component_id").select("_node").distinct()), "_node", "left_anti")
+    goes = settle(joined.filter("_node <> component_id").select("_node").distinct())
+    if goes.limit(NAMES_AT_ONCE + 1).count() <= NAMES_AT_ONCE:
+        goes = F.broadcast(goes)
+    first = known.join(goes, "_node", "left_anti")
     equal = settle(joined.filter("_node = component_id").groupBy("_node").agg(F.count("*").alias("n")).filter("n > 1").select("_node"))
     if not equal.isEmpty():
         once = first.join(equal, "_node", "left_semi").dropDuplicates(["_node"])

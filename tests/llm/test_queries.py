@@ -77,3 +77,23 @@ def test_pipeline(spark, folder):
     empty = documents.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, folder).count() == 0
+
+
+def test_stages_on_awkward_rows(spark, folder):
+    """Nulls in any column, empty and long texts, repeated rows and ids, and columns that stages use themselves."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(60)
+    first = docs.first()
+    odd = [
+        (None, None, None, None, None), (9001, None, None, None, None), (9002, "", "", "", 0), (9003, " \n", "en", None, 2), (9004, "word " * 20_000, "en", "src0", 5),
+        (None, first.text, first.lang, first.source, first.n_chars), (first.doc_id, first.text, first.lang, first.source, first.n_chars),
+        (first.doc_id, "An other text of the same id that is no copy of the first one at all.", "en", "src1", 9),
+    ]
+    rows = docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumns({"score": docs.doc_id, "kept": docs.text, "size": docs.doc_id, "digest": docs.text})
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, rows, folder).collect()
+        assert all(r.asDict() for r in got)
+        if name == "n-gram Jaccard join":
+            same = [r.text for r in got if r.doc_id == first.doc_id]
+            assert len(same) == len(set(same)) == 2 and sum(r.doc_id is None for r in got) == 2
+        if name == "SentencePiece encoding and decoding":
+            assert len(got) == len(odd) + 60 and {r.decoded_crc32 for r in got if r.doc_id in (9001, 9002)} == {0}
