@@ -1,7 +1,8 @@
 """From raw documents to training pieces: five stages, each written as Parquet and read again by the next.
 
 A stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last return the
-columns of ``documents``. Rows without an id pass the stages like others, but cannot be grouped with copies.
+columns of ``documents``; other columns of their input do not matter, whatever their names. Rows without an id pass the
+stages like others, but cannot be grouped with copies. Every stage gives an empty table for an empty one.
 """
 
 from __future__ import annotations
@@ -19,31 +20,50 @@ SHINGLE, SIMILARITY = 5, (4, 5)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line classifier takes for good."""
+    """Documents that the line classifier takes for good.
+
+    Null and empty texts are one empty line and are judged like it; repeated rows are judged alike; a text of any length is
+    judged as a whole. Without labels of both kinds all documents stay.
+    """
     field = line_crf.fit(docs, table(spark, sf_dir, "labels"))
     return line_crf.score(docs, field).filter(F.col("score") >= line_crf.CUT).select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and lie in their language's perplexity band."""
+    """Documents that pass the base rules and lie in their language's perplexity band.
+
+    Null and empty texts fail the base rules; a null language is judged with the empty one and stays null; repeated rows
+    are judged alike, and count once in the language's model.
+    """
     known = docs.withColumn("no_lang", F.col("lang").isNull())
     judged = ngram_rules.judge(known, carry=["text", "source", "n_chars", "no_lang"]).filter("kept")
     return judged.withColumn("lang", F.when(~F.col("no_lang"), F.col("lang"))).select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near-copies."""
+    """One document, the one with the smallest id, of each group of near-copies.
+
+    Null and empty texts have no copies; equal rows of one id stay once, rows of one id with different texts are documents
+    of their own; rows without an id stay.
+    """
     return set_join.firsts_of_groups(docs, SHINGLE, SIMILARITY).select(*COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix of sources takes it: not at all, once or twice."""
+    """Every document as often as the mix of sources takes it: not at all, once or twice.
+
+    Null and empty texts have no words and come along with their source's whole repeats; a null source is a source; rows with
+    one id and text are taken together.
+    """
     mixed = mixing.mix(docs, keep=COLUMNS).filter("copies > 0")
     return mixed.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*COLUMNS)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document, and the checksum of the text that they decode to."""
+    """Piece ids of every document, and the checksum of the text that they decode to.
+
+    Null and empty texts have no pieces and the checksum 0; every row gives a row.
+    """
     ids = piece_lattice.encode(docs)
     return ids.select("doc_id", F.size("ids").alias("n_pieces"), "ids", "decoded_crc32")
 
