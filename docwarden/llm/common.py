@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docwarden.session import settle
+from docwarden.session import settle, small_batches  # noqa: F401  operators take it from here
 
 #: A word: a run of anything but blank, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,11 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(df: DataFrame) -> None:
-    """Limit the session's Arrow batches by bytes: whole texts pass through several Python workers an executor."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
-
-
 def release() -> None:
     """Give freed memory of this Python worker back: workers are kept between tasks, beside the executor's heap."""
     pa.default_memory_pool().release_unused()
