@@ -12,6 +12,7 @@ from collections import Counter
 
 import fixtures as fx
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -20,9 +21,9 @@ from pyspark.sql import functions as F
 from docwarden.functions import fixed, text
 from docwarden.functions.bytes import entropies, byte_entropy, chunk_entropy_p95
 from docwarden.functions.vocabulary import prefix_pattern, scrub_terms
-from docwarden.operators import features, rules, sanitize
+from docwarden.operators import archive_clean, features, rules, sanitize
 from docwarden.plans.jobs import feature_table, reports, training_columns
-from docwarden.sources import archives, pdf_objects
+from docwarden.sources import archives, heads, pdf_objects
 
 
 def by_id(df) -> dict:
@@ -318,3 +319,32 @@ def test_sanitized_says_what_a_cleaner_returned(spark):
     assert notes[2]["notes"] and notes[3]["notes"] and notes[1]["notes"] is None
     closed = by_id(sanitize.sanitize(df.withColumn("verdict", F.lit("malicious")), archives_too=False))
     assert not closed[1]["sanitized"] and closed[1]["notes"]
+
+
+def test_contents_reach_python_in_small_batches(spark, tmp_path):
+    """Operators on whole contents hold few megabytes of them a worker, whatever the session allows and the rows of a partition."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    body = F.expr("cast(repeat('a', 200000) as binary)")
+    df = spark.range(0, 100, 1, 1).select(F.col("id").alias("file_id"), F.lit(".pdf").alias("ext"), body.alias("content"))
+    member = df.select("file_id", F.lit(1).alias("pos"), F.lit("a").alias("member"), F.col("content").alias("body"))
+    shipped = {
+        "dispatch": lambda: features.dispatch(df), "ooxml": lambda: features.ooxml(df), "sniff_ext": lambda: features.sniff_ext(df), "members": lambda: archives.explode_members(df),
+        "rebuild": lambda: archives.rebuild_archives(member), "clean": lambda: df.select(archive_clean.cleaned(F.col("content"))), "bytes": lambda: features.byte_histogram(df),
+        "write": lambda: heads.write_files(df.select(F.col("file_id").cast("string").alias("path"), "content"), str(tmp_path / "out")),
+    }
+
+    def largest(batches):
+        sizes = [b.nbytes for b in batches]
+        yield pa.RecordBatch.from_arrays([pa.array([max(sizes, default=0)], pa.int64())], names=["n"])
+
+    try:
+        for what, build in shipped.items():
+            spark.conf.set(name, "64m")
+            build()
+            assert df.select("content").mapInArrow(largest, "n long").first().n < 5 << 20, what
+        for lower in ("64k", "2097152b"):
+            spark.conf.set(name, lower)
+            features.ooxml(df)
+            assert spark.conf.get(name) == lower
+    finally:
+        spark.conf.set(name, "64m")
