@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docwarden.session import small_batches
+
 MEMBER_SCHEMA = "file_id bigint, pos int, member string, body binary"
 
 
@@ -50,6 +52,7 @@ def _names(content: pd.Series) -> pd.Series:
 
 def member_names(content: Column) -> Column:
     """Names of an archive's members in their order, null for what is no archive. Only the directory is read."""
+    small_batches()
     return _names(content)
 
 
@@ -77,6 +80,7 @@ def explode_members(df: DataFrame) -> DataFrame:
                         names=["file_id", "pos", "member", "body"],
                     )
 
+    small_batches(df)
     return df.select("file_id", "content").mapInArrow(run, MEMBER_SCHEMA)
 
 
@@ -97,6 +101,7 @@ def _zip_up(members: pd.Series) -> pd.Series:
 
 def zip_array(members: Column) -> Column:
     """Archive bytes from an array of (pos, member, body)."""
+    small_batches()
     return _zip_up(members)
 
 
