@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docwarden.session import small_batches
+
 
 _AT_ONCE = 1 << 22
 
@@ -37,11 +39,13 @@ def _whole_entropy(content: pd.Series) -> pd.Series:
 
 def byte_entropy(content: Column) -> Column:
     """Shannon entropy of the whole content in bits per byte; 0 when empty."""
+    small_batches()
     return _whole_entropy(content)
 
 
 def chunk_entropy_p95(content: Column, chunk: int = 4096) -> Column:
     """95th percentile (linear interpolation) of the entropies of consecutive chunks; 0 when empty."""
+    small_batches()
 
     @F.pandas_udf(T.DoubleType())
     def p95(content: pd.Series) -> pd.Series:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from docwarden.functions import fixed, text
 from docwarden.functions.bytes import byte_entropy, chunk_entropy_p95
 from docwarden.operators import archive_clean
-from docwarden.session import once
+from docwarden.session import once, small_batches
 from docwarden.sources import archives
 
 
@@ -298,6 +298,7 @@ def byte_histogram(df: DataFrame) -> DataFrame:
                 [pa.array(seen, pa.int32()), pa.array(counts[seen], pa.int64())], names=["byte", "occurrences"]
             )
 
+    small_batches(df)
     binned = df.select("content").mapInArrow(run, "byte int, occurrences bigint")
     return binned.groupBy("byte").agg(F.sum("occurrences").alias("occurrences"))
 
