@@ -31,6 +31,8 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
+from docwarden.session import small_batches
+
 SCHEMA = {
     "path": "string", "length": "bigint", "ext": "string", "head": "binary", "members": "array<string>", "content": "binary",
     "bytes_read": "bigint", "error": "string",
@@ -214,5 +216,6 @@ def write_files(df: DataFrame, root: str) -> int:
                 fs.move(part, target)
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
+    small_batches(df)
     written = df.select("path", "content").mapInArrow(rows, "n long")
     return written.groupBy().sum("n").first()[0] or 0
