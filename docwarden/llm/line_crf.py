@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docwarden.llm.common import small_batches
+from docwarden.llm.common import release, small_batches
 from docwarden.llm.shingles import as_bytes, in_repeated_windows
 from docwarden.session import settle
 
@@ -212,5 +212,6 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(field.scores(texts))
+        release()
 
     return docs.withColumn("score", scored(F.col("text")))

@@ -45,7 +45,7 @@ from docwarden.session import settle
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-BLOCK, MAX_ENTRIES, PIECES_PER_ENTRY, LONG_UNIT = 12 << 20, 1 << 23, 8, 256
+BLOCK, MAX_ENTRIES, PIECES_PER_ENTRY, LONG_UNIT = 4 << 20, 1 << 23, 8, 256
 #: Units whose edges one task of the lattice holds at once.
 UNITS_PER_TASK = 16_000
 UNKNOWN_PENALTY = 10.0
@@ -124,6 +124,7 @@ def count_units(docs: DataFrame, model: Pieces) -> DataFrame:
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+        release()  # what this worker kept of earlier work
 
         def rows() -> pa.RecordBatch:
             units = units_of(pa.chunked_array(held).combine_chunks(), model)

@@ -7,9 +7,11 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -356,3 +358,18 @@ def test_mix_keeps_columns_of_any_name_but_its_own(spark):
     assert got == {1: (7, 8), 2: (9, 10)}
     with pytest.raises(ValueError):
         mixing.mix(docs.withColumn("size", F.lit(1)), keep=["size"])
+
+
+def test_units_of_a_block_take_little_memory():
+    """Several workers an executor cut a block of texts each beside the heap."""
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choices("abcdefghij", k=rng.randrange(1, 9))) for _ in range(lattice.BLOCK // 64))
+    texts = pa.array([text] * (lattice.BLOCK // len(text)), pa.string())
+    model = lattice.load()
+    tracemalloc.start()
+    try:
+        units = lattice.units_of(texts, model)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(units.codes) > lattice.BLOCK // 10 and peak < 40 << 20
