@@ -342,6 +342,9 @@ def test_contents_reach_python_in_small_batches(spark, tmp_path):
             spark.conf.set(name, "64m")
             build()
             assert df.select("content").mapInArrow(largest, "n long").first().n < 5 << 20, what
+        spark.conf.unset(name)  # a session that says nothing of it
+        features.ooxml(df)
+        assert spark.conf.get(name) == "4m"
         for lower in ("64k", "2097152b"):
             spark.conf.set(name, lower)
             features.ooxml(df)
