@@ -39,7 +39,7 @@ from docwarden.session import settle
 
 ORDER = 5
 ENTRIES = 1 << 22
-#: Groups of copies that are sent to the texts, at about 60 bytes each; beyond that the texts are joined to them.
+#: Digests of texts that are sent to the texts, at about 60 bytes each; beyond that the texts are joined to them.
 GROUPS_AT_ONCE = 1 << 19
 BAND, STEADY_WORDS = 3.0, 200
 #: Least range between the quartiles: a language may have few texts.
@@ -304,7 +304,7 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def measure(docs: DataFrame, model: Model, carry: Sequence[str] = (), entries: int = ENTRIES) -> DataFrame:
-    """(doc_id, lang, text) -> doc_id, lang (null: empty), the columns to carry, base counts and log perplexity."""
+    """(doc_id, lang, text) -> doc_id, lang (null: empty), the columns to carry, base counts and log perplexity, at rest."""
     # plain arrays: workers need not be able to import this module to read them
     shared = docs.sparkSession.sparkContext.broadcast(model.arrays(entries))
     order = model.order
@@ -364,7 +364,7 @@ def measure(docs: DataFrame, model: Model, carry: Sequence[str] = (), entries: i
     asked = settle(rest.select("_row", "lang", F.inline("_missing")))
     log_p = model.log_p(asked.select("lang", "gram").distinct())
     sums = settle(asked.join(log_p, ["lang", "gram"]).groupBy("_row").agg(F.sum(F.col("times") * F.col("log_p")).alias("_more")))
-    return first.join(sums, "_row", "left").withColumn("_sum", F.col("_sum") + F.coalesce("_more", F.lit(0.0))).select(*kept, *BASE, mean)
+    return settle(first.join(sums, "_row", "left").withColumn("_sum", F.col("_sum") + F.coalesce("_more", F.lit(0.0))).select(*kept, *BASE, mean))
 
 
 def _runs(values: np.ndarray) -> tuple[list[int], list[int], list[int]]:
@@ -381,7 +381,7 @@ def judge(docs: DataFrame, band: float = BAND, carry: Sequence[str] = (), entrie
     made = {"doc_id", "lang", *BASE, "base_failed", "log_perplexity", "lower_band", "upper_band", "kept"}
     if made & set(carry) or len(set(carry)) < len(carry):
         raise ValueError(f"columns of the result cannot be carried: {sorted(made & set(carry))}")
-    measured = settle(measure(docs, fit(docs), carry, entries))
+    measured = measure(docs, fit(docs), carry, entries)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     measured = measured.withColumn("base_failed", failed)
     quartiles = F.percentile_approx("log_perplexity", [0.25, 0.75], 10_000)
