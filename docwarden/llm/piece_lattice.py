@@ -47,7 +47,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 BLOCK, MAX_ENTRIES, PIECES_PER_ENTRY, LONG_UNIT = 4 << 20, 1 << 23, 8, 256
 #: Units whose edges one task of the lattice holds at once.
-UNITS_PER_TASK = 16_000
+UNITS_PER_TASK = 4_000
+#: Characters of texts whose units a task looks up at once.
+CHARS_AT_ONCE = 1 << 18
 UNKNOWN_PENALTY = 10.0
 
 
@@ -336,7 +338,7 @@ def look_up(docs: DataFrame, arrays: dict[str, np.ndarray], model: Pieces, key:
         hashes, starts, sizes, ids = (table[k] for k in ("hashes", "starts", "sizes", "ids"))
         for batch in batches:
             lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
-            for piece in slices(lengths):
+            for piece in slices(lengths, CHARS_AT_ONCE):
                 n = piece.stop - piece.start
                 texts = batch.column("text").slice(piece.start, n)
                 units = units_of(texts, model)

@@ -373,3 +373,11 @@ def test_units_of_a_block_take_little_memory():
     finally:
         tracemalloc.stop()
     assert len(units.codes) > lattice.BLOCK // 10 and peak < 40 << 20
+
+
+def test_units_of_a_lattice_task_are_few(spark):
+    """The edges of a task's units are on the heap at once: 10,000 units are three tasks or more, and all are encoded."""
+    units = lattice.settle(spark.range(10_000).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("unit"), F.lit(1).cast("long").alias("n")))
+    encoded = lattice.encode_units(units, lattice.load())
+    assert encoded.select(F.input_file_name()).distinct().count() >= 3
+    assert encoded.filter(F.size("ids") > 0).select("unit").distinct().count() == 10_000
