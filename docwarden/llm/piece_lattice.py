@@ -48,6 +48,8 @@ MARK = "▁"
 BLOCK, MAX_ENTRIES, PIECES_PER_ENTRY, LONG_UNIT = 4 << 20, 1 << 23, 8, 256
 #: Units whose edges one task of the lattice holds at once.
 UNITS_PER_TASK = 4_000
+#: Such groups of units that one task goes through, one after the other, into one file.
+GROUPS_PER_FILE = 16
 #: Characters of texts whose units a task looks up at once.
 CHARS_AT_ONCE = 1 << 18
 UNKNOWN_PENALTY = 10.0
@@ -144,7 +146,16 @@ def count_units(docs: DataFrame, model: Pieces) -> DataFrame:
             yield rows()
             release()
 
-    return docs.select("text").mapInArrow(found, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(found, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    return counted.coalesce(n_files(docs, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4))
+
+
+def n_files(df: DataFrame, parts: int, each: int) -> int:
+    """Files for so many small parts, ``each`` of them in one, but two for each core at least.
+
+    Every file costs its writer calls to the store, on a local one a process of its own beside the executor.
+    """
+    return max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-parts // each))
 
 
 def byte_ids(char: Column, base: int) -> Column:
@@ -242,15 +253,16 @@ def long_way(unit: str, ids: dict[str, tuple[int, float]], model: Pieces) -> lis
 def encode_units(units: DataFrame, model: Pieces) -> DataFrame:
     """(unit, n) at rest -> (unit, n, ids), written.
 
-    Units are dealt so that the edges of one task's units fit in memory, and grouped where they are.
+    Units are dealt so that the edges of one group's units fit in memory, and folded where they are. A task goes
+    through several groups, each when the one before is folded and written, so that files do not get as many as groups.
     """
     spark = units.sparkSession
     table = settle(
         spark.createDataFrame(pd.DataFrame({"piece": model.pieces, "id": model.ids, "score": model.scores}), "piece string, id int, score double").coalesce(1)
     )
-    tasks = max(1, -(-units.count() // UNITS_PER_TASK))
+    groups = max(1, -(-units.count() // UNITS_PER_TASK))
     short, long = units.filter(F.length("unit") <= LONG_UNIT), units.filter(F.length("unit") > LONG_UNIT)
-    ways = edges(short.repartition(tasks, "unit"), table, model).select("unit", "n", best_way(F.col("edges")).alias("way"))
+    ways = edges(short.repartition(groups, "unit"), table, model).select("unit", "n", best_way(F.col("edges")).alias("way"))
     if model.bytes_from is None:
         ids = F.transform("way", lambda e: F.when(e["id"] < 0, F.lit(model.unknown)).otherwise(e["id"]))
     else:
@@ -261,7 +273,7 @@ def encode_units(units: DataFrame, model: Pieces) -> DataFrame:
             )
         )
         ids = F.when(F.exists("way", lambda e: e["id"] < 0), spelt).otherwise(F.transform("way", lambda e: e["id"]))
-    folded = ways.select("unit", "n", ids.alias("ids"))
+    folded = ways.select("unit", "n", ids.alias("ids")).coalesce(n_files(units, groups, GROUPS_PER_FILE))
 
     @F.pandas_udf("array<int>")
     def looped(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -381,3 +381,32 @@ def test_units_of_a_lattice_task_are_few(spark):
     encoded = lattice.encode_units(units, lattice.load())
     assert encoded.select(F.input_file_name()).distinct().count() >= 3
     assert encoded.filter(F.size("ids") > 0).select("unit").distinct().count() == 10_000
+
+
+def test_groups_of_units_share_files(spark, monkeypatch):
+    """A file for each small group of units made hundreds of writers an executor: 500 groups go into few files, and all are encoded."""
+    monkeypatch.setattr(lattice, "UNITS_PER_TASK", 20)
+    model = lattice.load()
+    known = {p: (i, s) for p, i, s in zip(model.pieces, model.ids, model.scores, strict=True)}
+    units = spark.range(10_000).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("unit"), F.col("id").alias("n"))
+    encoded = lattice.encode_units(lattice.settle(units), model)
+    assert encoded.select(F.input_file_name()).distinct().count() <= max(2 * spark.sparkContext.defaultParallelism, 500 // lattice.GROUPS_PER_FILE + 1)
+    got = encoded.collect()
+    assert sorted(r.n for r in got) == list(range(10_000))
+    assert all(r.unit == f"u{r.n}" and list(r.ids) == lattice.long_way(r.unit, known, model) for r in got)
+
+
+def test_counted_units_share_files(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "128")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rng = random.Random(5)
+        docs = spark.createDataFrame([(" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(40)),) for _ in range(100)], "text string")
+        counted = lattice.settle(lattice.count_units(docs, lattice.load()))
+        assert counted.select(F.input_file_name()).distinct().count() <= max(2 * spark.sparkContext.defaultParallelism, 128 // 4)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    got = {r.unit: r.n for r in counted.collect()}
+    assert len(got) > 1000 and sum(len(u) * n for u, n in got.items()) == sum(len(r.text) + 1 for r in docs.collect())
