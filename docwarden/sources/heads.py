@@ -2,7 +2,9 @@
 
 ``read_heads(spark, root, "path", "ext", "members")`` opens a file for its first bytes and, if it is an archive, seeks to the
 directory at its end; files that the pushed conditions on ``ext`` and ``length`` rule out are not opened. Files are listed
-when the read is planned and dealt to tasks by the bytes that a task will read. Any file system that Arrow knows will do.
+when the read is planned and dealt to tasks by the bytes that a task will read; what falls to each task is written to a list
+in the shared folder, so that the driver holds no names. Any file system that Arrow knows will do; on others than the local one
+the driver holds the names of one folder at a time.
 
 Defined cases: an empty folder gives no rows; a file that cannot be read keeps its row, with nulls and the reason in
 ``error``; ``members`` is null for what is no archive; a head that is blank is read on until it is not, so that leading blanks of
@@ -11,9 +13,11 @@ any length do not hide a type.
 
 from __future__ import annotations
 
+import json
 import os
+import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -31,7 +35,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from docwarden.session import small_batches
+from docwarden.session import shared_folder, small_batches
 
 SCHEMA = {
     "path": "string", "length": "bigint", "ext": "string", "head": "binary", "members": "array<string>", "content": "binary",
@@ -84,9 +88,50 @@ def _names(file: _Counted) -> list[str] | None:
         return None
 
 
+def _entries(fs: pafs.FileSystem, folder: str) -> Iterator[tuple[str, int | None]]:
+    """(path, length) of what lies in a folder, a folder in it without length; a local folder is not held as a whole."""
+    if not isinstance(fs, pafs.LocalFileSystem):
+        for i in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)):
+            if i.type in (pafs.FileType.File, pafs.FileType.Directory):
+                yield i.path, i.size if i.type == pafs.FileType.File else None
+        return
+    try:
+        opened = os.scandir(folder)
+    except FileNotFoundError:
+        return
+    with opened:
+        for entry in opened:
+            try:
+                if entry.is_dir() or entry.is_file():
+                    yield entry.path, None if entry.is_dir() else entry.stat().st_size
+            except FileNotFoundError:  # gone since
+                continue
+
+
+def listed(fs: pafs.FileSystem, folder: str) -> Iterator[tuple[str, int]]:
+    """(path, length) of all files below a folder but hidden ones."""
+    for path, size in _entries(fs, folder):
+        if size is None:
+            yield from listed(fs, path)
+        elif not path.rsplit("/", 1)[-1].startswith((".", "_")):
+            yield path, size
+
+
 class _Files(InputPartition):
-    def __init__(self, files: list[tuple[str, int]]) -> None:
-        self.files = files
+    """Files by name, or the stretch of a list that names them."""
+
+    def __init__(self, files: list[tuple[str, int]], stretch: tuple[str, int, int] | None = None) -> None:
+        self.named, self.stretch = files, stretch
+
+    @property
+    def files(self) -> list[tuple[str, int]]:
+        if self.stretch is None:
+            return self.named
+        path, start, size = self.stretch
+        fs, path = file_system(path)
+        with fs.open_input_file(path) as opened:
+            opened.seek(start)
+            return [(path, size) for path, size in json.loads(opened.read(size))]
 
 
 _COMPARE = {
@@ -96,8 +141,8 @@ _COMPARE = {
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, root: str, columns: list[str], split_bytes: int) -> None:
-        self.root, self.columns, self.split = root, columns, split_bytes
+    def __init__(self, root: str, columns: list[str], split_bytes: int, lists: str | None = None) -> None:
+        self.root, self.columns, self.split, self.lists = root, columns, split_bytes, lists
         self.tests: list[tuple[str, type, object]] = []
 
     def pushFilters(self, filters):  # noqa: N802  the name is Spark's
@@ -112,22 +157,34 @@ class _Reader(DataSourceReader):
         facts = {"ext": suffix(path), "length": size}
         return all(_COMPARE[kind](facts[field], value) for field, kind, value in self.tests)
 
-    def partitions(self) -> list[_Files]:
-        fs, folder = file_system(self.root)
-        found = fs.get_file_info(pafs.FileSelector(folder, recursive=True, allow_not_found=True))
-        files = sorted((i.path, i.size) for i in found if i.type == pafs.FileType.File and not i.base_name.startswith((".", "_")))
-        parts: list[list[tuple[str, int]]] = [[]]
+    def _dealt(self, files: Iterable[tuple[str, int]]) -> Iterator[list[tuple[str, int]]]:
+        part: list[tuple[str, int]] = []
         held = 0
         for path, size in files:
-            if not self._wanted(path, size):
-                continue
             cost = OPEN_BYTES + (size if "content" in self.columns else min(size, HEAD_BYTES))
-            if parts[-1] and held + cost > self.split:
-                parts.append([])
-                held = 0
-            parts[-1].append((path, size))
+            if part and held + cost > self.split:
+                yield part
+                part, held = [], 0
+            part.append((path, size))
             held += cost
-        return [_Files(p) for p in parts]
+        if part:
+            yield part
+
+    def partitions(self) -> list[_Files]:
+        fs, folder = file_system(self.root)
+        dealt = self._dealt((path, size) for path, size in listed(fs, folder) if self._wanted(path, size))
+        if self.lists is None:
+            return [_Files(part) for part in dealt] or [_Files([])]
+        fs, folder = file_system(self.lists)
+        fs.create_dir(folder, recursive=True)
+        name, start, parts = uuid.uuid4().hex, 0, []
+        with fs.open_output_stream(f"{folder}/{name}") as out:
+            for part in dealt:
+                data = json.dumps(part).encode()
+                out.write(data)
+                parts.append(_Files([], (f"{self.lists}/{name}", start, len(data))))
+                start += len(data)
+        return parts or [_Files([])]
 
     def _one(self, fs: pafs.FileSystem, path: str, size: int) -> dict:
         row = dict.fromkeys(SCHEMA) | {"path": path, "length": size, "ext": suffix(path), "bytes_read": 0}
@@ -170,7 +227,10 @@ def _batch(rows: list[list], names: list[str], kinds: list[pa.DataType]) -> pa.R
 
 
 class FileHeads(DataSource):
-    """Options: ``path``, ``split_mb`` (64): bytes that one task reads."""
+    """Options: ``path``, ``split_mb`` (64): bytes that one task reads, ``lists``: a shared folder for the names of the files.
+
+    Without ``lists`` the names travel through the driver.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -180,7 +240,7 @@ class FileHeads(DataSource):
         return ", ".join(f"{c} {t}" for c, t in SCHEMA.items())
 
     def reader(self, schema: StructType) -> _Reader:
-        return _Reader(self.options["path"], schema.names, int(self.options.get("split_mb", 64)) << 20)
+        return _Reader(self.options["path"], schema.names, int(self.options.get("split_mb", 64)) << 20, self.options.get("lists"))
 
 
 def read_heads(spark: SparkSession, root: str, *columns: str, split_mb: int = 64) -> DataFrame:
@@ -195,7 +255,8 @@ def read_heads(spark: SparkSession, root: str, *columns: str, split_mb: int = 64
     # a reader that takes filters is refused without it
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     schema = ", ".join(f"{c} {SCHEMA[c]}" for c in wanted)
-    return spark.read.format("file_heads").schema(schema).option("split_mb", split_mb).load(root)
+    lists = f"{shared_folder(spark)}/listed"
+    return spark.read.format("file_heads").schema(schema).option("split_mb", split_mb).option("lists", lists).load(root)
 
 
 def write_files(df: DataFrame, root: str) -> int:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import pickle
 import re
 import struct
 import zipfile
@@ -11,6 +12,7 @@ import zlib
 import fixtures as fx
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from docwarden.operators import archive_clean, features, pdf_clean, sanitize
 from docwarden.plans.cleaning import table_entries
@@ -225,3 +227,22 @@ def test_a_file_that_cannot_be_read_keeps_its_row(spark, tmp_path):
     (tmp_path / "x.pdf").unlink()
     row = next(iter(reader.read(part))).to_pylist()[0]
     assert row["head"] is None and row["error"].startswith("FileNotFoundError") and row["length"] == 4
+
+
+def test_names_of_files_do_not_pass_through_the_driver(tmp_path):
+    """A plan grows with its tasks, not with the names in it; every file falls to one task, behind links and in folders too."""
+    root = tmp_path / "root"
+    (root / "deep" / ".er").mkdir(parents=True)
+    names = [f"{i:04}-{'n' * 100}.txt" for i in range(600)] + ["deep/.er/a\nb.pdf", "deep/x.pdf"]
+    for name in (*names, "_SUCCESS", "deep/.hidden"):
+        (root / name).write_bytes(b"h" * 3)
+    (root / "link.txt").symlink_to(root / "deep" / "x.pdf")
+    (root / "lost.txt").symlink_to(root / "nowhere")
+    (root / "linked").symlink_to(root / "deep", target_is_directory=True)
+    source = heads.FileHeads({"path": str(root), "split_mb": "1", "lists": f"file://{tmp_path}/lists"})
+    reader = source.reader(StructType().add("path", "string").add("length", "long").add("bytes_read", "long"))
+    parts = reader.partitions()
+    assert len(parts) > 20 and len(pickle.dumps(parts)) < 300 * len(parts)
+    rows = [row for part in parts for batch in reader.read(pickle.loads(pickle.dumps(part))) for row in batch.to_pylist()]
+    want = [*names, "link.txt", "linked/.er/a\nb.pdf", "linked/x.pdf"]
+    assert sorted(r["path"] for r in rows) == sorted(f"{root}/{n}" for n in want) and {r["length"] for r in rows} == {3}
