@@ -246,7 +246,8 @@ class FileHeads(DataSource):
 def read_heads(spark: SparkSession, root: str, *columns: str, split_mb: int = 64) -> DataFrame:
     """Files below ``root`` with these columns of ``SCHEMA``, all but the content if none are named.
 
-    A column that is not asked for is not read: without head, members and content no file is opened.
+    A column that is not asked for is not read: without head, members and content no file is opened. The lists of files go to the
+    folder in ``spark.checkpoint.dir``, which Arrow must know as well.
     """
     wanted = columns or tuple(c for c in SCHEMA if c != "content")
     if unknown := set(wanted) - set(SCHEMA):
